@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import sharding
+from tidemark.llm import bpe, sharding, token_counts
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,8 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_trie_bpe": _documents(bpe.op4),
+        "op5_token_counts": _documents(token_counts.op5),
         "op9_jump_sharding": _documents(sharding.op9),
     }
 
