@@ -223,9 +223,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
 
 def oracle_sql(size: int = 4, percent: int = 80) -> str:
     """DuckDB: all pairs that share a shingle, and a recursive walk over the links."""
+    runs = ", ".join(f"w[{i + 1}:{i - size}]" for i in range(size))
     return f"""with recursive split as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
-        sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < {size} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size - 1}], ' ')) end) s from split),
-        one as (select doc_id, hash(unnest(s)) g from sets),
+        sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < {size} then [hash(array_to_string(w, ' '))] else list_transform(list_zip({runs}), lambda x: hash(x)) end) s from split),
+        one as (select doc_id, unnest(s) g from sets),
         shared as (select x.doc_id a, y.doc_id b, count(*) c from one x join one y on x.g = y.g and x.doc_id <> y.doc_id group by all),
         links as (select a, b from shared join sets p on p.doc_id = a join sets q on q.doc_id = b where 100 * c >= {percent} * (len(p.s) + len(q.s) - c)),
         reach as (select doc_id a, doc_id b from sets union select r.a, l.b from reach r join links l on r.b = l.a)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, neardup, sharding, token_counts
+from tidemark.llm import bpe, iblt, neardup, sharding, token_counts
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
     return {
         "op4_trie_bpe": _documents(bpe.op4),
         "op5_token_counts": _documents(token_counts.op5),
+        "op8_iblt_fingerprints": _documents(iblt.op8),
         "op9_jump_sharding": _documents(sharding.op9),
         "op10_minmax_neardup": _documents(neardup.op10),
     }
