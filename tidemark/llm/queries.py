@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, iblt, neardup, sharding, token_counts
+from tidemark.llm import bpe, iblt, neardup, packing, quality, sharding, token_counts, toxicity
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,17 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
+def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_byte_network": _labelled(quality.op3),
         "op4_trie_bpe": _documents(bpe.op4),
         "op5_token_counts": _documents(token_counts.op5),
+        "op6_pu_toxicity": _labelled(toxicity.op6),
+        "op7_curve_packing": _documents(packing.op7),
         "op8_iblt_fingerprints": _documents(iblt.op8),
         "op9_jump_sharding": _documents(sharding.op9),
         "op10_minmax_neardup": _documents(neardup.op10),
