@@ -65,17 +65,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield from slices(batch.slice(half), column, limit)
 
 
-def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], list]], added: list[pa.Field], keep: list[str] | None = None) -> DataFrame:
+def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], list]], added: list[pa.Field], keep: list[str] | None = None, reads: tuple[str, ...] = ()) -> DataFrame:
     """Add columns computed from Arrow batches.
 
     `make` runs once in each task and returns the function that maps a batch to a list of arrays, one for each
     field in `added`.  Batches are cut by the size of `column`, so memory does not follow the row count.  Added
     columns replace columns of the same name (compared as Spark does, without case).  `keep` names the columns
-    that pass through, all of them by default.
+    that pass through, all of them by default; `reads` names others that `make` needs.
     """
     fresh = {f.name.lower() for f in added}
     kept = [c for c in (keep if keep is not None else df.columns) if c.lower() not in fresh]
-    source = df.select(*{c: F.col(f"`{c}`") for c in dict.fromkeys([*kept, column])}.values())
+    source = df.select(*{c: F.col(f"`{c}`") for c in dict.fromkeys([*kept, column, *reads])}.values())
     from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
     schema = pa.schema([*(to_arrow_schema(source.select(*(F.col(f"`{c}`") for c in kept)).schema) if kept else []), *added])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, iblt, neardup, packing, quality, sharding, token_counts, toxicity
+from tidemark.llm import bpe, iblt, neardup, packing, quality, sharding, telephony, token_counts, toxicity, url_filter
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,8 @@ def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_filter": lambda spark, sf_dir: url_filter.op1(table(spark, sf_dir, "pages")),
+        "op2_telephony_audio": _documents(telephony.op2),
         "op3_byte_network": _labelled(quality.op3),
         "op4_trie_bpe": _documents(bpe.op4),
         "op5_token_counts": _documents(token_counts.op5),
@@ -35,6 +37,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": url_filter.oracle_sql(),
         "op9_jump_sharding": sharding.oracle_sql(),
         "op10_minmax_neardup": neardup.oracle_sql(),
     }
