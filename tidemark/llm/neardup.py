@@ -6,10 +6,10 @@ bands; documents that agree on a band are candidates.  With HASHES = 100 and ban
 0.8 has no common band once in ten million.
 
 Documents with equal sets form a class, and only its smallest doc_id takes part in the search.  In a bucket of
-candidates no pairs are listed: the bucket's smallest id (a pivot) is compared with the others, what is found linked
-joins one component, and buckets within one component are done.  In those left, more pivots are compared with the
-members of other components, four times as many in each round, until every pair that shares a bucket has been
-compared or is known to be connected.  So nothing is capped, and a bucket of near copies costs its size, not its square.
+candidates no pairs are listed.  At first every class is compared with one pivot, the smallest id that it shares a
+bucket with; that connects most of what is alike.  Then the members of a bucket that belong to different components are
+compared by signature, block against block, and only pairs near the limit come out to be confirmed.  So nothing is
+capped, and a bucket of near copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, map_batches, slices, stored
+from tidemark.llm.common import map_batches, slices, stored
 from tidemark.llm.graph import components
 
 #: Hash functions (two signature values each), values in a band.
 HASHES, BAND = 100, 5
-#: Pairs whose 8-bit signatures agree on less than this share are not confirmed; at similarity 0.8 that is six standard deviations off.
-SURE_SHARE = 0.63
+#: Members of a block.
+BLOCK = 128
+#: Pairs whose 8-bit signatures agree on less than this share are not confirmed; at similarity 0.8 that is more than four standard deviations off.
+SURE_SHARE = 0.68
 #: Rows up to which a table of ids (16 bytes each) is broadcast; longer ones are joined by shuffling.
 BROADCAST_IDS = 300_000
 #: Entries of a worker's cache of word hashes.
@@ -154,43 +156,76 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     if not n:
         return pairs
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(_small(ids, n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(_small(ids, n), "doc_id", "left_semi")
     near = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     return near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(rep, component) for rows that a link (a, b), a < b, ties to smaller ones: the smallest neighbour's smallest neighbour.
+
+    Two steps towards the component's smallest id, enough to tell most of what is connected already; what it misses
+    is only compared again."""
+    up = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("up"))
+    top = up.select(F.col("rep").alias("up"), F.col("up").alias("top"))
+    return up.join(top, "up", "left").select("rep", F.coalesce("top", "up").alias("component"))
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): likely pairs of different components in the same bucket, compared block against block.
+
+    members: (band, rep, n, component, short, lo, c): c rows in the band, whose smallest component is lo.  A bucket is
+    cut by hash into blocks of about BLOCK members, apart for component lo (usually nearly all) and the others; blocks
+    of the others meet each other and those of lo, as arrays of signatures, and only pairs that pass come out."""
+    cut = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK)).cast("int")
+    item = F.struct("rep", "n", "component", "short")
+    blocks = stored(members.groupBy("band", (F.col("component") == F.col("lo")).alias("main"), cut.alias("part")).agg(F.collect_list(item).alias("items")), "blocks")
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "y"):
+                found_a, found_b = [], []
+                for x, y in zip(*(_blocks(batch.column(c)) for c in ("x", "y")), strict=True):
+                    for rep, n, component, short in zip(*x, strict=True):
+                        near = (y[2] != component) & (100 * np.minimum(y[1], n) >= percent * np.maximum(y[1], n))
+                        at = np.flatnonzero(near)
+                        at = at[(y[3][at] == short).mean(axis=1) * 256 - 1 >= SURE_SHARE * 255]
+                        found_a.append(np.minimum(y[0][at], rep))
+                        found_b.append(np.maximum(y[0][at], rep))
+                pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1) if found_a else np.zeros((2, 0), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    left = blocks.filter("not main").select("band", F.col("part").alias("i"), F.col("items").alias("x"))
+    right = blocks.select("band", "main", F.col("part").alias("j"), F.col("items").alias("y"))
+    return left.join(right, "band").filter("main or i <= j").select("x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _blocks(column: pa.Array) -> list[tuple]:
+    """(reps, sizes, components, signatures) of each row's array of structs."""
+    ends = np.cumsum([0, *column.value_lengths().to_numpy(zero_copy_only=False)])
+    flat = column.flatten()
+    rep, n, component = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    short = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint8).reshape(len(rep), -1)
+    return [(rep[i:j], n[i:j], component[i:j], short[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of the linked classes; classes: (rep, n, bands, short), stored."""
     rows = classes.select("rep", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).filter("c > 1").select("band", "pivot")
-    active = stored(rows.join(shared, "band").select("band", "rep", "n", "pivot"), "buckets")
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).filter("c > 1")
+    buckets = stored(rows.join(shared, "band").select("band", "rep", "n", "pivot", "c"), "buckets")
     shorts = classes.select("rep", "short")
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    # at first each class meets the smallest of its buckets' pivots alone: mostly all it takes
     sizes = classes.select(F.col("rep").alias("pivot"), F.col("n").alias("m"))
-    first = active.filter("rep <> pivot").groupBy("rep", "n").agg(F.min("pivot").alias("pivot")).join(sizes, "pivot").filter(fits)
+    first = buckets.filter("rep <> pivot").groupBy("rep", "n").agg(F.min("pivot").alias("pivot")).join(sizes, "pivot").filter(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     pairs = stored(_likely(first.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), shorts), "pairs")
     links = stored(_confirmed(pairs, docs, size, percent), "links")
-    active, salts = active.drop("pivot"), 1
-    while True:
-        found = stored(components(links), "components")
-        joined = active.select("band", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        joined = stored(joined, "joined")
-        open_bands = joined.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-        active = stored(joined.join(open_bands, "band"), "active")
-        discard(joined)
-        if active.isEmpty():
-            return found
-        salt = F.pmod(F.xxhash64("rep", F.lit(salts)), F.lit(salts))
-        pivots = stored(active.groupBy("band", salt.alias("salt")).agg(F.min(F.struct("rep", "n", "component")).alias("p")).select("band", F.col("p.rep").alias("pivot"), F.col("p.n").alias("m"), F.col("p.component").alias("pc")), "pivots")
-        rest = stored(active.join(pivots.select("band", F.col("pivot").alias("rep")), ["band", "rep"], "left_anti"), "rest")
-        wide = rest.select("band", "rep", "n", "component").union(pivots.select("band", "pivot", "m", "pc"))
-        pairs = wide.join(pivots, "band").filter("component <> pc").filter(fits)
-        # two pivots meet twice, in either order
-        pairs = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        pairs = stored(_likely(pairs, shorts), "pairs")
-        new = stored(_confirmed(pairs, docs, size, percent).unionByName(links), "links")
-        discard(active)
-        links, active, salts = new, rest, salts * 4
+    # then whatever shares a bucket and isn't known to be connected
+    known = stored(buckets.select("band", "rep", "n", "c").join(_labels(links), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "known")
+    open_bands = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "lo")
+    members = known.join(open_bands, "band").join(shorts, "rep")
+    pairs = stored(_across(members, percent), "pairs")
+    return components(stored(_confirmed(pairs, docs, size, percent).unionByName(links), "links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
