@@ -1,11 +1,14 @@
-"""Registry of the library's queries and their DuckDB equivalents."""
+"""All of the library's queries and their DuckDB equivalents."""
 
 from __future__ import annotations
 
+from tidemark.plans import q_pit, q_quality, q_sources, q_text  # noqa: F401  they fill the registry
+from tidemark.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
