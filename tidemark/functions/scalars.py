@@ -40,7 +40,7 @@ def segments_json(segments: Column) -> Column:
 
 def concept_name(tag: Column, version: Column) -> Column:
     """`taxonomy:tag`, the taxonomy being what stands before the version's slash; without slash the filer's own, `custom`."""
-    named = F.when(F.contains(version, F.lit("/")), F.concat(F.split_part(version, F.lit("/"), F.lit(1)), F.lit(":"), tag)).otherwise(F.concat(F.lit("custom:"), tag))
+    named = F.when(version.isNull(), F.lit(None)).when(F.contains(version, F.lit("/")), F.concat(F.split_part(version, F.lit("/"), F.lit(1)), F.lit(":"), tag)).otherwise(F.concat(F.lit("custom:"), tag))
     return F.coalesce(named, F.lit("custom:unknown"))
 
 
