@@ -2,13 +2,14 @@
 
 Each hash function of a set of shingles yields two values, its minimum and its maximum, both of which two sets share
 with a chance that is their Jaccard similarity; so half the hash evaluations fill a signature.  Signatures are cut into
-bands; documents that agree on a band are candidates.  With HASHES = 100 and bands of five values a pair at similarity
-0.8 has no common band once in ten million.
+bands; documents that agree on a band are candidates.  With 40 bands of five values a pair at similarity 0.8 has no
+common band once in ten million.
 
 Documents with equal sets form a class, and only its smallest doc_id takes part in the search.  In a bucket of
 candidates no pairs are listed.  At first every class is compared with one pivot, the smallest id that it shares a
 bucket with; that connects most of what is alike.  Then the members of a bucket that belong to different components are
-compared by signature, block against block, and only pairs near the limit come out to be confirmed.  So nothing is
+compared by signature, block against block: pairs whose overlaps with a common pivot rule them out are passed over, and
+only those near the limit come out, once, to be confirmed.  So nothing is
 capped, and a bucket of near copies costs its size, not its square.
 """
 
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_batches, slices, stored
 from tidemark.llm.graph import components
 
-#: Hash functions (two signature values each), values in a band.
-HASHES, BAND = 100, 5
+#: Hash functions (two signature values each), bands, and values in a band; all values serve for estimates.
+HASHES, BANDS, BAND = 150, 40, 5
 #: Members of a block.
 BLOCK = 128
 #: Pairs whose 8-bit signatures agree on less than this share are not confirmed; at similarity 0.8 that is more than four standard deviations off.
-SURE_SHARE = 0.68
+SURE_SHARE = 0.7
 #: Rows up to which a table of ids (16 bytes each) is broadcast; longer ones are joined by shuffling.
 BROADCAST_IDS = 300_000
 #: Entries of a worker's cache of word hashes.
@@ -85,9 +86,8 @@ def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray, band: int = BAND) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int = BANDS, band: int = BAND) -> np.ndarray:
     """A 64-bit key for each band of each signature: band j takes the values j, j + bands, j + 2 bands and so on."""
-    bands = sig.shape[1] // band
     out = np.arange(1, bands + 1, dtype=np.uint64) * _MIX + np.zeros((len(sig), 1), np.uint64)
     for i in range(band):
         out = _mixed(out * _MIX + sig[:, i * bands : (i + 1) * bands])
@@ -95,7 +95,9 @@ def band_keys(sig: np.ndarray, band: int = BAND) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hi, set_lo, bands, short): set size, 128-bit digest of the set, band keys, 8-bit signature.  Empty sets have null sketches."""
+    """(doc_id, n_shingles, set_hi, set_lo, bands, short, keys): set size, 128-bit digest of the set, band keys, 8-bit signature, 32-bit band keys.
+
+    Empty sets have null sketches."""
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
@@ -111,11 +113,11 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             sign = lambda x: x - (1 << 64) if x >> 63 else x
             hi, lo = (pa.array([sign(d >> 64) for d in digests], pa.int64()), pa.array([sign(d & (1 << 64) - 1) for d in digests], pa.int64()))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-            return [pa.array(n, pa.int32()), hi.take(at), lo.take(at), lists.take(at), pa.array([s.tobytes() for s in short], pa.binary()).take(at)]
+            return [pa.array(n, pa.int32()), hi.take(at), lo.take(at), lists.take(at), pa.array([s.tobytes() for s in short], pa.binary()).take(at), pa.array([k.tobytes() for k in keys.astype(np.uint32)], pa.binary()).take(at)]
 
         return work
 
-    fields = [pa.field("n_shingles", pa.int32()), pa.field("set_hi", pa.int64()), pa.field("set_lo", pa.int64()), pa.field("bands", pa.list_(pa.int64())), pa.field("short", pa.binary())]
+    fields = [pa.field("n_shingles", pa.int32()), pa.field("set_hi", pa.int64()), pa.field("set_lo", pa.int64()), pa.field("bands", pa.list_(pa.int64())), pa.field("short", pa.binary()), pa.field("keys", pa.binary())]
     return map_batches(docs, "text", make, fields, ["doc_id"])
 
 
@@ -123,62 +125,56 @@ def _small(ids: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(ids) if rows <= BROADCAST_IDS else ids
 
 
-def _likely(pairs: DataFrame, shorts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose 8-bit signatures agree often enough."""
-
-    def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("x", "y"))
-            same = (x == y).mean(axis=1) if b.num_rows else np.zeros(0)
-            yield b.select(["a", "b"]).filter(pa.array((same * 256 - 1) / 255 >= SURE_SHARE))
-
-    with_a = pairs.join(shorts.select(F.col("rep").alias("a"), F.col("short").alias("x")), "a")
-    return with_a.join(shorts.select(F.col("rep").alias("b"), F.col("short").alias("y")), "b").mapInArrow(run, "a bigint, b bigint")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those with 100 * intersection >= percent * union on full sets."""
+def _overlaps(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(a, b, x_n, y_n, both): set sizes and intersection of each pair (a, b), on full sets."""
 
     def run(batches):
         last, held = None, None
         for whole in batches:
             for part in slices(whole, "y"):
-                good = []
+                counts = []
                 for a, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "x", "y")), strict=True):
                     if a != last or held is None:
                         last, held = a, shingle_set(x, size)
                     other = shingle_set(y, size)
                     both = len(np.intersect1d(held, other, assume_unique=True))
-                    good.append(100 * both >= percent * (len(held) + len(other) - both) > 0)
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                    counts.append((len(held), len(other), both))
+                columns = np.array(counts, np.int32).reshape(-1, 3).T
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *map(pa.array, columns)], names=["a", "b", "x_n", "y_n", "both"])
 
     n = pairs.count()
     if not n:
-        return pairs
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        return pairs.selectExpr("a", "b", "0 as x_n", "0 as y_n", "0 as both")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select("doc_id", "text").join(_small(ids, n), "doc_id", "left_semi")
     near = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    return near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, x_n int, y_n int, both int")
+
+
+def _links(overlaps: DataFrame, percent: int) -> DataFrame:
+    return overlaps.filter(f"both > 0 and 100 * both >= {percent} * (x_n + y_n - both)").select("a", "b")
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """(rep, component) for rows that a link (a, b), a < b, ties to smaller ones: the smallest neighbour's smallest neighbour.
+    """(rep, component) for rows that a link (a, b), a < b, ties to smaller ones, four links on.
 
-    Two steps towards the component's smallest id, enough to tell most of what is connected already; what it misses
+    Some way towards the component's smallest id, enough to tell most of what is connected already; what it misses
     is only compared again."""
-    up = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("up"))
-    top = up.select(F.col("rep").alias("up"), F.col("up").alias("top"))
-    return up.join(top, "up", "left").select("rep", F.coalesce("top", "up").alias("component"))
+    up = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("component"))
+    for _ in range(2):
+        top = up.select(F.col("rep").alias("component"), F.col("component").alias("top"))
+        up = up.join(top, "component", "left").select("rep", F.coalesce("top", "component").alias("component"))
+    return up
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): likely pairs of different components in the same bucket, compared block against block.
+    """(a, b): likely pairs of different components in the same bucket, compared block against block; each pair once.
 
-    members: (band, rep, n, component, short, lo, c): c rows in the band, whose smallest component is lo.  A bucket is
+    members: (band, rep, n, component, short, keys, place, pivot, both, lo, c): `both` shingles shared with the pivot; c rows in the band, whose smallest component is lo.  A bucket is
     cut by hash into blocks of about BLOCK members, apart for component lo (usually nearly all) and the others; blocks
     of the others meet each other and those of lo, as arrays of signatures, and only pairs that pass come out."""
     cut = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK)).cast("int")
-    item = F.struct("rep", "n", "component", "short")
+    item = F.struct("rep", "n", "component", "short", "keys", "place", "pivot", "both")
     blocks = stored(members.groupBy("band", (F.col("component") == F.col("lo")).alias("main"), cut.alias("part")).agg(F.collect_list(item).alias("items")), "blocks")
 
     def run(batches):
@@ -186,10 +182,12 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             for batch in slices(whole, "y"):
                 found_a, found_b = [], []
                 for x, y in zip(*(_blocks(batch.column(c)) for c in ("x", "y")), strict=True):
-                    for rep, n, component, short in zip(*x, strict=True):
-                        near = (y[2] != component) & (100 * np.minimum(y[1], n) >= percent * np.maximum(y[1], n))
-                        at = np.flatnonzero(near)
+                    for rep, n, component, short, keys, place, pivot, both in zip(*x, strict=True):
+                        # what two sets share lies in the pivot or outside it: no more than either has there
+                        most = np.where(y[6] == pivot, np.minimum(y[7], both) + np.minimum(y[1] - y[7], n - both), np.minimum(y[1], n))
+                        at = np.flatnonzero((y[2] != component) & (100 * most >= percent * (y[1] + n - most)))
                         at = at[(y[3][at] == short).mean(axis=1) * 256 - 1 >= SURE_SHARE * 255]
+                        at = at[~(y[4][at, :place] == keys[:place]).any(axis=1)]  # a band before this one has the pair too
                         found_a.append(np.minimum(y[0][at], rep))
                         found_b.append(np.maximum(y[0][at], rep))
                 pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1) if found_a else np.zeros((2, 0), np.int64)
@@ -201,31 +199,33 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(column: pa.Array) -> list[tuple]:
-    """(reps, sizes, components, signatures) of each row's array of structs."""
+    """(reps, sizes, components, signatures, 32-bit band keys, the bucket's band, pivots, overlaps with them) of each row's array of structs."""
     ends = np.cumsum([0, *column.value_lengths().to_numpy(zero_copy_only=False)])
     flat = column.flatten()
     rep, n, component = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
     short = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint8).reshape(len(rep), -1)
-    return [(rep[i:j], n[i:j], component[i:j], short[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+    keys = np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint32).reshape(len(rep), -1)
+    place, pivot, both = (flat.field(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7))
+    return [(rep[i:j], n[i:j], component[i:j], short[i:j], keys[i:j], place[i:j], pivot[i:j], both[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, component) of the linked classes; classes: (rep, n, bands, short), stored."""
-    rows = classes.select("rep", "n", F.explode("bands").alias("band"))
+    """(node, component) of the linked classes; classes: (rep, n, bands, short, keys), stored."""
+    rows = classes.select("rep", "n", F.posexplode("bands").alias("place", "band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).filter("c > 1")
-    buckets = stored(rows.join(shared, "band").select("band", "rep", "n", "pivot", "c"), "buckets")
-    shorts = classes.select("rep", "short")
+    buckets = stored(rows.join(shared, "band").select("band", "place", "rep", "n", "pivot", "c"), "buckets")
     # at first each class meets the smallest of its buckets' pivots alone: mostly all it takes
-    sizes = classes.select(F.col("rep").alias("pivot"), F.col("n").alias("m"))
-    first = buckets.filter("rep <> pivot").groupBy("rep", "n").agg(F.min("pivot").alias("pivot")).join(sizes, "pivot").filter(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    pairs = stored(_likely(first.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), shorts), "pairs")
-    links = stored(_confirmed(pairs, docs, size, percent), "links")
-    # then whatever shares a bucket and isn't known to be connected
-    known = stored(buckets.select("band", "rep", "n", "c").join(_labels(links), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "known")
+    first = buckets.filter("rep <> pivot").groupBy("rep").agg(F.min("pivot").alias("pivot"))
+    overlaps = stored(_overlaps(first.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), docs, size), "overlaps")
+    links = _links(overlaps, percent)
+    # then whatever shares a bucket, isn't known to be connected, and could be alike as far as pivots and signatures tell
+    known = stored(buckets.select("band", "place", "rep", "n", "c").join(_labels(links), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "known")
     open_bands = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "lo")
-    members = known.join(open_bands, "band").join(shorts, "rep")
+    # a pivot of its own has all its shingles in common with itself
+    met = classes.select("rep", "short", "keys", "n").join(overlaps.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "both"), "rep", "left").select("rep", "short", "keys", F.coalesce("pivot", "rep").alias("pivot"), F.coalesce("both", "n").alias("both"))
+    members = known.join(open_bands, "band").join(met, "rep")
     pairs = stored(_across(members, percent), "pairs")
-    return components(stored(_confirmed(pairs, docs, size, percent).unionByName(links), "links"))
+    return components(stored(_links(_overlaps(pairs, docs, size), percent).unionByName(links), "links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -238,8 +238,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sketches = stored(sketch(docs.select("doc_id", "text"), size), "sketches")
     keyed = sketches.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(keyed.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.join(keyed.select(F.col("doc_id").alias("rep"), "set_hi", "set_lo", F.col("n_shingles").alias("n"), "bands", "short"), ["rep", "set_hi", "set_lo"]).dropDuplicates(["rep"])
-    linked = link_classes(docs, stored(reps.select("rep", "n", "bands", "short"), "reps"), size, percent)
+    reps = classes.join(keyed.select(F.col("doc_id").alias("rep"), "set_hi", "set_lo", F.col("n_shingles").alias("n"), "bands", "short", "keys"), ["rep", "set_hi", "set_lo"]).dropDuplicates(["rep"])
+    linked = link_classes(docs, stored(reps.select("rep", "n", "bands", "short", "keys"), "reps"), size, percent)
     of_class = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_hi", "set_lo").join(of_class, ["set_hi", "set_lo"], "left")
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
