@@ -7,8 +7,8 @@ the check value; taking that digest out of its other cells bares more, until the
 which the two versions differ are known.
 
 The fingerprint has CELLS cells.  If two fingerprints differ in more than those can hold, peeling gets stuck and both
-sides are sketched again, larger: digests are dealt to strata by their hash, each with CELLS cells, four times as many
-strata in each attempt.
+sides are sketched again, larger: digests are dealt to strata by their hash, each with CELLS cells; a stratum that is
+stuck is dealt to four more.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cells of a fingerprint and of each stratum; digests that a stratum of the first larger attempt holds on average.
-CELLS, LOAD = 24, 6
-#: Peeling rounds in a sketch, and larger attempts; a pair that is still stuck (none in 10**9) compares its digests.
-ROUNDS, ATTEMPTS = 12, 3
+CELLS, LOAD = 24, 8
+#: Peeling rounds in a sketch.  A stratum that is stuck twice compares its digests themselves.
+ROUNDS = 10
 
 _LONG = "bigint"
 
@@ -81,19 +81,30 @@ def peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda s: F.when(~left(s), F.struct(s["mine"].alias("mine"), s["theirs"].alias("theirs"))))
 
 
-def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """struct(mine, theirs) of two sets of digests, from their fingerprints or, where those are too small, larger sketches."""
+def _split(a: Column, b: Column, parts: Column, seed: int, solve) -> Column:
+    """Deal both sides' digests to `parts` strata, solve each and add up; null if a stratum has none."""
+
+    def one(s: Column) -> Column:
+        mine = lambda e: F.pmod(F.xxhash64(e["key"], F.lit(seed)), parts) == s
+        both = F.array(F.struct(F.filter(a, mine).alias("a"), F.filter(b, mine).alias("b")))
+        return F.transform(both, lambda x: solve(x["a"], x["b"]))[0]  # bound once, as the only element of an array
+
+    add = lambda t, p: F.struct((t["mine"] + p["mine"]).alias("mine"), (t["theirs"] + p["theirs"]).alias("theirs"))
+    start = F.struct(F.lit(0).alias("mine"), F.lit(0).alias("theirs"))
+    return F.aggregate(F.transform(F.sequence(F.lit(0), parts - 1), one), start, add, lambda t: F.when(t["mine"].isNotNull(), t))
 
-    def attempt(k: int) -> Column:
-        strata = F.ceil((F.size(a) + F.size(b)) / F.lit(LOAD)).cast("int") * F.lit(4**k)
-        inside = lambda e, s: F.pmod(F.xxhash64(e["key"], F.lit(-2)), strata) == s
-        peeled = F.transform(F.sequence(F.lit(0), strata - 1), lambda s: peel(subtract(sketch(F.filter(a, lambda e: inside(e, s))), sketch(F.filter(b, lambda e: inside(e, s))))))
-        total = F.aggregate(peeled, F.struct(F.lit(0).alias("mine"), F.lit(0).alias("theirs")), lambda t, p: F.struct((t["mine"] + p["mine"]).alias("mine"), (t["theirs"] + p["theirs"]).alias("theirs")))
-        return F.when(total["mine"].isNotNull(), total)
 
+def _plain(a: Column, b: Column) -> Column:
     key = lambda x: F.transform(x, lambda e: e["key"])
-    plain = F.struct(F.size(F.array_except(key(a), key(b))).alias("mine"), F.size(F.array_except(key(b), key(a))).alias("theirs"))
-    return F.coalesce(peel(subtract(cells_a, cells_b)), *(attempt(k) for k in range(ATTEMPTS)), plain)
+    return F.struct(F.size(F.array_except(key(a), key(b))).alias("mine"), F.size(F.array_except(key(b), key(a))).alias("theirs"))
+
+
+def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
+    """struct(mine, theirs) of two sets of digests, from their fingerprints or, where those are too small, larger sketches."""
+    fresh = lambda x, y: peel(subtract(sketch(x), sketch(y)))
+    again = lambda x, y: F.coalesce(fresh(x, y), _split(x, y, F.lit(4), -3, fresh), _plain(x, y))
+    strata = ((F.size(a) + F.size(b) + LOAD) / LOAD).cast("int")
+    return F.coalesce(peel(subtract(cells_a, cells_b)), _split(a, b, strata, -2, again))
 
 
 def likeness(a: Column, diff: Column) -> Column:
