@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators import pit, quality
+from tidemark.operators import quality
 from tidemark.plans import views
 from tidemark.plans.registry import query
-from tidemark.plans.views import BARS, CHAINED, EDGES, FACTS, FILINGS, STATEMENTS, table
+from tidemark.plans.views import BARS, EDGES, FACTS, FILINGS, STATEMENTS, table
 
 BY = ["l_suppkey", "fiscal_year", "fiscal_period"]
 _CLOSE = "abs({a} - ({b})) <= 0.01 * greatest(abs({a}), abs({b}), 1)"

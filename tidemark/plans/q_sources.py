@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators import pit
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.plans.views import FACT_KEYS, FACTS, table
