@@ -65,13 +65,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield from slices(batch.slice(half), column, limit)
 
 
-def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], list]], added: list[pa.Field], keep: list[str] | None = None, reads: tuple[str, ...] = ()) -> DataFrame:
+def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], list]], added: list[pa.Field], keep: list[str] | None = None, reads: tuple[str, ...] = (), limit: int = SLICE_BYTES) -> DataFrame:
     """Add columns computed from Arrow batches.
 
     `make` runs once in each task and returns the function that maps a batch to a list of arrays, one for each
     field in `added`.  Batches are cut by the size of `column`, so memory does not follow the row count.  Added
     columns replace columns of the same name (compared as Spark does, without case).  `keep` names the columns
-    that pass through, all of them by default; `reads` names others that `make` needs.
+    that pass through, all of them by default; `reads` names others that
+    `make` needs; `limit` replaces SLICE_BYTES.
     """
     fresh = {f.name.lower() for f in added}
     kept = [c for c in (keep if keep is not None else df.columns) if c.lower() not in fresh]
@@ -83,7 +84,7 @@ def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for batch in slices(whole, column):
+            for batch in slices(whole, column, limit):
                 if batch.num_rows:
                     arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept] + work(batch)
                     yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(f.name for f in added)])

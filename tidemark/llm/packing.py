@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
-from itertools import islice
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,17 @@ from tidemark.llm.common import map_batches, stored
 LENGTH, END = 2048, 1
 #: Hashed buckets of a document vector; dimensions of the curve, and bits of each.
 BUCKETS, DIMENSIONS, BITS = 256, 4, 10
-#: Entries of a worker's cache of words; sequences that a partition may number.
-CACHE_ENTRIES, STRIDE = 400_000, 1 << 36
+#: Entries of a worker's cache of words (some 30 bytes each), and of stems as text; sequences that a partition may number.
+CACHE_ENTRIES, STEMS, STRIDE = 2_500_000, 150_000, 1 << 36
+#: Bytes of text encoded at once: hashing them takes some sixty times as much.
+ENCODE_BYTES = 2 << 20
 
 
 class WordIds:
-    """Ids of a tokenizers vocabulary whose pre-tokens never cross white space: words are encoded once and remembered."""
+    """Ids of a tokenizers vocabulary whose pre-tokens never cross ASCII white space.
+
+    Words are cut, hashed and looked up by numpy over the bytes of many texts; only words that aren't known yet go
+    through the library.  A word's hash is a random polynomial of its bytes, modulo 2**64."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,26 +44,88 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([END], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
+        r = np.random.default_rng(5)
+        self.letters = r.integers(0, 2**64, 256, np.uint64)
+        self.base = np.uint64(int(r.integers(0, 2**63)) * 2 + 1)
+        self.inverse = np.uint64(pow(int(self.base), -1, 2**64))
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.powers = self.roots = np.zeros(0, np.uint64)
+        self.stems: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and hashes of the words of some bytes."""
+        if len(self.powers) < len(data) + 1:
+            n = len(data) + 1
+            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, self.base)]), dtype=np.uint64)
+            self.roots = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, self.inverse)]), dtype=np.uint64)
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ~self.space[data]
+        turn = np.diff(inside)
+        starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.letters[data] * self.powers[: len(data)], out=total[1:])
+        h = (total[ends] - total[starts]) * self.roots[starts]
+        h = (h ^ (ends - starts).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return starts, ends, h ^ (h >> np.uint64(32))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, END behind them.  Separators U+001C to U+001F are white space in Python alone, so texts with them go whole."""
-        odd = [t for t in texts if any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        whole = dict(zip(odd, self.packed(odd), strict=True)) if odd else {}
-        split = [[] if t in whole else t.split() for t in texts]
-        distinct: set[str] = set().union(*split)
-        missing = distinct - self.known.keys()
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
-            self.known = dict(islice(self.known.items(), CACHE_ENTRIES // 2))  # what came first comes often
-            missing = distinct - self.known.keys()
-        new = list(missing)
-        self.known.update(zip(new, self.packed(new), strict=True))
-        known = self.known.__getitem__
-        return [(whole[t] if t in whole else b"".join(map(known, ws))) + self.end for t, ws in zip(texts, split, strict=True)]
+        """Each text's ids, END behind them."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        whole = b"\n".join(raw)
+        starts, ends, h = self.words(np.frombuffer(whole, np.uint8))
+        unique, first, back = np.unique(h, return_index=True, return_inverse=True)
+        self.learn(unique, first, starts, ends, whole)
+        at = np.searchsorted(self.hashes, unique)[back]
+        sizes = self.sizes[at]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(self.starts[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+        text_ends = np.cumsum([len(r) + 1 for r in raw]) - 1
+        cuts = upto[np.searchsorted(starts, text_ends)]  # tokens of the words that start before each text's end
+        ids = np.insert(ids, cuts, np.array(END, self.kind))
+        edges = [0, *(cuts + np.arange(1, len(cuts) + 1))]
+        return [ids[i:j].tobytes() for i, j in pairwise(edges)]
+
+    def learn(self, unique: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: bytes) -> None:
+        """Add the words that aren't known, in hash order.
+
+        An ASCII word counts as its lower case, and a full stop or comma behind a letter is a pre-token of its own, so
+        such words share the stem that the library is asked for."""
+        if len(self.hashes) + len(unique) > CACHE_ENTRIES:
+            self.forget()
+        place = np.searchsorted(self.hashes, unique)
+        known = np.zeros(len(unique), bool)
+        known[place < len(self.hashes)] = self.hashes[place[place < len(self.hashes)]] == unique[place < len(self.hashes)]
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return
+        made, ask = [], {".": None, ",": None}
+        for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True):
+            word, stop = whole[i:j].decode("utf-8", "surrogatepass"), ""
+            if word.isascii():
+                word = word.lower()
+                if word[-1] in ".," and word[-2:-1].isalpha():
+                    word, stop = word[:-1], word[-1]
+            made.append((word, stop))
+            if word not in self.stems:
+                ask[word] = None
+        if len(self.stems) + len(ask) > STEMS:
+            self.stems.clear()
+            ask |= dict.fromkeys(w for w, _ in made)
+        self.stems.update(zip(ask, self.packed(list(ask)), strict=True))
+        got = [self.stems[w] + (self.stems[s] if s else b"") for w, s in made]
+        sizes = np.array([len(g) for g in got], np.int64) // self.kind.itemsize
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), self.kind)])
+        into = place[new]
+        self.hashes, self.starts, self.sizes = (np.insert(x, into, y) for x, y in ((self.hashes, unique[new]), (self.starts, begin), (self.sizes, sizes)))
 
 
 @lru_cache(2)
@@ -112,7 +179,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), "text", make, [pa.field("ids", pa.binary()), pa.field("curve", pa.int64())], ["doc_id"])
+    return map_batches(docs.select("doc_id", "text"), "text", make, [pa.field("ids", pa.binary()), pa.field("curve", pa.int64())], ["doc_id"], limit=ENCODE_BYTES)
 
 
 _PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
