@@ -10,9 +10,8 @@ when no merge across their border would come before the merges that hide the bor
 from __future__ import annotations
 
 import json
-import struct
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_batches
 
 #: Entries of a worker's caches: encoded words, and pairs of tokens with whether they may stand side by side.
-CACHE_ENTRIES, BORDERS = 600_000, 400_000
+CACHE_ENTRIES, BORDERS = 250_000, 150_000
+#: Bytes of text encoded at once: its pieces take over ten times as much.
+ENCODE_BYTES = 3 << 20
 
 #: Fixed value: the published split pattern of byte-level BPE; the library's white space is Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -66,20 +67,23 @@ class ByteBPE:
         if any(made.get(part, (0, 0, -1))[2] > r for x, y, r in made.values() for part in (x, y)):
             raise ValueError("a merge comes before the merges of its parts")
         self.made = made
-        self.right, self.left = [self.spine(t, 1) for t in range(size)], [self.spine(t, 0) for t in range(size)]
-        self.holds: dict[tuple[int, int], bool] = {}
-        self.bytes = [bytes([b]) for b in range(256)]
+        self.spine = lru_cache(1 << 15)(self.find_spine)
+        self.holds: dict[int, bool] = {}
+        self.sizes = [len(b) for b in self.texts]
+        self.packed = [np.int32(i).tobytes() for i in range(size)]
+        self.longer = {self.ids[b[:-1]] << 8 | b[-1]: i for b, i in self.ids.items() if b[:-1] in self.ids}
         lengths: dict[bytes, set[int]] = {}
         for b in self.ids:
-            lengths.setdefault(b[-4:], {1, 2, 3}).add(len(b))
+            lengths.setdefault(b[-4:], {2, 3}).add(len(b))
         self.tails = {tail: tuple(sorted(ls, reverse=True)) for tail, ls in lengths.items()}  # of tokens that end so
         if any(bytes([b]) not in self.ids for b in range(256)):
             raise ValueError("a byte is not in the vocabulary")
+        self.single = [self.ids[bytes([b])] for b in range(256)]
         self.cut = regex.compile(PATTERN).findall
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.known = {s: np.int32(i).tobytes() for s, i in special.items()}
 
-    def spine(self, token: int, side: int) -> list[tuple[int, float]]:
+    def find_spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The token and its outermost parts on a side, each with the rank of the merge that takes it up."""
         out, taken = [], float("inf")
         while True:
@@ -91,60 +95,77 @@ class ByteBPE:
 
     def border_holds(self, first: int, second: int) -> bool:
         """Whether BPE leaves `first` and `second` side by side; of equal merges, the one further left goes first."""
-        for x, hidden in self.right[first]:
-            for y, covered in self.left[second]:
+        for x, hidden in self.spine(first, 1):
+            for y, covered in self.spine(second, 0):
                 r = self.rank.get((x, y))
                 if r is not None and r < hidden and r <= covered:
                     return False
         return True
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of distinct words, by one depth-first walk of their trie.
-
-        `last[i]` is the token that ends the first i + 1 bytes of the path from the root; going down by a byte tries
-        the tokens that end like the path, and just one of them may follow what stands before it."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for b in word.encode("utf-8", "surrogatepass"):
-                below = node.get(b)
-                if below is None:
-                    below = node[b] = {}
-                node = below
-            node[-1] = word
-        out: dict[str, tuple[int, ...]] = {}
-        ids, tails, texts, holds, border = self.ids, self.tails, self.texts, self.holds, self.border_holds
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words, packed, by one depth-first walk of their trie.
+
+        Sorted words are the leaves of their trie in depth-first order: what a word shares with the one before is
+        the path that both have, and its states stay.  `last[i]` is the token that ends the first i + 1 bytes; going
+        down by a byte tries the last token made longer, then the byte alone, then the other tokens that end like the
+        path, and just one of all may follow what stands before it."""
+        out: dict[str, bytes] = {}
+        ids, tails, sizes, packed, holds, border, longer, single = self.ids, self.tails, self.sizes, self.packed, self.holds, self.border_holds, self.longer, self.single
         if len(holds) > BORDERS:
             holds.clear()
+        short = (3, 2)
         last: list[int] = []
-        short = (3, 2, 1)
-        waiting = [(b"", trie)]
-        while waiting:
-            prefix, node = waiting.pop()
-            n = len(prefix)
-            if n:
-                del last[n - 1 :]
-                for length in tails.get(prefix[-4:], short):
-                    token = ids.get(prefix[n - length :]) if length <= n else None
-                    if token is not None:
-                        if length == n:
-                            break
-                        key = (last[n - length - 1], token)
-                        fits = holds.get(key)
-                        if fits is None:
-                            fits = holds[key] = border(*key)
-                        if fits:
-                            break
+        before = b""
+        for path, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            depth, most = 0, min(len(before), len(path))
+            while depth < most and before[depth] == path[depth]:
+                depth += 1
+            del last[depth:]
+            before = path
+            for n in range(depth, len(path)):
+                byte = path[n]
+                if not n:
+                    last.append(single[byte])
+                    continue
+                above = last[-1]
+                token = longer.get(above << 8 | byte)
+                if token is not None:
+                    start = n - sizes[above] - 1
+                    if start < 0:
+                        last.append(token)
+                        continue
+                    key = last[start] << 20 | token
+                    fits = holds.get(key)
+                    if fits is None:
+                        fits = holds[key] = border(last[start], token)
+                    if fits:
+                        last.append(token)
+                        continue
+                token = single[byte]
+                key = above << 20 | token
+                fits = holds.get(key)
+                if fits is None:
+                    fits = holds[key] = border(above, token)
+                if not fits:
+                    for length in tails.get(path[max(0, n - 3) : n + 1], short):
+                        token = ids.get(path[n + 1 - length : n + 1]) if length <= n + 1 else None
+                        if token is not None:
+                            if length == n + 1:
+                                break
+                            key = last[n - length] << 20 | token
+                            fits = holds.get(key)
+                            if fits is None:
+                                fits = holds[key] = border(last[n - length], token)
+                            if fits:
+                                break
                 last.append(token)
-            for b, below in node.items():
-                if b >= 0:
-                    waiting.append((prefix + self.bytes[b], below))
-                else:
-                    found, end = [], n
-                    while end:
-                        found.append(last[end - 1])
-                        end -= len(texts[last[end - 1]])
-                    out[below] = tuple(found[::-1])
+            found, end = [], len(path)
+            while end:
+                token = last[end - 1]
+                found.append(packed[token])
+                end -= sizes[token]
+            found.reverse()
+            out[word] = b"".join(found)
         return out
 
     def pieces(self, text: str) -> list[str]:
@@ -160,8 +181,7 @@ class ByteBPE:
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces: their pre-tokens that are new through the trie, the others from what is known."""
         known, cut = self.known, [self.cut(p) for p in pieces]
-        words = [w for w in set().union(*cut) if w not in known]
-        known.update((w, struct.pack(f"<{len(ids)}i", *ids)) for w, ids in self.encode_words(words).items())
+        known.update(self.encode_words(list(set().union(*cut) - known.keys())))
         known.update((p, b"".join(map(known.__getitem__, c))) for p, c in zip(pieces, cut, strict=True) if len(c) > 1)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +191,11 @@ class ByteBPE:
             parts = self.cut_special(text) if self.has_special(text) else [text]
             split.append([p for part in parts if part for p in ([part] if part in self.special else self.pieces(part))])
         distinct: set[str] = set().union(*split)
-        missing = [p for p in distinct if p not in self.known]
+        missing = distinct - self.known.keys()
         if len(self.known) + len(missing) > CACHE_ENTRIES:
             self.known = dict(islice(self.known.items(), CACHE_ENTRIES // 2))  # what came first comes often
-            missing = [p for p in distinct if p not in self.known]
-        self.learn(missing)
+            missing = distinct - self.known.keys()
+        self.learn(list(missing))
         known = self.known.__getitem__
         found = [b"".join(map(known, ps)) for ps in split]
         return np.frombuffer(b"".join(found), np.int32), np.cumsum([0, *(len(b) // 4 for b in found)])
@@ -183,15 +203,27 @@ class ByteBPE:
     def has_special(self, text: str) -> bool:
         return any(s in text for s in self.special)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
-
 
 @lru_cache(2)
 def vocabulary(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+@lru_cache(2)
+def token_texts(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    symbols, special = byte_symbols(), {a["content"]: a["id"] for a in spec["added_tokens"]}
+    out = {i: bytes(symbols[c] for c in s) for s, i in spec["model"]["vocab"].items() if s not in special}
+    out |= {i: s.encode() for s, i in special.items()}
+    return [out.get(i, b"") for i in range(max(out) + 1)]
+
+
+def decode(texts: list[bytes], ids: list[int]) -> str:
+    return b"".join(map(texts.__getitem__, ids)).decode("utf-8", "replace")
+
+
 def encode_bpe(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
     """Add `ids`, an array of ints: every whole `text` as the vocabulary at `path` encodes it.
 
@@ -209,7 +241,7 @@ def encode_bpe(docs: DataFrame, path: str, keep: list[str] | None = None) -> Dat
 
         return work
 
-    return map_batches(docs, "text", make, [pa.field("ids", pa.list_(pa.int32()))], keep)
+    return map_batches(docs, "text", make, [pa.field("ids", pa.list_(pa.int32()))], keep, limit=ENCODE_BYTES)
 
 
 def decode_bpe(encoded: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
@@ -219,8 +251,14 @@ def decode_bpe(encoded: DataFrame, path: str, keep: list[str] | None = None) ->
     """
 
     def make():
-        bpe = vocabulary(path)
-        return lambda batch: [pa.array([bpe.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())]
+        texts = token_texts(path)
+
+        def work(batch: pa.RecordBatch) -> list:
+            column = batch.column("ids")
+            ids, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])
+            return [pa.array([decode(texts, ids[a:b].tolist()) for a, b in pairwise(ends)], pa.string())]
+
+        return work
 
     return map_batches(encoded, "ids", make, [pa.field("decoded", pa.string())], keep)
 
