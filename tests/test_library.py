@@ -122,6 +122,38 @@ def test_fuzzy_resolution(spark):
     assert got == {"APPLE COMPUTER": "e1", "Microsofte Corporation": "e2", "Nobody Knows": "unresolved:Nobody Knows", "": "unresolved:empty"}
 
 
+def test_no_key_is_left_out_of_a_large_block(spark):
+    fillers = [(f"f{i}", f"NATIONAL BANK {i}", f"T{i}", i) for i in range(1200)]
+    reg = spark.createDataFrame([*fillers, ("small", "FRISKY WIDGETS", "FW", 2000), ("right", "FIRST NATIONAL BANK", "FNB", 2001)], "entity_id string, name string, ticker string, pos int")
+    m = spark.createDataFrame([("Frist National Bank",)], "name string")
+    keys = resolve.index(reg)
+    name = "FRIST NATIONAL BANK"
+    score, _, entity = max((resolve.token_set_score(name, r.key), r.key, r.entity_id) for r in keys.collect())
+    got = resolve.resolve(m, keys).first()
+    assert (got.entity_id, got.score) == (entity, score) == ("right", pytest.approx(94.7368, abs=1e-4))
+
+
+def test_best_keys_against_all_pairs():
+    import random
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b, 1):
+                row[j], left = (left + 1 if x == y else max(row[j], row[j - 1])), row[j]
+        return row[-1]
+
+    r = random.Random(5)
+    words = ["".join(r.choices("ABCDE\u00c4\u4e2d", k=r.randint(1, 8))) for _ in range(60)]
+    keys = sorted({" ".join(r.choices(words, k=r.randint(1, 4))) for _ in range(400)})
+    names = ["".join(c for c in k if r.random() > 0.1) + r.choice(["", " A", "X"]) for k in r.sample(keys, 120)]
+    for a, b in zip(names, keys, strict=False):
+        assert a + b == "" or resolve._ratio(a, b) == 200.0 * lcs(a, b) / (len(a) + len(b))
+    expected = [max((resolve.token_set_score(n, k), k, i) for i, k in enumerate(keys)) for n in names]
+    assert resolve.best_keys(names, keys) == [(s, i) for s, _, i in expected]
+
+
 def test_tsv_and_registry(spark, tmp_path):
     (tmp_path / "num.tsv").write_text("adsh\ttag\nx\tA\ny\tB\n")
     assert loaders.read_tsv(spark, [f"file://{tmp_path}/num.tsv"], "adsh string, tag string").count() == 2

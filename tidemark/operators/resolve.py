@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
@@ -11,6 +12,8 @@ from tidemark.operators import pit
 
 #: Score from which a fuzzy match counts.
 THRESHOLD = 88.0
+#: Names and keys of a block; a task holds one of each.
+NAMES, KEYS = 512, 4096
 
 
 def index(registry: DataFrame) -> DataFrame:
@@ -32,17 +35,17 @@ def attribute_news(news: DataFrame, registry: DataFrame, keep_unresolved: bool =
 
 
 def _ratio(a: str, b: str) -> float:
-    """Shared length of two texts over both, as 100 * 2 * LCS / total."""
+    """Shared length of two texts over both, as 100 * 2 * LCS / total; a row of the LCS table is the zero bits of one integer."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return 200.0 * row[-1] / (len(a) + len(b))
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for x in b:
+        met = row & masks.get(x, 0)
+        row = (row + met | row - met) & full
+    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 def token_set_score(a: str, b: str) -> float:
@@ -55,30 +58,82 @@ def token_set_score(a: str, b: str) -> float:
     return max(_ratio(p, q), _ratio(shared, p) if shared else 0.0, _ratio(shared, q) if shared else 0.0)
 
 
-def _scores(a: Column, b: Column) -> Column:
-    def convert(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([token_set_score(p, q) for p, q in zip(x, y, strict=True)])
-
-    return F.pandas_udf(convert, "double")(a, b)
-
-
-def resolve(mentions: DataFrame, keys: DataFrame, max_names: int = 1000) -> DataFrame:
+def best_keys(names: list[str], keys: list[str]) -> list[tuple[float, int]]:
+    """For each name the best token_set_score among all keys, and the place of the greatest key that has it.
+
+    No key is left out unscored unless a bound rules it out: a likeness is at most what the counts of characters of both
+    sets of words (in 64 classes) have in common, or what the shared words make of it, which is exact."""
+    sets = [sorted(set(k.split())) for k in keys]
+    holders: dict[str, list[int]] = {}
+    for i, words in enumerate(sets):
+        for w in words:
+            holders.setdefault(w, []).append(i)
+    counts, sizes = _characters([" ".join(words) for words in sets])
+    own_counts, own_sizes = _characters([" ".join(sorted(set(n.split()))) for n in names])
+    out = []
+    for name, own, size in zip(names, own_counts, own_sizes, strict=True):
+        shared = np.zeros(len(keys), np.int64)
+        for w in set(name.split()) & holders.keys():
+            shared[holders[w]] += len(w) + 1
+        shared = np.maximum(shared - 1, 0)
+        sure = 200.0 * shared / np.maximum(shared + np.minimum(sizes, size), 1)
+        most = np.maximum(sure, 200.0 * np.minimum(counts, own).sum(axis=1) / np.maximum(sizes + size, 1))
+        found, least = (0.0, "", 0), sure.max()
+        likely = np.flatnonzero(most >= least)
+        for i in likely[np.argsort(-most[likely], kind="stable")]:
+            if most[i] < found[0]:
+                break
+            found = max(found, (token_set_score(name, keys[i]), keys[i], int(i)))
+        out.append((found[0], found[2]))
+    return out
+
+
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each text has the characters of each of 64 classes, and the lengths of the texts."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) % 64
+    return np.bincount(np.repeat(np.arange(len(texts)), sizes) * 64 + codes, minlength=64 * len(texts)).reshape(-1, 64).astype(np.int32), sizes
+
+
+def _blocks(rows: DataFrame, column: str, size: int) -> DataFrame:
+    """The rows of each partition as arrays `column` of at most `size` structs."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                items = pa.StructArray.from_arrays(part.columns, names=part.schema.names)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)], names=[column])
+
+    return rows.mapInArrow(run, f"{column} array<{rows.schema.simpleString()}>")
+
+
+def _scan(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, k, entity_id, score): the best of each block of keys (k, entity_id) for each asked key; blocks meet in map tasks, no pair is a row."""
+
+    def run(batches):
+        for batch in batches:
+            for names, held in zip(batch.column("names"), batch.column("held"), strict=True):
+                name, k, e = names.values.field("key").to_pylist(), held.values.field("k").to_pylist(), held.values.field("entity_id").to_pylist()
+                best = best_keys(name, k)
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array([k[i] for _, i in best], pa.string()), pa.array([e[i] for _, i in best], pa.string()), pa.array([s for s, _ in best], pa.float64())], names=["key", "k", "entity_id", "score"])
+
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = _blocks(asked.repartition(tasks), "names", NAMES).crossJoin(_blocks(keys, "held", KEYS))
+    return pairs.mapInArrow(run, "key string, k string, entity_id string, score double")
+
+
+def resolve(mentions: DataFrame, keys: DataFrame) -> DataFrame:
     """Add to mentions (name): entity_id and score.  keys: what `index` gives.
 
-    Exact normalised names come first, by an equi-join of the distinct names.  What is left meets only keys that share
-    a word or a word's first four letters; blocks that more than `max_names` keys share say little and are passed over
-    unless they are all a name has.  The best score from THRESHOLD on wins, ties by key; else a placeholder."""
+    Exact normalised names come first, by an equi-join of the distinct names.  What is left is compared with every key,
+    block against block; a key is passed over only where a bound proves that another is better (`best_keys`).  The best
+    score from THRESHOLD on wins, ties by key; else a placeholder."""
     names = mentions.select("name").distinct().withColumn("key", fn.normalise_name(F.col("name")))
     exact = names.join(keys, "key").select("name", "entity_id", F.lit(100.0).alias("score"))
     rest = names.join(exact.select("name"), "name", "left_anti").filter("key <> ''")
-    words = lambda k: F.array_distinct(F.flatten(F.transform(F.split(k, " "), lambda w: F.array(w, F.concat(F.left(w, F.lit(4)), F.lit("*"))))))
-    key_blocks = keys.select(F.col("key").alias("k"), "entity_id", F.explode(words(F.col("key"))).alias("b"))
-    useful = key_blocks.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
-    asked = rest.select("name", "key", F.explode(words(F.col("key"))).alias("b")).join(useful, "b")
-    least = asked.withColumn("least", F.min("size").over(Window.partitionBy("name"))).filter((F.col("size") <= max_names) | (F.col("size") == F.col("least")))
-    pairs = least.select("name", "key", "b").join(key_blocks, "b").select("name", "key", "k", "entity_id").distinct()
-    best = pairs.withColumn("score", _scores(F.col("key"), F.col("k"))).filter(F.col("score") >= THRESHOLD).groupBy("name").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", "k")).alias("m")).select("name", "m.*")
-    found = exact.unionByName(best)
+    best = _scan(rest.select("key").distinct(), keys.select(F.col("key").alias("k"), "entity_id")).groupBy("key").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", "k")).alias("m")).filter(F.col("m.score") >= THRESHOLD)
+    found = exact.unionByName(rest.join(best, "key").select("name", "m.*"))
     return mentions.join(found, "name", "left").withColumns({"entity_id": F.coalesce("entity_id", fn.unresolved(F.col("name"))), "score": F.coalesce("score", F.lit(0.0))})
 
 
