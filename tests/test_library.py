@@ -133,6 +133,18 @@ def test_no_key_is_left_out_of_a_large_block(spark):
     assert (got.entity_id, got.score) == (entity, score) == ("right", pytest.approx(94.7368, abs=1e-4))
 
 
+def test_front_typos_and_placeholder_scores_against_all_keys(spark):
+    reg = spark.createDataFrame([("e1", "MICROSOFT", "MSFT", 1), ("e2", "AMAZON", "AMZN", 2), ("e3", "ORACLE SYSTEMS", "ORCL", 3)], "entity_id string, name string, ticker string, pos int")
+    keys = {r.key: r.entity_id for r in resolve.index(reg).collect()}
+    names = ["MIRCOSOFT", "MCIROSOFT", "NICROSOFT", "MAAZON", "ROACLE SYSTEMS", "MICROPHONE", "ZZZ"]
+    got = {r.name: (r.entity_id, r.score) for r in resolve.resolve(spark.createDataFrame([(n,) for n in [*names, ""]], "name string"), resolve.index(reg)).collect()}
+    assert got.pop("") == ("unresolved:empty", 0.0)
+    for n in names:
+        score, key = max((resolve.token_set_score(n, k), k) for k in keys)
+        assert got[n] == (keys[key] if score >= resolve.THRESHOLD else f"unresolved:{n}", score)
+    assert got["MIRCOSOFT"][0] == "e1" and 0 < got["MICROPHONE"][1] < resolve.THRESHOLD
+
+
 def test_best_keys_against_all_pairs():
     import random
 

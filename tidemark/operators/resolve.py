@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,8 +120,8 @@ def _scan(asked: DataFrame, keys: DataFrame) -> DataFrame:
                 best = best_keys(name, k)
                 yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array([k[i] for _, i in best], pa.string()), pa.array([e[i] for _, i in best], pa.string()), pa.array([s for s, _ in best], pa.float64())], names=["key", "k", "entity_id", "score"])
 
-    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = _blocks(asked.repartition(tasks), "names", NAMES).crossJoin(_blocks(keys, "held", KEYS))
+    side = math.isqrt(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1  # a grid of about as many tasks
+    pairs = _blocks(asked.repartition(side), "names", NAMES).crossJoin(_blocks(keys.repartition(side), "held", KEYS).hint("shuffle_replicate_nl"))
     return pairs.mapInArrow(run, "key string, k string, entity_id string, score double")
 
 
@@ -128,12 +130,12 @@ def resolve(mentions: DataFrame, keys: DataFrame) -> DataFrame:
 
     Exact normalised names come first, by an equi-join of the distinct names.  What is left is compared with every key,
     block against block; a key is passed over only where a bound proves that another is better (`best_keys`).  The best
-    score from THRESHOLD on wins, ties by key; else a placeholder."""
+    score from THRESHOLD on wins, ties by key; else a placeholder with the best score, 0 for names without words."""
     names = mentions.select("name").distinct().withColumn("key", fn.normalise_name(F.col("name")))
     exact = names.join(keys, "key").select("name", "entity_id", F.lit(100.0).alias("score"))
     rest = names.join(exact.select("name"), "name", "left_anti").filter("key <> ''")
-    best = _scan(rest.select("key").distinct(), keys.select(F.col("key").alias("k"), "entity_id")).groupBy("key").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", "k")).alias("m")).filter(F.col("m.score") >= THRESHOLD)
-    found = exact.unionByName(rest.join(best, "key").select("name", "m.*"))
+    best = _scan(rest.select("key").distinct(), keys.select(F.col("key").alias("k"), "entity_id")).groupBy("key").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", "k")).alias("m")).select("key", F.when(F.col("m.score") >= THRESHOLD, F.col("m.entity_id")).alias("entity_id"), "m.score")
+    found = exact.unionByName(rest.join(best, "key").select("name", "entity_id", "score"))
     return mentions.join(found, "name", "left").withColumns({"entity_id": F.coalesce("entity_id", fn.unresolved(F.col("name"))), "score": F.coalesce("score", F.lit(0.0))})
 
 
