@@ -209,16 +209,27 @@ def fn_16(spark, sf_dir):
     return spans.select("o_custkey", F.explode(fn.period_ends(F.col("a"), F.col("b"), 3)).alias("quarter_end"))
 
 
-_MATRIX = 8
+#: Periods of win_06 and fea_01, whose SQL has them, and of the surveyed history, which the others keep.
+_MATRIX, _HISTORY = 8, 32
 _CONCEPTS = ["us-gaap:A", "us-gaap:N", "us-gaap:R"]
 _LATEST = _winner(FACTS, f"availability_date <= date '{AS_OF}'")
 
 
+def _periods(spark, sf_dir, n: int) -> DataFrame:
+    w = Window.partitionBy("entity_id").orderBy(F.desc("fiscal_year"), F.desc("fiscal_period"))
+    return pit.as_of(views.facts(spark, sf_dir), AS_OF, FACT_KEYS).select("entity_id", "fiscal_year", "fiscal_period", "concept", "value", F.dense_rank().over(w).cast("long").alias("age")).filter(F.col("age") <= n)
+
+
 @query("win_06", f"select * from (select entity_id, fiscal_year, fiscal_period, concept, value, dense_rank() over (partition by entity_id order by fiscal_year desc, fiscal_period desc) as age from ({_LATEST})) where age <= {_MATRIX}")
 def win_06(spark, sf_dir):
     """The latest eight periods of each entity."""
-    w = Window.partitionBy("entity_id").orderBy(F.desc("fiscal_year"), F.desc("fiscal_period"))
-    return pit.as_of(views.facts(spark, sf_dir), AS_OF, FACT_KEYS).select("entity_id", "fiscal_year", "fiscal_period", "concept", "value", F.dense_rank().over(w).cast("long").alias("age")).filter(F.col("age") <= _MATRIX)
+    return _periods(spark, sf_dir, _MATRIX)
+
+
+@query("win_06_history", f"select * from (select entity_id, fiscal_year, fiscal_period, concept, value, dense_rank() over (partition by entity_id order by fiscal_year desc, fiscal_period desc) as age from ({_LATEST})) where age <= {_HISTORY}")
+def win_06_history(spark, sf_dir):
+    """The latest 32 periods of each entity."""
+    return _periods(spark, sf_dir, _HISTORY)
 
 
 @query("fea_01", f"""with p as (select entity_id, fiscal_year, fiscal_period, {', '.join(f"max(value) filter (concept = '{c}') c{i}" for i, c in enumerate(_CONCEPTS))} from ({_LATEST}) group by 1, 2, 3),
@@ -226,9 +237,21 @@ def win_06(spark, sf_dir):
     select entity_id, count(*)::integer as seq_len, {', '.join(f"round(sum(coalesce(sign(c{i}) * ln(1 + abs(c{i})) / 30, 0) * (9 - age)), 4) as s{i}" for i in range(3))} from k where age <= {_MATRIX} group by 1""")
 def fea_01(spark, sf_dir):
     """Feature matrices, checked by their position-weighted sums."""
+    return _matrix_sums(spark, sf_dir, _MATRIX)
+
+
+@query("fea_01_history", f"""with p as (select entity_id, fiscal_year, fiscal_period, {', '.join(f"max(value) filter (concept = '{c}') c{i}" for i, c in enumerate(_CONCEPTS))} from ({_LATEST}) group by 1, 2, 3),
+    k as (select *, row_number() over (partition by entity_id order by fiscal_year desc, fiscal_period desc) age from p)
+    select entity_id, count(*)::integer as seq_len, {', '.join(f"round(sum(coalesce(sign(c{i}) * ln(1 + abs(c{i})) / 30, 0) * (33 - age)), 4) as s{i}" for i in range(3))} from k where age <= {_HISTORY} group by 1""")
+def fea_01_history(spark, sf_dir):
+    """Feature matrices of 32 periods, checked the same way."""
+    return _matrix_sums(spark, sf_dir, _HISTORY)
+
+
+def _matrix_sums(spark, sf_dir, periods: int) -> DataFrame:
     from tidemark.operators import features
 
-    m = features.matrix(pit.as_of(views.facts(spark, sf_dir), AS_OF, FACT_KEYS), ["entity_id"], _CONCEPTS, _MATRIX)
+    m = features.matrix(pit.as_of(views.facts(spark, sf_dir), AS_OF, FACT_KEYS), ["entity_id"], _CONCEPTS, periods)
 
     def weighted(j: int) -> F.Column:
         return F.aggregate(F.transform("x", lambda row, i: row[j].cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
@@ -249,7 +272,7 @@ def fea_02(spark, sf_dir):
     """Training shards: input and target matrices of each pair."""
     from tidemark.operators import features
 
-    return features.shards(_pairs_spine(spark, sf_dir), views.facts(spark, sf_dir), FACT_KEYS, _CONCEPTS, _MATRIX)
+    return features.shards(_pairs_spine(spark, sf_dir), views.facts(spark, sf_dir), FACT_KEYS, _CONCEPTS, _HISTORY)
 
 
 @query("fea_04", f"select count(*) as n, count(distinct entity_id) as entities, count(distinct t) as times from (select entity_id, last_day(cast(q as date) + interval 2 month) t from (select distinct entity_id from {FACTS}), unnest(generate_series(date '1996-01-01', date '1997-12-31', interval 3 month)) u(q))")
