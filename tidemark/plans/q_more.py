@@ -109,8 +109,18 @@ def fn_07(spark, sf_dir):
 @query("ext_03", f"select user_id, day, close from {views.BARS} where user_id % 2 = 0")
 def ext_03(spark, sf_dir):
     """A modality of the user's own: its key drives the winner pick."""
+    return _own_modality(views.bars(spark, sf_dir).filter("user_id % 2 = 0"))
+
+
+@query("ext_03_all", f"select user_id, day, close from {views.BARS}")
+def ext_03_all(spark, sf_dir):
+    """The same over all users."""
+    return _own_modality(views.bars(spark, sf_dir))
+
+
+def _own_modality(bars):
     schemas.register_modality(schemas.Modality("ticks", "close double", ("venue",), "user:ticks"))
-    b = views.bars(spark, sf_dir).filter("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("entity_id"), F.col("day").alias("effective_date"), F.col("day").alias("availability_date"), F.lit(None).cast("date").alias("restated_at"), F.lit("x").alias("venue"), F.lit("r").alias("source_ref"), "close", "user_id", "day")
+    b = bars.select(F.col("user_id").cast("string").alias("entity_id"), F.col("day").alias("effective_date"), F.col("day").alias("availability_date"), F.lit(None).cast("date").alias("restated_at"), F.lit("x").alias("venue"), F.lit("r").alias("source_ref"), "close", "user_id", "day")
     both = b.unionByName(b.withColumns({"source_ref": F.lit("a"), "close": F.lit(-1.0)}))
     return pit.as_of(both, None, schemas.fact_key("ticks", both.columns)).select("user_id", "day", "close")
 

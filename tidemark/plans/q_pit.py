@@ -260,11 +260,22 @@ def _matrix_sums(spark, sf_dir, periods: int) -> DataFrame:
     return m.select("entity_id", "seq_len", *sums)
 
 
+def _place(horizon: str) -> F.Column:
+    return (F.array_position(F.array(*map(F.lit, [1, 2, 4, 8])), F.col(horizon)) - 1).cast("int").alias("place")
+
+
 @query("fea_03", "select unnest([1, 2, 4, 8]) as horizon_q, unnest(range(4))::integer as place from (select 1 from region limit 1)")
 def fea_03(spark, sf_dir):
     """Horizons as indices."""
-    h = F.array(*map(F.lit, [1, 2, 4, 8]))
-    return table(spark, sf_dir, "region").limit(1).select(F.explode(h).alias("horizon_q")).select("horizon_q", (F.array_position(h, F.col("horizon_q")) - 1).cast("int").alias("place"))
+    return table(spark, sf_dir, "region").limit(1).select(F.explode(F.array(*map(F.lit, [1, 2, 4, 8]))).alias("horizon_q")).select("horizon_q", _place("horizon_q"))
+
+
+@query("fea_03_spine", f"select entity_id, t, [1, 2, 4, 8][i] as horizon_q, (i - 1)::integer as place from {_SPINE}, (select unnest(range(1, 5)) i)")
+def fea_03_spine(spark, sf_dir):
+    """Horizons as indices over all entities, dates and horizons."""
+    times = spark.range(1996, 2001).select(F.make_date(F.col("id").cast("int"), F.lit(12), F.lit(31)).alias("t"))
+    spine = pit.build_spine(views.facts(spark, sf_dir).select("entity_id").distinct(), times, [1, 2, 4, 8])
+    return spine.select("entity_id", "t", "horizon_q", _place("horizon_q"))
 
 
 @query("fea_02")

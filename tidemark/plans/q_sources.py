@@ -31,6 +31,14 @@ def src_06(spark, sf_dir):
     return loaders.statement_facts(num, sub, keep).select("entity_id", "source_ref", "effective_date", "availability_date", "concept", "fiscal_year", "value", "dimensions_json")
 
 
+@query("src_06_all", """select 'us-cik-' || lpad(o_custkey::varchar, 10, '0') as entity_id, l_orderkey::varchar as source_ref, cast(l_shipdate as date) as effective_date, cast(o_orderdate as date) as availability_date,
+    case when l_linestatus = 'O' then 'us-gaap:Tag' || l_returnflag when l_returnflag = 'N' then 'custom:unknown' else 'custom:Tag' || l_returnflag end as concept, year(o_orderdate)::integer as fiscal_year, l_extendedprice as value,
+    case when l_linenumber = 2 then '{"A":"' || l_partkey || '","B":"y"}' else '' end as dimensions_json from lineitem join orders on l_orderkey = o_orderkey""")
+def src_06_all(spark, sf_dir):
+    """Statement bulk files of all filers."""
+    return loaders.statement_facts(*_num_sub(spark, sf_dir)).select("entity_id", "source_ref", "effective_date", "availability_date", "concept", "fiscal_year", "value", "dimensions_json")
+
+
 @query("jn_01", "select l_orderkey::varchar as adsh, l_partkey, o_custkey as cik from lineitem join orders on l_orderkey = o_orderkey")
 def jn_01(spark, sf_dir):
     """Facts with their submissions."""
