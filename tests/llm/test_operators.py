@@ -205,6 +205,16 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
     assert {k: v for k, v in got.items() if k is not None} == want and got[None] is None
 
 
+def test_pairs_with_unlucky_signatures_are_confirmed(spark):
+    def member(rep, short, key, n=100):
+        return (7, rep, n, rep, bytearray(short), bytearray(np.full(neardup.BANDS, key, np.uint32).tobytes()), 0, rep, n, 1, 2)
+
+    schema = "band long, rep long, n int, component long, short binary, keys binary, place int, pivot long, both int, lo long, c long"
+    for same, want in ((207, [(1, 2)]), (200, [(1, 2)]), (150, [])):  # of 300 values; 207 are 0.689 of true likeness
+        members = spark.createDataFrame([member(1, [1] * 300, 1), member(2, [1] * same + [2] * (300 - same), 2)], schema)
+        assert [tuple(r) for r in neardup._across(members, 80).collect()] == want
+
+
 def test_dropping_near_duplicates_keeps_columns(docs):
     kept = neardup.drop_near_duplicates(docs)
     want, _ = brute_components([(d[0], d[1]) for d in corpus()], 5, 80)

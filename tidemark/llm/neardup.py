@@ -3,7 +3,8 @@
 Each hash function of a set of shingles yields two values, its minimum and its maximum, both of which two sets share
 with a chance that is their Jaccard similarity; so half the hash evaluations fill a signature.  Signatures are cut into
 bands; documents that agree on a band are candidates.  With 40 bands of five values a pair at similarity 0.8 has no
-common band once in ten million.
+common band once in eight million; the check of 8-bit signatures behind the bands (SURE_MARGIN) misses once in a billion
+more, so both together miss about 1.3 in ten million.
 
 Documents with equal sets form a class, and only its smallest doc_id takes part in the search.  In a bucket of
 candidates no pairs are listed.  At first every class is compared with one pivot, the smallest id that it shares a
@@ -28,8 +29,8 @@ from tidemark.llm.graph import components
 HASHES, BANDS, BAND = 150, 40, 5
 #: Members of a block.
 BLOCK = 128
-#: Pairs whose 8-bit signatures agree on less than this share are not confirmed; at similarity 0.8 that is more than four standard deviations off.
-SURE_SHARE = 0.7
+#: Pairs whose 8-bit signatures put their similarity this much or more below the limit are not confirmed; at the limit 0.8 that passes over a pair once in a billion.
+SURE_MARGIN = 0.15
 #: Rows up to which a table of ids (16 bytes each) is broadcast; longer ones are joined by shuffling.
 BROADCAST_IDS = 300_000
 #: Entries of a worker's cache of word hashes.
@@ -186,7 +187,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                         # what two sets share lies in the pivot or outside it: no more than either has there
                         most = np.where(y[6] == pivot, np.minimum(y[7], both) + np.minimum(y[1] - y[7], n - both), np.minimum(y[1], n))
                         at = np.flatnonzero((y[2] != component) & (100 * most >= percent * (y[1] + n - most)))
-                        at = at[(y[3][at] == short).mean(axis=1) * 256 - 1 >= SURE_SHARE * 255]
+                        at = at[(y[3][at] == short).mean(axis=1) * 256 - 1 >= (percent / 100 - SURE_MARGIN) * 255]
                         at = at[~(y[4][at, :place] == keys[:place]).any(axis=1)]  # a band before this one has the pair too
                         found_a.append(np.minimum(y[0][at], rep))
                         found_b.append(np.maximum(y[0][at], rep))
