@@ -186,6 +186,21 @@ def brute_components(rows, size, percent):
     return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
 
 
+def test_relative_targets_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://a.net/x/y/z.html?q=1#f", "https://a.net", "https://a.net/", "http://a.net/x/"]
+    targets = ["other.html", "../x/", "?id=3", "./p?a=../b", "../../../up", "..", ".", "/r/../s/./t", "//b.org/x", "http://c.org/y", "sub/n#g", "#top", "../en/"]
+    cases = spark.createDataFrame([(b, t) for b in bases for t in targets], "base string, target string")
+    for r in cases.select("*", url_filter.absolute(F.col("target"), F.col("base")).alias("got")).collect():
+        assert r.got == urljoin(r.base, r.target), r
+    odd = spark.createDataFrame([("https://a.net/x", ""), ("https://a.net/x", "mailto:a@b"), ("no host", "p.html"), (None, "p.html")], "base string, target string")
+    assert [r[0] for r in odd.select(url_filter.absolute(F.col("target"), F.col("base"))).collect()] == [None] * 4
+    html = '<link rel="canonical" href="../bad/p.html?a=1&amp;b=2">'
+    pages = spark.createDataFrame([(1, "https://a.net/x/q", html), (2, "https://a.net/bad/p?b=2&a=1", ""), (3, "https://a.net/x/r", "")], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages, [("a.net", "/bad/", "block")]).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_near_duplicates_equal_brute_force(spark, docs, empty):
     want, sizes = brute_components([(d[0], d[1]) for d in corpus()], 4, 80)
     for r in neardup.op10(docs).collect():

@@ -57,10 +57,23 @@ def _tags(html: Column, name: str, mark: str) -> Column:
     return F.when(F.contains(F.lower(html), F.lit(mark)), F.filter(F.regexp_extract_all(html, F.lit(rf"(?is)(<{name}\b[^>]*>)"), 1), lambda t: F.contains(F.lower(t), F.lit(mark))))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root with `.` and `..` segments resolved."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"/\.\.?$", "$0/"), "^/", ""), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == ".", a).when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def absolute(target: Column, base: Column) -> Column:
-    """A link's target as a URL, where it is one or is relative to the root of its page's host."""
+    """A link's target as a URL, resolved against its page's URL; null where it is empty or of a scheme without `//`."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
-    return F.when(target.rlike("(?i)^[a-z][a-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(base), target))
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_replace(path_of(base), r"^/|[^/]*$", ""))
+    whole = F.when(target.rlike("(?i)^[a-z][a-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(root, _without_dots(path), rest))
+    inside = (host_of(base) != "") & (target != "") & ~target.rlike("(?i)^[a-z][a-z0-9+.-]*:")
+    same = F.concat(root, path_of(base))
+    return whole.when(inside & target.startswith("?"), F.concat(same, target)).when(inside & target.startswith("#"), F.concat(F.regexp_replace(base, "(?s)#.*$", ""), target)).when(inside, F.concat(root, _without_dots(F.concat(folder, path)), rest))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -70,7 +83,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
     canonical = F.transform(F.filter(_tags(html, "link", "canonical"), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_extract(t, href, 1))
     moved = F.transform(F.filter(_tags(html, "meta", "refresh"), lambda t: t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b")), lambda t: F.regexp_extract(t, refresh, 1))
     targets = F.concat(F.coalesce(canonical, F.array().cast("array<string>")), F.coalesce(moved, F.array().cast("array<string>")))
-    links = pages.filter(url.isNotNull()).select("url", F.explode(targets).alias("to")).select("url", absolute(F.col("to"), url).alias("to")).filter("to is not null")
+    links = pages.filter(url.isNotNull()).select("url", F.explode(targets).alias("to")).select("url", absolute(F.regexp_replace("to", "(?i)&amp;", "&"), url).alias("to")).filter("to is not null")
     return links.select(spelling(url).alias("src"), spelling(F.col("to")).alias("dst"), F.col("to").alias("target"))
 
 
