@@ -221,13 +221,57 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
 
 
 def test_pairs_with_unlucky_signatures_are_confirmed(spark):
-    def member(rep, short, key, n=100):
-        return (7, rep, n, rep, bytearray(short), bytearray(np.full(neardup.BANDS, key, np.uint32).tobytes()), 0, rep, n, 1, 2)
+    def member(rep, short, pivot, delta=(), n=100):
+        return (7, 1, rep, n, rep, bytearray(short), [rep], pivot, False, bytearray(np.array(delta, np.uint64).tobytes()), 1, 2)
 
-    schema = "band long, rep long, n int, component long, short binary, keys binary, place int, pivot long, both int, lo long, c long"
-    for same, want in ((207, [(1, 2)]), (200, [(1, 2)]), (150, [])):  # of 300 values; 207 are 0.689 of true likeness
-        members = spark.createDataFrame([member(1, [1] * 300, 1), member(2, [1] * same + [2] * (300 - same), 2)], schema)
+    schema = "band long, place int, rep long, n int, component long, short binary, keys array<long>, pivot long, whole boolean, delta binary, lo long, c long"
+    for same, want in ((138, [(1, 2, False)]), (133, [(1, 2, False)]), (100, [])):  # of 200 values; 138 are 0.69 of true likeness
+        members = spark.createDataFrame([member(1, [1] * 200, 1), member(2, [1] * same + [2] * (200 - same), 2)], schema)
         assert [tuple(r) for r in neardup._across(members, 80).collect()] == want
+    for apart, want in ((11, [(1, 2, True)]), (12, [])):  # 89 / 111 and 88 / 112 of the same pivot, whatever the signatures say
+        members = spark.createDataFrame([member(1, [1] * 200, 9, range(apart)), member(2, [2] * 200, 9, range(100, 100 + apart))], schema)
+        assert [tuple(r) for r in neardup._across(members, 80).collect()] == want
+
+
+def test_blocks_give_the_links_of_full_sets():
+    r = random.Random(5)
+    pivot = set(range(100))
+    sets = []
+    for i in range(60):
+        own = set(pivot) if i % 3 else set()
+        own |= {1000 + r.randrange(40) for _ in range(r.randint(0, 15))}
+        own -= {r.randrange(100) for _ in range(r.randint(0, 15))}
+        sets.append(own | {5000})
+
+    def block(members):
+        import pyarrow as pa
+
+        rows = []
+        for i in members:
+            whole = i % 3 == 0
+            delta = sets[i] if whole else sets[i] ^ pivot
+            rows.append({"rep": i, "n": len(sets[i]), "component": i, "short": bytes([1] * 200), "keys": [i], "pivot": 0, "whole": whole, "delta": np.array(sorted(delta), np.uint64).tobytes()})
+        return neardup._Block(pa.array(rows, pa.struct([("rep", pa.int64()), ("n", pa.int32()), ("component", pa.int64()), ("short", pa.binary()), ("keys", pa.list_(pa.int64())), ("pivot", pa.int64()), ("whole", pa.bool_()), ("delta", pa.binary())])))
+
+    x, y = range(0, 30), range(30, 60)
+    sure, unsure = neardup.compare(block(x), block(y), 80)
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert all(alike(a, b) for a, b in sure)
+    joined = list(range(60))
+    for a, b in [*sure, *(p for p in unsure if alike(*p))]:
+        old, new = joined[b], joined[a]
+        joined = [new if j == old else j for j in joined]
+    assert all(joined[a] == joined[b] for a in x for b in y if alike(a, b)) and len(sure) < 60
+
+
+def test_one_id_with_several_texts(spark):
+    words = [f"w{i}" for i in range(200)]
+    other = [f"v{i}" for i in range(200)]
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(1, " ".join(words)), (1, " ".join(other)), (2, near(words)), (3, near(other)), (4, "something else entirely here now"), (1, " ".join(words)), (None, "x"), (7, ""), (7, " ".join([*other[:-1], "z"]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 4), (7, 1), (7, 1)]
+    assert sorted(r.n_shingles for r in got if r.doc_id == 7) == [0, 196] and len(got) == len(rows)
 
 
 def test_dropping_near_duplicates_keeps_columns(docs):

@@ -1,8 +1,8 @@
 """Connected components by DataFrame joins: alternating large-star and small-star steps.
 
 Each step keeps the components and brings every edge closer to its component's smallest node; minima are combined
-on the map side and joined back on the node, so a node with very many neighbours is a skewed join, which adaptive
-execution splits, never one task's group.  Edges are written to the shared folder after each round.
+on the map side and joined back on the node, those of nodes with very many neighbours by broadcast, so no node's edges
+are one task's group.  Edges are written to the shared folder after each round.
 """
 
 from __future__ import annotations
@@ -13,17 +13,36 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: A key of more than HOT_ROWS rows, and of more than one row in HOT_KEYS of its table, is hot: there are HOT_KEYS of them at most.
+HOT_ROWS, HOT_KEYS = 256, 4096
+
+
+def _hot(counts: DataFrame, key: str, rows: int) -> DataFrame:
+    """The hot keys of a table of `rows` rows, by the rows `c` of each: a bounded list, so it is broadcast."""
+    return F.broadcast(counts.filter(F.col("c") > max(HOT_ROWS, rows // HOT_KEYS)).select(key))
+
+
+def join_unique(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+    """Left join of `big`, in which a key may hold any share of the rows, with `small`, in which it is unique.
+
+    What `small` has of hot keys is broadcast, so their rows stay where they are; the rest is shuffled.  `counts` (key, c)
+    are the rows of each key in `big` or more, `rows` those of `big`."""
+    hot = _hot(big.groupBy(key).agg(F.count(F.lit(1)).alias("c")) if counts is None else counts, key, big.count() if rows is None else rows)
+    at_hot = big.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key, "left")
+    return at_hot.unionByName(big.join(hot, key, "left_anti").join(small, key, "left"))
+
+
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """edges: (u, v) with u > v.  large: hang the larger neighbours of each node on its smallest; else the smaller ones and itself."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
         # (v, m(u)) for each neighbour v above u; here `v` is the upper end
         up = edges.select(F.col("v").alias("u"), F.col("u").alias("to"))
-        out = up.join(least, "u").select(F.col("to").alias("u"), F.col("m").alias("v"))
+        out = join_unique(up, least.select("u", "m"), "u", least, rows).select(F.col("to").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        out = join_unique(edges, least.select("u", "m"), "u", least, rows).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return out.filter("u > v").distinct()
 
 
@@ -42,6 +61,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()
         mark = seen
-        after = stored(_star(_star(now, True), False), "edges")
+        after = stored(_star(_star(now, True, seen[0]), False, seen[0]), "edges")
         discard(now)
         now = after
