@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -163,6 +164,43 @@ def test_fingerprints(spark, docs, empty):
     assert got[2] == pytest.approx(400 / 1200) and got[1] == 0.0 and got[None] == 0.0
 
 
+def test_recovered_digests_are_those_of_the_lines_that_differ(spark):
+    r = random.Random(6)
+    rows = [(i, "\n".join(f"line {r.randrange(60)}" for _ in range(r.choice([0, 1, 5, 40, 300])))) for i in range(60)]
+    texts = dict(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = {x.line: x.h for x in spark.range(60).select(F.concat(F.lit("line "), "id").alias("line")).withColumn("h", F.xxhash64("line")).collect()}
+    digest = lambda lines: sorted(known.get(x) or odd[x] for x in lines)
+    order = sorted(texts, reverse=True)
+    edits = {}
+    for i, a in enumerate(order):
+        other, half = texts[order[(i + 1) % len(order)]], len(texts[a]) // 2
+        edits[a] = texts[a][: len(texts[a]) - half] + other[:half]
+    lines = lambda s: {x for x in s.split("\n") if x}
+    broken = sorted({x for t in edits.values() for x in lines(t)} - set(known))
+    odd = {x.line: x.h for x in spark.createDataFrame([(b,) for b in broken], "line string").withColumn("h", F.xxhash64("line")).collect()} if broken else {}
+    for x in iblt.op8(df).collect():
+        mine, edited = lines(texts[x.doc_id]), lines(edits[x.doc_id])
+        assert (x.lost, x.gained) == (digest(mine - edited), digest(edited - mine))
+
+
+def test_fingerprints_of_very_many_lines(spark):
+    n = 100_000
+    text = lambda a: "\n".join(f"x{i}" for i in range(a, a + n))
+    df = spark.createDataFrame([(1, text(0)), (2, text(n // 2))], "doc_id long, text string")
+    began = time.time()
+    assert [r.near_next for r in iblt.op8(df).collect()] == pytest.approx([1 / 3, 1 / 3])
+    assert time.time() - began < 120
+
+
+def test_next_documents_where_many_share_an_id(spark):
+    rows = [(None, f"n{i}") for i in range(300)] + [(7, f"t{i % 40}") for i in range(300)] + [(2**60 + i, f"b{i}") for i in range(50)] + [(-5, "low")]
+    got = iblt.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    tie = {x.t: x.h for x in spark.createDataFrame([(t,) for _, t in rows], "t string").withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 4)).collect()}
+    order = [t for _, t in sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), -tie[x[1]]))]
+    assert sorted((r.text, r.next) for r in got) == sorted(zip(order, order[1:] + order[:1]))
+
+
 def brute_components(rows, size, percent):
     def shingles(t):
         w = (t or "").encode().lower().split()
