@@ -1,9 +1,10 @@
 """URL filters with redirect equivalence, in DataFrame expressions alone.
 
 Rules name a host (and its subdomains) and a path prefix, and allow or block; the longest fitting rule decides.
-URLs that lead to each other by a redirect, a canonical link or a spelling that servers treat alike are aliases:
-they form the connected components of a graph.  A URL without a rule is blocked if an alias of it is blocked by
-rule; a URL that a rule allows stays allowed whatever its aliases are.
+URLs that lead to each other by a redirect or a canonical link are aliases: they form the connected components of a
+graph whose edges are logged redirects, canonical links, meta refreshes, and the redirects by which servers answer other
+spellings of a URL (from each URL to a form of its own).  A URL without a rule is blocked if an alias of it is blocked
+by rule; a URL that a rule allows stays allowed whatever its aliases are.
 """
 
 from __future__ import annotations
@@ -77,14 +78,19 @@ def absolute(target: Column, base: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst): spellings that a page's canonical link or meta refresh joins."""
+    """(src, dst): URLs that a page's canonical link or meta refresh joins."""
     html, url = F.col("html"), F.col("url")
     href, refresh = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", r"(?is)\bcontent\s*=\s*[\"']?\s*\d+\s*;\s*url\s*=\s*'?([^\"'\s>]+)"
     canonical = F.transform(F.filter(_tags(html, "link", "canonical"), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b")), lambda t: F.regexp_extract(t, href, 1))
     moved = F.transform(F.filter(_tags(html, "meta", "refresh"), lambda t: t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b")), lambda t: F.regexp_extract(t, refresh, 1))
     targets = F.concat(F.coalesce(canonical, F.array().cast("array<string>")), F.coalesce(moved, F.array().cast("array<string>")))
     links = pages.filter(url.isNotNull()).select("url", F.explode(targets).alias("to")).select("url", absolute(F.regexp_replace("to", "(?i)&amp;", "&"), url).alias("to")).filter("to is not null")
-    return links.select(spelling(url).alias("src"), spelling(F.col("to")).alias("dst"), F.col("to").alias("target"))
+    return links.select(url.alias("src"), F.col("to").alias("dst"))
+
+
+def form_edges(urls: DataFrame) -> DataFrame:
+    """(src, dst): from each URL with a host to the form that its spellings share, marked so that it equals no URL."""
+    return urls.distinct().filter(host_of(F.col("url")) != "").select(F.col("url").alias("src"), F.concat(F.lit("\x01"), spelling(F.col("url"))).alias("dst"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
@@ -95,23 +101,27 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
     decisions spread.  Repeated pages are judged alike; columns of the names added are replaced; empty tables give
     empty results.
     """
-    url = F.col("url")
     own = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict", "alias"}]
-    judged = pages.select(*(F.col(f"`{c}`") for c in own), host_of(url).alias("host"), path_of(url).alias("path"), spelling(url).alias("__node")).withColumn("__found", fitting_rule(F.col("host"), F.col("path"), rules))
-    edges = link_edges(pages)
+    names = {c.lower() for c in own}
+    node, found, hit = (next(n for n in (f"__{w}{'_' * k}" for k in range(len(own) + 1)) if n not in names) for w in ("node", "found", "hit"))
+    url = F.col("url")
+    judged = pages.select(*(F.col(f"`{c}`") for c in own), host_of(url).alias("host"), path_of(url).alias("path"), url.alias(node)).withColumn(found, fitting_rule(F.col("host"), F.col("path"), rules))
+    links = link_edges(pages)
     if redirects is not None:
-        both = redirects.select(F.col(redirects.columns[0]).alias("a"), F.col(redirects.columns[1]).alias("b")).dropna()
-        edges = edges.unionByName(both.select(spelling(F.col("a")).alias("src"), spelling(F.col("b")).alias("dst"), F.col("b").alias("target"))).unionByName(both.select(spelling(F.col("b")).alias("src"), spelling(F.col("a")).alias("dst"), F.col("a").alias("target")))
-    edges = stored(edges, "edges")
-    groups = stored(components(edges.select("src", "dst")), "groups")
-    blocked = judged.filter("__found.verdict = 'block'").select("__node")
-    outside = edges.filter(fitting_rule(host_of(F.col("target")), path_of(F.col("target")), rules)["verdict"] == "block").select(F.col("dst").alias("__node"))
-    hit = blocked.union(outside).distinct().join(groups.withColumnRenamed("node", "__node"), "__node", "left").select(F.coalesce("component", "__node").alias("alias")).distinct().withColumn("__hit", F.lit(True))
+        links = links.unionByName(redirects.select(F.col(redirects.columns[0]).alias("src"), F.col(redirects.columns[1]).alias("dst")).dropna())
+    links = stored(links, "links")
+    ends = stored(links.select(F.col("src").alias("url")).union(links.select("dst")).distinct(), "ends")
+    edges = links.unionByName(form_edges(pages.select("url").union(ends)))
+    groups = stored(components(edges), "groups")
+    blocked = judged.filter(f"`{found}`.verdict = 'block'").select(node)
+    outside = ends.filter(fitting_rule(host_of(url), path_of(url), rules)["verdict"] == "block").select(url.alias(node))
+    of = groups.select(F.col("node").alias(node), F.col("component").alias("alias"))
+    bad = blocked.union(outside).distinct().join(of, node, "left").select(F.coalesce("alias", node).alias("alias")).distinct().withColumn(hit, F.lit(True))
     # pages that a rule decides need no aliases' verdict, but still their alias
-    placed = judged.join(groups.withColumnRenamed("node", "__node"), "__node", "left").withColumn("alias", F.coalesce("component", "__node"))
-    spread = placed.join(hit, "alias", "left")
-    verdict = F.coalesce(F.col("__found.verdict"), F.when(F.col("__hit"), F.lit("block")), F.lit("allow"))
-    return spread.select(*(F.col(f"`{c}`") for c in own), "host", "path", F.col("__found.rule").alias("rule"), verdict.alias("verdict"), "alias")
+    placed = judged.join(of, node, "left").withColumn("alias", F.coalesce("alias", node))
+    spread = placed.join(bad, "alias", "left")
+    verdict = F.coalesce(F.col(f"{found}.verdict"), F.when(F.col(hit), F.lit("block")), F.lit("allow"))
+    return spread.select(*(F.col(f"`{c}`") for c in own), "host", "path", F.col(f"{found}.rule").alias("rule"), verdict.alias("verdict"), "alias")
 
 
 def op1(pages: DataFrame) -> DataFrame:
