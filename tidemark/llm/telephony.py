@@ -50,7 +50,10 @@ _NEXT = np.clip(np.arange(89)[:, None] + _MOVES, 0, 88).astype(np.int32)
 
 
 def wrap(codec: str, data: bytes, rate: int = RATE) -> bytes:
-    """A mono WAV file around coded samples; ADPCM data must be whole blocks."""
+    """A mono WAV file around coded samples, or 16-bit linear ones (`pcm`); ADPCM data must be whole blocks."""
+    if codec == "pcm":
+        format_ = struct.pack("<HHIIHH", 1, 1, rate, rate * 2, 2, 16)
+        return b"".join([b"RIFF", struct.pack("<I", 36 + len(data)), b"WAVEfmt ", struct.pack("<I", 16), format_, b"data", struct.pack("<I", len(data)), data])
     if codec not in _TAGS:
         raise ValueError(f"unknown codec {codec}")
     if codec == "ima" and len(data) % BLOCK:
@@ -138,10 +141,11 @@ def store_media(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def read_media(rows: DataFrame, keep: list[str] | None = None, to: int = PCM_RATE) -> DataFrame:
-    """Add to rows with WAV files in `media`: `coded` (the coded samples, read back), `pcm` (16-bit little-endian samples at rate `to`) and `feature`.
+    """Add to rows with WAV files in `media`: `coded` (the coded samples, read back), `pcm` (a WAV file of 16-bit samples at rate `to`) and `feature`.
 
-    `feature` says codec, samples, peak, root mean square, zero crossings and the checksum of the PCM.  Null media
-    give nulls.
+    `feature` says codec, samples, peak, root mean square, zero crossings and the checksum of the PCM samples.  Null media
+    give nulls; equal media equal results, a row for each row.  A cell holds at most 2 GB, so a text of more than 256 MB
+    makes the job fail.
     """
 
     def make():
@@ -160,7 +164,7 @@ def read_media(rows: DataFrame, keep: list[str] | None = None, to: int = PCM_RAT
                     crossings = int(np.count_nonzero((linear[1:] < 0) != (linear[:-1] < 0)))
                     level = int(np.sqrt(wide @ wide / max(1, len(wide))))
                     peak = int(np.abs(wide).max()) if len(wide) else 0
-                    row = data, stored, f"{codec}:{len(pcm)}:{peak}:{level}:{crossings}:{zlib.crc32(stored):08x}"
+                    row = data, wrap("pcm", stored, to), f"{codec}:{len(pcm)}:{peak}:{level}:{crossings}:{zlib.crc32(stored):08x}"
                 for to_list, x in zip((coded, pcms, features), row, strict=True):
                     to_list.append(x)
             return [pa.array(coded, pa.binary()), pa.array(pcms, pa.binary()), pa.array(features, pa.string())]
@@ -175,7 +179,8 @@ def op2(docs: DataFrame) -> DataFrame:
     """Every document's text as telephony audio and back.
 
     The padded text is taken as coded samples; the codec goes by its number of 192-byte blocks, so that all three are
-    used.  Digests are of the coded samples read back from the stored file, and of that file.
+    used.  Digests are of the coded samples read back from the stored file, of that file, and of the file of resampled PCM.
+    A null text counts as empty; equal texts have equal files; null and repeated doc_ids pass as they are.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     n = F.octet_length(raw)
@@ -185,4 +190,4 @@ def op2(docs: DataFrame) -> DataFrame:
     sized = media.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     back = read_media(sized, ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
     tail = F.substring("coded", -16, 16)
-    return back.select("doc_id", "n_bytes", F.octet_length("coded").cast("long").alias("payload_bytes"), F.sha2("coded", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", F.octet_length("pcm").cast("long").alias("pcm_bytes"))
+    return back.select("doc_id", "n_bytes", F.octet_length("coded").cast("long").alias("payload_bytes"), F.sha2("coded", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
