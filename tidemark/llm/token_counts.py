@@ -3,8 +3,9 @@
 A sentencepiece BPE model never merges across the start of a word when no piece holds a space mark behind another
 character, so a text's count is the sum over its pre-tokens.  Tier one is a broadcast table of the lengths of
 frequent pre-tokens; tier two a bounded cache in each Python worker, filled by the library for what tier one misses.
-Both tiers only remember what the library said, so neither the sample behind the table nor the bound on the cache
-can change a result.
+Both tiers only remember what the library said, so neither the summaries behind the table nor the bound on the cache
+can change a result.  The table is counted over all whole texts: each task keeps a bounded summary of its heavy hitters, and
+only these summaries are merged.
 
 Pre-tokens are keyed as follows: `word` stands behind one space (or the space that the library puts before a text),
 `  word` with k spaces behind k + 1 of them, `\\nword` directly behind anything, ` \\nword` with k spaces behind just
@@ -23,9 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, whole_text
 
-#: Bounds of the tiers: documents (and characters of each) that the frequent table is counted on, its entries,
-#: and the entries of a worker's cache.
-SAMPLE_DOCS, SAMPLE_CHARS, TABLE_ENTRIES, CACHE_ENTRIES = 1000, 20_000, 50_000, 400_000
+#: Bounds of the tiers: pre-tokens in a task's summary, bytes of one in it, entries of the frequent table and of a worker's cache.
+SUMMARY, SUMMARY_BYTES, TABLE_ENTRIES, CACHE_ENTRIES = 8192, 64, 50_000, 400_000
 
 _SPACE = "▁"  # fixed value: sentencepiece's mark of a space
 _RUNS = re.compile(r" *\n[^ \n]*| *[^ \n]+| +$")
@@ -75,14 +75,33 @@ class Counting:
         return [alone[t] if t in alone else sum(map(known, ws)) for t, ws in zip(texts, split, strict=True)]
 
 
+def heavy_hitters(docs: DataFrame) -> DataFrame:
+    """(word, n): pre-tokens of all whole texts with how often they occur, from a bounded summary of each task.
+
+    A summary that has grown to eight times its bound loses the rarer pre-tokens, the others as many counts as the most
+    frequent of those had; so a count is too low by at most the task's pre-tokens over the bound."""
+
+    def run(batches):
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen.update(text.replace("\n", " \n").split(" "))
+                if len(seen) > 8 * SUMMARY:
+                    kept = seen.most_common(SUMMARY + 1)
+                    least = kept.pop()[1]
+                    seen = Counter({w: n - least for w, n in kept if n > least})
+        kept = [(w, n) for w, n in seen.most_common(SUMMARY) if w and len(w.encode("utf-8", "surrogatepass")) <= SUMMARY_BYTES]
+        words, counts = zip(*kept, strict=True) if kept else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
+
+    return docs.select(whole_text().alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def frequent_table(docs: DataFrame, model: str) -> tuple[bytes, bytes]:
-    """The compact table: the pre-tokens of a bounded sample, the most frequent first, joined by spaces, and a byte for each length."""
-    seen: Counter[str] = Counter()
-    for (text,) in docs.select(F.substring(whole_text(), 1, SAMPLE_CHARS)).limit(SAMPLE_DOCS).collect():
-        seen.update(text.replace("\n", " \n").split(" "))
-    seen.pop("", None)
+    """The compact table: the most frequent pre-tokens, joined by spaces, and a byte for each length."""
+    top = heavy_hitters(docs).orderBy(F.desc("n"), "word").limit(TABLE_ENTRIES).select("word").collect()  # a table of bounded size
     counting = Counting(model)
-    counting.learn([w for w, _ in seen.most_common(TABLE_ENTRIES) if _SPACE not in w])
+    counting.learn([w for (w,) in top if _SPACE not in w])
     kept = {w: n for w, n in counting.known.items() if n < 256}
     return " ".join(kept).encode(), bytes(kept.values())
 
