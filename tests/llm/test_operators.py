@@ -110,6 +110,17 @@ def test_token_counts_equal_the_library(docs, empty):
     assert token_counts.Counting(model).counts(samples) == [len(sp.encode(s)) for s in samples]
 
 
+def test_frequent_pre_tokens_come_from_all_rows_and_whole_texts(spark, monkeypatch):
+    rows = [(i, "rare" + str(i)) for i in range(3000)] + [(5000 + i, "y" * 30_000 + " late" * 9) for i in range(30)] + [(9000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    top = token_counts.heavy_hitters(df).orderBy(F.desc("n")).first()
+    assert (top.word, top.n) == ("late", 270)
+    words, lengths = token_counts.frequent_table(df, public_tokenizers.path("piece_bpe_32k.model"))
+    assert "late" in words.decode().split(" ") and len(words.decode().split(" ")) == len(lengths)
+    few = token_counts.frequent_table(df.limit(0), public_tokenizers.path("piece_bpe_32k.model"))
+    assert few == (b"", b"")
+
+
 def test_packing_holds_every_id_once(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = packing.WordIds(path).tokenizer
@@ -136,6 +147,25 @@ def test_packing_holds_every_id_once(docs, empty):
     assert packing.op7(empty).count() == 0
 
 
+def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = packing.WordIds(path)
+    want = lambda t: [*words.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+    got = lambda texts: [np.frombuffer(p, words.kind).tolist() for p in words.encode(texts)]
+    for n in (10, 11):  # such words collide under every polynomial modulo 2**64
+        morse = "".join("ab"[i.bit_count() % 2] for i in range(1 << n))
+        texts = [morse + " and " + morse.translate({97: 98, 98: 97}), morse.translate({97: 98, 98: 97}), morse]
+        assert got(texts) == [want(t) for t in texts]
+    texts = [" ".join(random.Random(3).choices([*WORDS, "Alpha.", "x" * 17, "x" * 16 + "y", "x" * 30, "x" * 29 + "z", "é", "a\x00", "a"], k=400)) for _ in range(5)]
+    assert got(texts) == [want(t) for t in texts]
+    monkeypatch.setattr(words, "words", lambda data: (lambda s, e, h: (s, e, h * np.uint64(0) + (e - s).astype(np.uint64) % np.uint64(2)))(*packing.WordIds.words(words, data)))
+    words.forget()
+    for _ in range(2):
+        assert got(texts) == [want(t) for t in texts]
+    with pytest.raises(ValueError):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_hilbert_neighbours_touch():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert(side, 3)
@@ -366,6 +396,32 @@ def test_url_filter(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge(df, url_filter.RULES, logged).collect()}[4] == "block"
 
 
+def test_decisions_spread_along_chains(spark):
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    pages = [
+        (1, "https://a.org/1", link("https://b.org/2")),
+        (2, "https://b.org/2", link("http://m.c.org/3.html?utm_source=x")),
+        (3, "https://www.c.org/3/", link("https://good.d.org/4")),
+        (4, "https://good.d.org/4", '<meta http-equiv="refresh" content="0; url=http://e.net/bad/">'),
+        (5, "https://good.d.org/9", ""),
+        (6, "https://c.org/3?utm_medium=y#top", ""),
+        (6, "https://c.org/3?utm_medium=y#top", ""),
+        (None, "https://b.org/2#x", None),
+        (8, "https://f.org/", link("https://a.org/1")),
+    ]
+    rows = [(*p, "a", "b", "c") for p in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, __node string, __found string, Verdict string")
+    rules = [("e.net", "/bad/", "block"), ("good.d.org", "/", "allow")]
+    out = url_filter.judge(df, rules)
+    assert [c for c in out.columns if c.startswith("__")] == ["__node", "__found"]
+    got = sorted((r.page_id or 0, r.verdict, r.rule) for r in out.collect())
+    assert got == [(0, "block", None), (1, "block", None), (2, "block", None), (3, "block", None), (4, "allow", "good.d.org/"), (5, "allow", "good.d.org/"), (6, "block", None), (6, "block", None), (8, "block", None)]
+    without = url_filter.judge(df.filter("page_id <> 4"), rules)
+    assert {r.verdict for r in without.collect()} == {"allow"}
+    nothing = spark.createDataFrame([], "src string, dst string")
+    assert url_filter.judge(df.limit(0), rules, nothing).count() == 0 and url_filter.judge(df, rules, nothing).count() == len(rows)
+
+
 def ima_reference(block):
     value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
     out = [value]
@@ -390,7 +446,13 @@ def test_telephony(docs, empty):
         media = telephony.wrap(codec, payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
-        assert r.feature.startswith(codec)
+        linear = np.array([x for i in range(0, len(payload), 192) for x in ima_reference(payload[i : i + 192])] if codec == "ima" else telephony._TABLES[codec][np.frombuffer(payload, np.uint8)], np.int64)
+        samples = np.append(np.stack([linear, linear], 1).ravel()[:-1], linear[-1])
+        samples[1:-1:2] = (linear[:-1] + linear[1:]) >> 1
+        stored = samples.astype("<i2").tobytes()
+        crossings = int(((linear[1:] < 0) != (linear[:-1] < 0)).sum())
+        assert r.feature == f"{codec}:{len(samples)}:{int(abs(linear).max())}:{int(np.sqrt((linear.astype(float) ** 2).sum() / len(linear)))}:{crossings}:{zlib.crc32(stored):08x}"
+        assert (r.pcm_bytes, r.pcm_sha256) == (44 + len(stored), hashlib.sha256(telephony.wrap("pcm", stored, 16000)).hexdigest())
     assert telephony.op2(empty).count() == 0
     blocks = np.random.default_rng(0).integers(0, 256, (20, 192), dtype=np.uint8)
     assert telephony.decode_ima(blocks).tolist() == [ima_reference(b.tobytes()) for b in blocks]

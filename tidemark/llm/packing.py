@@ -8,6 +8,7 @@ tokens.  What is left at a partition's end is cut into powers of two, so no sequ
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -24,22 +25,36 @@ from tidemark.llm.common import map_batches, stored
 LENGTH, END = 2048, 1
 #: Hashed buckets of a document vector; dimensions of the curve, and bits of each.
 BUCKETS, DIMENSIONS, BITS = 256, 4, 10
-#: Entries of a worker's cache of words (some 30 bytes each), and of stems as text; sequences that a partition may number.
-CACHE_ENTRIES, STEMS, STRIDE = 2_500_000, 150_000, 1 << 36
+#: Entries of a worker's cache of words (some 50 bytes each), and of stems as text; sequences that a partition may number.
+CACHE_ENTRIES, STEMS, STRIDE = 1_500_000, 150_000, 1 << 36
+#: Bytes of packed ids that a task lays end to end, about.
+PARTITION_BYTES = 64 << 20
 #: Bytes of text encoded at once: hashing them takes some sixty times as much.
 ENCODE_BYTES = 2 << 20
 
+#: Fixed value: the published split pattern of the lower-casing word vocabularies that `WordIds` reads.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Masks of a number's lowest 0 to 8 bytes.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 
 class WordIds:
     """Ids of a tokenizers vocabulary whose pre-tokens never cross ASCII white space.
 
     Words are cut, hashed and looked up by numpy over the bytes of many texts; only words that aren't known yet go
-    through the library.  A word's hash is a random polynomial of its bytes, modulo 2**64."""
+    through the library.  A word's hash, a random polynomial of its bytes modulo 2**64, only finds the entry: its length and
+    bytes are compared with the entry's, and a word that shares its hash with another goes through the library each time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        if steps != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in pre] != ["Split", "ByteLevel"] or pre[0]["pattern"] != {"Regex": SPLIT} or pre[1].get("add_prefix_space"):
+            raise ValueError("a vocabulary that lower-cases and splits words as SPLIT does is needed")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -55,7 +70,10 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.hashes, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
+        # of each cached word: bytes, the first eight of them, the next eight; whole where it is longer
+        self.lengths, self.heads, self.seconds = np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.long: dict[int, bytes] = {}
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,24 +94,43 @@ class WordIds:
         h = (h ^ (ends - starts).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         return starts, ends, h ^ (h >> np.uint64(32))
 
+    @staticmethod
+    def ends_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the second eight bytes of words as numbers, zero behind a word's end."""
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        rows = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+        read = lambda at: rows[np.minimum(at, len(rows) - 1)].view("<u8")[:, 0]
+        return read(starts) & _BYTES[np.minimum(sizes, 8)], read(starts + 8) & _BYTES[np.clip(sizes - 8, 0, 8)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, END behind them."""
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         whole = b"\n".join(raw)
-        starts, ends, h = self.words(np.frombuffer(whole, np.uint8))
+        data = np.frombuffer(whole, np.uint8)
+        starts, ends, h = self.words(data)
         unique, first, back = np.unique(h, return_index=True, return_inverse=True)
-        self.learn(unique, first, starts, ends, whole)
+        head, second = self.ends_of(data, starts, ends - starts)
+        self.learn(unique, first, starts, ends, head, second, whole)
         at = np.searchsorted(self.hashes, unique)[back]
-        sizes = self.sizes[at]
+        begins, sizes, flat = self.starts[at], self.sizes[at].astype(np.int64), self.flat
+        same = (self.lengths[at] == ends - starts) & (self.heads[at] == head) & (self.seconds[at] == second)
+        for i in np.flatnonzero(same & (ends - starts > 16)).tolist():
+            same[i] = self.long[int(h[i])] == whole[starts[i] : ends[i]]
+        other = np.flatnonzero(~same)
+        if len(other):  # words that share their hash with another
+            got = self.packed([whole[i:j].decode("utf-8", "surrogatepass") for i, j in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+            sizes[other] = [len(g) // self.kind.itemsize for g in got]
+            begins[other] = len(flat) + np.cumsum(sizes[other]) - sizes[other]
+            flat = np.concatenate([flat, np.frombuffer(b"".join(got), self.kind)])
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+        ids = flat[np.repeat(begins - upto[:-1], sizes) + np.arange(upto[-1])]
         text_ends = np.cumsum([len(r) + 1 for r in raw]) - 1
         cuts = upto[np.searchsorted(starts, text_ends)]  # tokens of the words that start before each text's end
         ids = np.insert(ids, cuts, np.array(END, self.kind))
         edges = [0, *(cuts + np.arange(1, len(cuts) + 1))]
         return [ids[i:j].tobytes() for i, j in pairwise(edges)]
 
-    def learn(self, unique: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: bytes) -> None:
+    def learn(self, unique: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, head: np.ndarray, second: np.ndarray, whole: bytes) -> None:
         """Add the words that aren't known, in hash order.
 
         An ASCII word counts as its lower case, and a full stop or comma behind a letter is a pre-token of its own, so
@@ -124,8 +161,12 @@ class WordIds:
         sizes = np.array([len(g) for g in got], np.int64) // self.kind.itemsize
         begin = len(self.flat) + np.cumsum(sizes) - sizes
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), self.kind)])
-        into = place[new]
-        self.hashes, self.starts, self.sizes = (np.insert(x, into, y) for x, y in ((self.hashes, unique[new]), (self.starts, begin), (self.sizes, sizes)))
+        into, own = place[new], first[new]
+        lengths = ends[own] - starts[own]
+        for i in np.flatnonzero(lengths > 16).tolist():
+            self.long[int(unique[new[i]])] = whole[starts[own[i]] : ends[own[i]]]
+        added = ((self.hashes, unique[new]), (self.starts, begin), (self.sizes, sizes), (self.lengths, lengths), (self.heads, head[own]), (self.seconds, second[own]))
+        self.hashes, self.starts, self.sizes, self.lengths, self.heads, self.seconds = (np.insert(x, into, y) for x, y in added)
 
 
 @lru_cache(2)
@@ -168,18 +209,21 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, curve): the packed ids of every whole text with END behind them, and the place on the curve."""
+    """(doc_id, ids, curve, bytes): the packed ids of every whole text with END behind them, the place on the curve, the ids' bytes.
+
+    A null text counts as empty and has END alone; equal texts have equal ids and places; null and repeated doc_ids pass
+    as they are, one row for each row; an empty table gives an empty one."""
 
     def make():
         words = word_ids(path)
 
         def work(batch: pa.RecordBatch) -> list:
             packed = words.encode([t or "" for t in batch.column("text").to_pylist()])
-            return [pa.array(packed, pa.binary()), pa.array(curve_keys([np.frombuffer(p, words.kind) for p in packed]))]
+            return [pa.array(packed, pa.binary()), pa.array(curve_keys([np.frombuffer(p, words.kind) for p in packed])), pa.array([len(p) for p in packed], pa.int64())]
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), "text", make, [pa.field("ids", pa.binary()), pa.field("curve", pa.int64())], ["doc_id"], limit=ENCODE_BYTES)
+    return map_batches(docs.select("doc_id", "text"), "text", make, [pa.field("ids", pa.binary()), pa.field("curve", pa.int64()), pa.field("bytes", pa.int64())], ["doc_id"], limit=ENCODE_BYTES)
 
 
 _PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -240,7 +284,9 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=schema)
 
     tokens = stored(tokenised(docs, path), "tokens")
-    along = tokens.repartitionByRange("curve", "doc_id", F.crc32("ids")).sortWithinPartitions("curve", "doc_id", F.crc32("ids"))
+    size = tokens.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    along = tokens.repartitionByRange(parts, "curve", "doc_id", F.crc32("ids")).sortWithinPartitions("curve", "doc_id", F.crc32("ids"))
     return along.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
