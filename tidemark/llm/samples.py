@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts above this many bytes are not trained on (they are scored whole); it bounds what the driver receives.
-MAX_BYTES = 64_000
-
 
 def fold(doc_id: str, folds: int) -> Column:
     """The fold of a document: crc32 of the id as text, modulo the number of folds."""
@@ -24,7 +21,12 @@ def pick(ids: DataFrame, n: int, seed: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
 
 
+def sampled(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """The rows of `picked` (doc_id and what else; bounded, so broadcast) with their whole texts; a repeated doc_id counts once."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return texts.join(F.broadcast(picked), "doc_id")
+
+
 def texts_of(docs: DataFrame, picked: DataFrame) -> list:
-    """The rows of `picked` (a bounded table, so broadcast) with their texts, on the driver, in order of doc_id."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= MAX_BYTES)
-    return sorted(texts.join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    """`sampled` on the driver, in order of doc_id: as many whole texts as the sample has rows."""
+    return sorted(sampled(docs, picked.dropDuplicates(["doc_id"])).collect(), key=lambda r: r.doc_id)

@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Training sees confirmed toxic texts and unlabelled texts only.  With the class prior p the risk of a scorer is
+Training sees confirmed toxic texts and unlabelled texts only: a sample of the documents that the labels cover, whatever
+their label, which is not looked at.  The class prior is estimated from the same two samples.  With the class prior p the risk of a scorer is
 p * (loss of positives as positive) + max(0, loss of unlabelled as negative - p * loss of positives as negative): the second term estimates
 the loss of true negatives, and where it falls below zero, which only overfitting does, the step goes back up.
 
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches
-from tidemark.llm.samples import held_out, pick, texts_of
+from tidemark.llm.common import map_batches, stored
+from tidemark.llm.samples import held_out, pick, sampled
 
 #: Bounds of the training sample, texts that a feature must occur in, features kept (the most telling), prefix lengths, steps, step size, weight decay.
 POSITIVES, UNLABELLED, MIN_TEXTS, FEATURES, PREFIXES, STEPS, RATE, DECAY = 1200, 3000, 5, 4000, (4, 5), 300, 0.2, 1e-4
+#: Priors that the scorers start from by which the class prior is estimated, their steps, and the confidence of the bound that picks a threshold.
+PRIORS, PRIOR_STEPS, CONFIDENCE = (0.02, 0.1), 100, 0.9
 #: The sum of word scores is divided by the number of words to this power.
 DAMPING = 0.25
 #: Entries of a worker's cache of word scores.
@@ -62,58 +65,120 @@ class Scorer(dict):
         return 1 / (1 + np.exp(-np.clip(np.array(z), -60, 60)))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float) -> Scorer:
-    """Non-negative PU risk with the logistic loss, minimised by Adam over the whole sample at each step."""
-    if not positive or not unlabelled:
-        return Scorer(float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), {})
-    rows, seen = [], {}
-    for r, text in enumerate([*positive, *unlabelled]):
-        counts: dict[str, int] = {}
-        for w in (ws := words(text)):
-            for f in features(w):
-                counts[f] = counts.get(f, 0) + 1
-        rows.append((counts, max(1, len(ws)) ** -DAMPING))
-        for f in counts:
-            seen.setdefault(f, [0, 0])[r < len(positive)] += 1
-    telling = {f: abs(p / len(positive) - u / len(unlabelled)) / (p + u) ** 0.5 for f, (u, p) in seen.items() if p + u >= MIN_TEXTS}
-    names = {f: i for i, f in enumerate(sorted(sorted(telling, key=lambda f: (-telling[f], f))[:FEATURES]))}
-    at, value, row = [], [], []
-    for r, (counts, scale) in enumerate(rows):
-        own = [(names[f], c * scale) for f, c in sorted(counts.items()) if f in names]
-        at += [i for i, _ in own]
-        value += [v for _, v in own]
-        row += [r] * len(own)
-    at, value, row = np.array(at, np.int64), np.array(value), np.array(row, np.int64)
-    n, size = len(rows), len(names)
-    is_p = np.arange(n) < len(positive)
-    n_p, n_u = is_p.sum(), n - is_p.sum()
-    w = np.zeros(size + 1)
-    w[size] = np.log(prior / (1 - prior))
+class Sample:
+    """Texts as sparse rows: `row`, `at`, `value` of each feature, and which of the `n` rows are positive."""
+
+    def __init__(self, row: np.ndarray, at: np.ndarray, value: np.ndarray, positive: np.ndarray, size: int):
+        self.row, self.at, self.value, self.positive, self.size = row, at, value, positive, size
+
+    def part(self, rows: np.ndarray) -> Sample:
+        """The rows that a mask keeps."""
+        kept = rows[self.row]
+        return Sample((np.cumsum(rows) - 1)[self.row[kept]], self.at[kept], self.value[kept], self.positive[rows], self.size)
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.at], len(self.positive)) + w[self.size]
+
+
+def pu_risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk of positives, risk of negatives, slope by logit of the step): the logistic loss under the class prior.
+
+    While the risk of negatives is not below zero the slope is that of both risks; below zero it is that of minus the latter."""
+    n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    as_negative = np.logaddexp(0, z)  # loss of calling it negative; its slope is p
+    negatives = as_negative[~positive].sum() / n_u - prior * as_negative[positive].sum() / n_p
+    positives = prior * (as_negative - z)[positive].sum() / n_p
+    slope = np.where(positive, -prior * p / n_p, p / n_u)
+    return positives, negatives, np.where(positive, prior * (p - 1) / n_p, 0.0) + slope if negatives >= 0 else -slope
+
+
+def minimise(sample: Sample, prior: float, steps: int) -> np.ndarray:
+    """Weights and, last, the bias after Adam over the whole sample at each step."""
+    w = np.zeros(sample.size + 1)
+    w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):
-        z = np.bincount(row, value * w[at], n) + w[size]
-        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        as_negative = np.logaddexp(0, z)  # loss of calling it negative; its slope is p
-        negative_risk = as_negative[~is_p].mean() - prior * as_negative[is_p].mean()
-        slope_negative = np.where(is_p, -prior * p / n_p, p / n_u)
-        slope = np.where(is_p, prior * (p - 1) / n_p, 0.0) + slope_negative if negative_risk >= 0 else -slope_negative
-        g = np.append(np.bincount(at, value * slope[row], size) + DECAY * w[:size], slope.sum())
+    for step in range(1, steps + 1):
+        slope = pu_risk(sample.logits(w), sample.positive, prior)[2]
+        g = np.append(np.bincount(sample.at, sample.value * slope[sample.row], sample.size) + DECAY * w[:-1], slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Scorer(float(w[size]), {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-4})
+    return w
+
+
+def class_prior(sample: Sample, least: float) -> float:
+    """The share of positives among the unlabelled rows, from positives and unlabelled rows alone.
+
+    For any set of scores that only positives reach, it is the set's share of the unlabelled over its share of the
+    positives.  Scorers are fitted on every second row; on the others the threshold with the least upper bound of that
+    ratio is taken.  `least` bounds it from below: the share of the unlabelled rows that are among the confirmed ones.
+    Where the sample is so small that the bound says nothing (one half or more), `least` is all that is known."""
+    rows = np.arange(len(sample.positive)) % 2 == 0
+    mine, other = sample.part(rows), sample.part(~rows)
+    found = (1.0, 0.0)
+    for start in PRIORS:
+        z = other.logits(minimise(mine, start, PRIOR_STEPS))
+        p, u = np.sort(z[other.positive]), np.sort(z[~other.positive])
+        if len(p) and len(u):
+            of_p, of_u = 1 - np.searchsorted(p, p) / len(p), 1 - np.searchsorted(u, p) / len(u)
+            slack = sum(np.sqrt(np.log(4 / (1 - CONFIDENCE)) / (2 * len(x))) for x in (p, u))
+            best = np.argmin((of_u + slack) / of_p)
+            found = min(found, ((of_u[best] + slack) / of_p[best], of_u[best] / of_p[best]))
+    return float(np.clip(max(least, found[1]) if found[0] < 0.5 else least, 1e-3, 0.5))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, test_fold: int = 0) -> Scorer:
-    """Fit on at most POSITIVES texts labelled toxic outside the held-out fold and UNLABELLED others, whose labels are not looked at.
-
-    The class prior is the share of toxic rows among all labels outside the held-out fold."""
-    known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out("doc_id", folds, test_fold))
-    toxic = known.filter("toxic = 1").select("doc_id").distinct()
-    prior = known.agg(F.avg("toxic")).first()[0]
-    chosen = pick(toxic, POSITIVES, 6).withColumn("part", F.lit(1))
-    others = pick(docs.select("doc_id").filter("doc_id is not null"), UNLABELLED, 7).withColumn("part", F.lit(0))
-    rows = texts_of(docs, chosen.unionByName(others.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")))
-    return fit([r.text for r in rows if r.part], [r.text for r in rows if not r.part], min(max(prior or 0.0, 1e-4), 1 - 1e-4))
+    """Fit on at most POSITIVES texts labelled toxic outside the held-out fold, and UNLABELLED of all that are labelled there, their labels unread.
+
+    Repeated label rows count once, as toxic if any says so.  Whole texts become features in map tasks; the driver gets the
+    FEATURES that tell positives from unlabelled texts best, and the sample's rows by those."""
+    known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out("doc_id", folds, test_fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = [pick(known.filter("toxic = 1").select("doc_id"), POSITIVES, 6).withColumn("part", F.lit(1)), pick(known.select("doc_id"), UNLABELLED, 7).withColumn("part", F.lit(0))]
+
+    def found():
+        def work(batch: pa.RecordBatch) -> list:
+            names, counts, sizes = [], [], []
+            for text in batch.column("text").to_pylist():
+                seen: dict[str, int] = {}
+                ws = words(text)
+                for word in ws:
+                    for f in features(word):
+                        seen[f] = seen.get(f, 0) + 1
+                names.append(list(seen))
+                counts.append(list(seen.values()))
+                sizes.append(max(1, len(ws)))
+            return [pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())), pa.array(sizes, pa.int32())]
+
+        return work
+
+    fields = [pa.field("names", pa.list_(pa.string())), pa.field("counts", pa.list_(pa.int32())), pa.field("words", pa.int32())]
+    sample = stored(map_batches(sampled(docs, chosen[0].unionByName(chosen[1])), "text", found, fields, ["doc_id", "part"]), "sample")
+    sizes = dict(sample.groupBy("part").agg(F.count(F.lit(1))).collect())
+    if len(sizes) < 2:
+        return Scorer(float(np.log(1e-4)), {})
+    texts = sample.select("part", F.explode("names").alias("name")).groupBy("name").agg(F.sum("part").alias("p"), F.sum(1 - F.col("part")).alias("u")).filter(F.col("p") + F.col("u") >= MIN_TEXTS)
+    telling = F.abs(F.col("p") / sizes[1] - F.col("u") / sizes[0]) / F.sqrt(F.col("p") + F.col("u"))
+    names = sorted(r.name for r in texts.orderBy(F.desc(telling), "name").limit(FEATURES).select("name").collect())
+    place = {f: i for i, f in enumerate(names)}
+
+    def placed():
+        def work(batch: pa.RecordBatch) -> list:
+            at, value = [], []
+            for own, counts, n in zip(*(batch.column(c).to_pylist() for c in ("names", "counts", "words")), strict=True):
+                kept = sorted((place[f], c * n**-DAMPING) for f, c in zip(own, counts, strict=True) if f in place)
+                at.append([i for i, _ in kept])
+                value.append([v for _, v in kept])
+            return [pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))]
+
+        return work
+
+    rows = map_batches(sample, "names", placed, [pa.field("at", pa.list_(pa.int32())), pa.field("value", pa.list_(pa.float64()))], ["doc_id", "part"], ("counts", "words")).toArrow().sort_by([("part", "descending"), ("doc_id", "ascending")]).combine_chunks()
+    at, value = (rows.column(c).combine_chunks() for c in ("at", "value"))
+    row = np.repeat(np.arange(len(rows)), at.value_lengths().to_numpy())
+    whole = Sample(row, at.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy(), rows.column("part").to_numpy() == 1, len(names))
+    ids = rows.column("doc_id").to_numpy()
+    w = minimise(whole, class_prior(whole, float(np.isin(ids[~whole.positive], ids[whole.positive]).mean())), STEPS)
+    return Scorer(float(w[-1]), {f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-4})
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None, name: str = "score") -> DataFrame:
