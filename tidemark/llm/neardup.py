@@ -35,7 +35,7 @@ SURE_MARGIN = 0.17
 #: Rows up to which a table of ids (16 bytes each) is broadcast; longer ones are joined by shuffling.
 BROADCAST_IDS = 300_000
 #: Entries of a worker's cache of word hashes.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

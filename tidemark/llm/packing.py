@@ -26,11 +26,11 @@ LENGTH, END = 2048, 1
 #: Hashed buckets of a document vector; dimensions of the curve, and bits of each.
 BUCKETS, DIMENSIONS, BITS = 256, 4, 10
 #: Entries of a worker's cache of words (some 50 bytes each), and of stems as text; sequences that a partition may number.
-CACHE_ENTRIES, STEMS, STRIDE = 1_500_000, 150_000, 1 << 36
+CACHE_ENTRIES, STEMS, STRIDE = 1_000_000, 100_000, 1 << 36
 #: Bytes of packed ids that a task lays end to end, about.
 PARTITION_BYTES = 64 << 20
-#: Bytes of text encoded at once: hashing them takes some sixty times as much.
-ENCODE_BYTES = 2 << 20
+#: Bytes of text encoded at once: hashing and comparing them takes some eighty times as much.
+ENCODE_BYTES = 1 << 20
 
 #: Fixed value: the published split pattern of the lower-casing word vocabularies that `WordIds` reads.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

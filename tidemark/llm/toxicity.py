@@ -28,7 +28,7 @@ PRIORS, PRIOR_STEPS, CONFIDENCE = (0.02, 0.1), 100, 0.9
 #: The sum of word scores is divided by the number of words to this power.
 DAMPING = 0.25
 #: Entries of a worker's cache of word scores.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 _WORD = re.compile(r"\w+")
 
