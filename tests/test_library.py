@@ -60,6 +60,28 @@ def test_merge_write_is_idempotent_and_pruned(spark, tmp_path):
     assert tables.compact(spark, path, ["concept"], f"file://{tmp_path}/v2", 4) == 6
 
 
+def test_rows_of_one_key_in_one_batch_merge_alike_in_any_layout(spark):
+    schema = "entity_id string, effective_date date, availability_date date, source_ref string, concept string, value double, batch int"
+    d = date(2024, 1, 1)
+    rows = [("e", d, date(2024, 2, i), "r", "c", float(i), 1) for i in (3, 1, 2)] + [("f", d, d, "r", "c", float(i), 1) for i in range(20)]
+    picked = {tuple(sorted((r.entity_id, r.value) for r in tables.merged(spark.createDataFrame(rows[::s], schema).repartition(n), ["concept"]).collect())) for s in (1, -1) for n in (1, 3, 7)}
+    assert len(picked) == 1 and ("e", 3.0) in next(iter(picked))
+
+
+def test_only_the_first_arrival_of_a_body_is_new(spark):
+    new = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, None)], "n int, body string")
+    stored = spark.createDataFrame([("b",)], "body string").select(F.sha1("body").alias("sha1"))
+    first, log = tables.archive(new, stored, ["n"])
+    assert {r.n: r.was_new for r in log.collect()} == {1: True, 2: False, 3: False, 4: False, 5: True}
+    assert sorted(r.n for r in first.collect()) == [1, 5] and "body" in first.columns
+
+
+def test_relayout_counts_equal_rows_once(spark, tmp_path):
+    a = spark.createDataFrame([("e1", 1), ("e2", 2), ("e2", 2)], "entity_id string, v int")
+    b = spark.createDataFrame([("e2", 2), ("e3", 3)], "entity_id string, v int")
+    assert tables.relayout(a, f"file://{tmp_path}/new", b, 4) == 3
+
+
 def test_promote_undo_and_refusals(spark, tmp_path):
     root = f"file://{tmp_path}/root"
     assert tables.current(spark, root) is None
@@ -102,6 +124,48 @@ def test_items_keep_the_longest_body_and_ignore_inline_headings(spark):
     assert got == {"1": "long body here", "1A": "see Item 7 above", "2": "x"}
 
 
+def test_items_of_texts_with_marks_and_nulls(spark):
+    df = spark.createDataFrame([(1, "Item 1. A\x00b\nbody \x00\x01\x03 here\nItem 2. C\nrest"), (2, None)], "k int, text string")
+    assert sorted((r.item_id, r.item_title, r.text) for r in text.items(df, "k").collect()) == [("1", "A\x00b", "body \x00\x01\x03 here"), ("2", "C", "rest")]
+
+
+def test_chunks_by_the_rule():
+    import random
+
+    r = random.Random(8)
+    for n in (0, 1, 3999, 4000, 4001, 9000, 20_000):
+        whole = "".join(r.choices("abcdefgh ", k=n)) if n != 9000 else "x" * n
+        want, at = [], 0
+        while at < n:
+            end = at + 4000
+            if n <= 4000:
+                want.append(whole)
+                break
+            if end < n:
+                spaces = [i for i in range(at + 3800, end) if whole[i] == " "]
+                end = spaces[-1] if spaces else end
+            want.append(whole[at : min(end, n)].strip())
+            if end >= n:
+                break
+            at = max(end - 800, at + 1)
+        assert text.chunks(whole) == [c for c in want if c]
+
+
+def test_nearest_earlier_against_all_pairs(spark):
+    import numpy as np
+
+    from tidemark.operators import features
+
+    x = np.random.default_rng(4).normal(size=(300, 5)).round(1)
+    x[7] = 0
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)] + [(None, [1.0] * 5), (900, None)], "vec_id long, embedding array<float>").repartition(4)
+    got = {(r.q, r.place): r.vec_id for r in features.nearest_earlier(df.filter("vec_id % 50 = 0"), df, "vec_id", 3).collect()}
+    unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) > 0, np.linalg.norm(x, axis=1, keepdims=True), 1)
+    for q in range(50, 300, 50):
+        order = sorted((i for i in range(q) if i != 7), key=lambda i: (-round(float(unit[q] @ unit[i]), 12), i))[:3]
+        assert [got[q, p] for p in (1, 2, 3)] == order
+
+
 def test_chunks_cover_the_text():
     words = " ".join(f"w{i}" for i in range(4000))
     parts = text.chunks(words)

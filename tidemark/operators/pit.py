@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a spine is broadcast in an as-of join; larger ones are joined by entity with a shuffle.
-SPINE_BROADCAST_ROWS = 200_000
-
 
 def visible(t: Column) -> Column:
     """Known by `t` and not yet superseded then."""
@@ -39,13 +36,21 @@ def as_of(df: DataFrame, t, keys: Sequence[str], effective_between: tuple | None
 def as_of_join(spine: DataFrame, df: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
     """The state of each (entity_id, t) of a spine: rows of `df` with the spine's columns.
 
-    Versions meet the spine rows of their entity under the visibility condition, then each (spine row, fact) keeps the
-    winner.  The spine is broadcast if a count shows that it is small, so that a long history isn't shuffled by
-    entity; otherwise adaptive execution splits hot entities."""
+    A version is joined only with the dates in its validity interval, so just the winners come out, and nothing is picked
+    afterwards.  Intervals fail a fact of which a version is withdrawn while an earlier one stands, which then shows
+    again: the versions of such facts meet all dates on which they are visible, and the winner is picked.  Adaptive
+    execution broadcasts a small side by its size, and splits hot entities."""
+    facts = list(dict.fromkeys(["entity_id", *keys]))
     spine = spine.select("entity_id", *[c for c in spine.columns if c != "entity_id"])
-    side = F.broadcast(spine) if spine.limit(SPINE_BROADCAST_ROWS + 1).count() <= SPINE_BROADCAST_ROWS else spine
-    met = df.join(side, "entity_id").filter(visible(F.col(t)))
-    return newest(met, [t, *dict.fromkeys(["entity_id", *keys])])
+    w = Window.partitionBy(*facts).orderBy("availability_date", "source_ref")
+    until = F.coalesce("restated_at", F.lit("9999-12-31").cast("date"))
+    outlived = F.max(until).over(w.rowsBetween(Window.unboundedPreceding, -1)) > until
+    marked = df.filter("availability_date is not null").withColumns({"__to": F.least(F.lead("availability_date").over(w), F.col("restated_at")), "__back": outlived})
+    marked = marked.withColumn("__back", F.coalesce(F.max("__back").over(Window.partitionBy(*facts)), F.lit(False)))
+    within = (F.col("availability_date") <= F.col(t)) & (F.col("__to").isNull() | (F.col("__to") > F.col(t)))
+    plain = marked.filter("not __back and (__to is null or __to > availability_date)").join(spine, "entity_id").filter(within)
+    again = newest(marked.filter("__back").join(spine, "entity_id").filter(visible(F.col(t))), [t, *facts])
+    return plain.drop("__to", "__back").unionByName(again.drop("__to", "__back"))
 
 
 def intervals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,14 +78,11 @@ def supersede(originals: DataFrame, amendments: DataFrame, keys: Sequence[str])
 
     Any earlier restated_at stays.  Only amendments filed strictly later count, in whatever order the rows came."""
     later = amendments.select(*keys, F.col("accession").alias("__acc"), F.col("availability_date").alias("__filed")).distinct()
-    on = [originals[k].eqNullSafe(later[k]) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    rows = originals.withColumn("__row", F.xxhash64(*originals.columns))
-    hit = rows.select("__row", *keys, "accession", "availability_date").join(later, list(keys)).filter("__acc <> accession and __filed > availability_date")
-    first = hit.groupBy("__row").agg(F.min("__filed").alias("__filed"))
-    return rows.join(first, "__row", "left").withColumn("restated_at", F.least("restated_at", "__filed")).drop("__row", "__filed")
+    # which amendment comes first depends on keys, accession and date alone, so rows that share those share the answer
+    own = [*keys, "accession", "availability_date"]
+    hit = originals.select(*own).distinct().join(later, list(keys)).filter("__acc <> accession and __filed > availability_date")
+    first = hit.groupBy(*own).agg(F.min("__filed").alias("__filed"))
+    return originals.join(first, own, "left").withColumn("restated_at", F.least("restated_at", "__filed")).select(*originals.columns)
 
 
 def violations(df: DataFrame, t) -> DataFrame:
@@ -113,7 +115,8 @@ def snapshot(tables: dict[str, DataFrame], entities: Sequence[str], t, keys: dic
 def training_pairs(spine: DataFrame, df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Inputs at t and targets at target_t of spine rows (entity_id, t, horizon_q, target_t) that have any input."""
     inputs = as_of_join(spine.select("entity_id", "t").distinct(), df, keys)
-    kept = spine.join(inputs.select("entity_id", "t").distinct(), ["entity_id", "t"], "left_semi")
+    known = df.select("entity_id", "availability_date", "restated_at").distinct()
+    kept = spine.join(known, (spine["entity_id"] == known["entity_id"]) & visible(F.col("t")), "left_semi")
     targets = as_of_join(kept.select("entity_id", "target_t").distinct(), df, keys, "target_t")
     return kept.join(inputs, ["entity_id", "t"]), kept.join(targets, ["entity_id", "target_t"], "left")
 

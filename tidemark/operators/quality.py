@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ ACCOUNTING_RULES = [
     Rule("nonnegative_equity", (E,), lambda v: v[E] >= 0, "soft"),
 ]
 
+FURTHER_RULES = [
+    Rule("nonnegative_liabilities", (L,), lambda v: v[L] >= 0),
+    Rule("working_capital_leq_assets", (A, AC, LC), lambda v: v[AC] - v[LC] <= v[A]),
+]
+_CASH = ("CashPeriodIncreaseDecrease", "NetCashFromOperating", "NetCashFromInvesting", "NetCashFromFinancing")
+CASH_FLOW = Rule("cash_flow_identity", _CASH, lambda v: close_to(v[_CASH[0]], v[_CASH[1]] + v[_CASH[2]] + v[_CASH[3]], 0.01))
+
 
 def pivot_concepts(df: DataFrame, by: Sequence[str], concepts: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row for each statement: a struct(present, value) for each concept, the value being the latest by `order`."""
@@ -90,12 +98,6 @@ def examples(verdicts: DataFrame, by: Sequence[str], n: int = 10) -> DataFrame:
     return verdicts.filter("not ok").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def upper_median(values: Column) -> Column:
-    """The element in the middle, the upper one of two."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, (F.size(ordered) / 2).cast("int") + 1)
-
-
 def run_checks(checks: dict[str, Callable[[], tuple[bool, str, str]]], spark) -> DataFrame:
     """A row for each coverage check: name, passed, observed, message; a check that raises has failed with its error."""
     rows = []
@@ -108,6 +110,51 @@ def run_checks(checks: dict[str, Callable[[], tuple[bool, str, str]]], spark) ->
     return spark.createDataFrame(rows, "name string, passed boolean, observed string, message string")
 
 
+def sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(modality, n, is_empty) of each table."""
+    counts = [df.agg(F.lit(m).alias("modality"), F.count(F.lit(1)).alias("n")) for m, df in tables.items()]
+    return reduce(DataFrame.union, counts).withColumn("is_empty", F.col("n") == 0)
+
+
+def breadth(tables: dict[str, DataFrame]) -> DataFrame:
+    """(modality, entities, n) of each table."""
+    return reduce(DataFrame.union, [df.agg(F.lit(m).alias("modality"), F.count_distinct("entity_id").alias("entities"), F.count(F.lit(1)).alias("n")) for m, df in tables.items()])
+
+
+def coverage_checks(tables: dict[str, DataFrame], facts: DataFrame, sentinel: Column, modalities: int = 10, quarters: int = 60, entities: int = 1000) -> dict[str, Callable[[], tuple[bool, str, str]]]:
+    """The coverage gates for `run_checks`: populated modalities, the upper median of entities' quarters, a known fact, entities (soft)."""
+    per = facts.groupBy("entity_id").agg(F.count_distinct("fiscal_year", "fiscal_period").alias("q"))
+
+    def populated():
+        n = sizes(tables).filter("n > 0").count()
+        return n >= modalities, n, f"at least {modalities} modalities"
+
+    def median():
+        hist = sorted(per.groupBy("q").count().collect())  # as many rows as there are different counts
+        left = sum(r["count"] for r in hist) // 2
+        for r in hist:
+            left -= r["count"]
+            if left < 0:
+                return r.q >= quarters, r.q, f"at least {quarters} quarters"
+        return False, 0, "no entities"
+
+    def known():
+        n = facts.filter(sentinel).count()
+        return n > 0, n, "the known fact"
+
+    def enough():
+        n = per.count()
+        return n >= entities, n, f"at least {entities} entities (soft)"
+
+    return {"modalities": populated, "median_quarters": median, "sentinel": known, "entities": enough}
+
+
+def roll_up(bars: DataFrame, by: str, period: str) -> DataFrame:
+    """Daily bars (by, day, open, high, low, close, volume) as bars of a week, month or quarter from `start` on."""
+    start = F.to_date(F.trunc("day", period))
+    return bars.groupBy(by, start.alias("start")).agg(F.min_by("open", "day").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "day").alias("close"), F.sum("volume").alias("volume"))
+
+
 def drift(now: DataFrame, before: DataFrame, keys: Sequence[str], value: str, limit: float = 0.05) -> DataFrame:
     """Full outer comparison of two baselines: missing sides count as 0; `material` where the relative change exceeds the limit."""
     a, b = now.select(*keys, F.col(value).alias("now")), before.select(*keys, F.col(value).alias("prior"))
@@ -115,11 +162,6 @@ def drift(now: DataFrame, before: DataFrame, keys: Sequence[str], value: str, li
     return both.withColumn("delta", relative_delta(F.col("now").cast("double"), F.col("prior").cast("double"))).withColumn("material", F.abs(F.col("delta")) > limit)
 
 
-def latest_baseline(baselines: DataFrame, name: str = "name") -> DataFrame:
-    """The newest of named baselines."""
-    return baselines.groupBy(name).agg(F.max_by(F.struct(*[c for c in baselines.columns if c != name]), "written_at").alias("b")).select(name, "b.*")
-
-
 def conformance(df: DataFrame) -> DataFrame:
     """One row of counts: envelope columns absent, and rows that break an envelope rule, in a single pass."""
     absent = [f.name for f in ENVELOPE.fields if f.name not in df.columns]

@@ -36,6 +36,13 @@ def attribute_news(news: DataFrame, registry: DataFrame, keep_unresolved: bool =
     return kept.drop("__n1", "__n2", "__e1", "__e2")
 
 
+def by_ticker(mentions: DataFrame, registry: DataFrame) -> DataFrame:
+    """Add the registry's name and entity_id to mentions (ticker), case and outer spaces aside; the first entry of equal tickers wins."""
+    key = F.upper(F.trim("ticker"))
+    first = registry.filter("ticker is not null").groupBy(key.alias("__t")).agg(F.min_by(F.struct("name", "entity_id"), "pos").alias("e"))
+    return mentions.withColumn("__t", key).join(first, "__t", "left").select(*mentions.columns, "e.name", "e.entity_id")
+
+
 def _ratio(a: str, b: str) -> float:
     """Shared length of two texts over both, as 100 * 2 * LCS / total; a row of the LCS table is the zero bits of one integer."""
     if not a and not b:

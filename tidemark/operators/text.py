@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,6 +18,7 @@ BLOCK_TAGS = ["p", "div", "br", "tr", "li", "ul", "ol", "table", "thead", "tbody
 HIDDEN_TAGS = ["script", "style", "noscript", "ix:header", "ix:hidden"]
 CHUNK_CHARS, OVERLAP_CHARS, LOOK_BACK = 4000, 800, 200
 
+#: Headings of a filing's items.
 ITEM = r"(?im)^[^\S\n]*item\s+(\d{1,2}[A-Z]?)\.?\s+([^\n]{0,160})"
 ITEM_8K = r"(?im)^[^\S\n]*item\s+(\d+\.\d{2})\.?\s+([^\n]{0,160})"
 
@@ -94,12 +95,16 @@ def chunk_text(text: Column) -> Column:
 
 
 def items(docs: DataFrame, key: str, pattern: str = ITEM) -> DataFrame:
-    """(key, text) to one row for each item: the text from a heading to the next; of repeated headings the longest body, the first of equals."""
-    mark = "\x00"
-    marked = F.regexp_replace("text", pattern, mark + "$1" + mark + "$2" + mark)
+    """(key, text) to one row for each item: the text from a heading to the next; of repeated headings the longest body, the first of equals.
+
+    A null text has no items.  Headings are marked by a character that texts are freed of before and get back behind."""
+    mark, escape = "\x00", "\x01"
+    bare = F.when(F.col("text").rlike(f"[{mark}{escape}]"), F.replace(F.replace("text", F.lit(escape), F.lit(escape + "\x02")), F.lit(mark), F.lit(escape + "\x03"))).otherwise(F.col("text"))
+    back = lambda c: F.when(F.contains(c, F.lit(escape)), F.replace(F.replace(c, F.lit(escape + "\x03"), F.lit(mark)), F.lit(escape + "\x02"), F.lit(escape))).otherwise(c)
+    marked = F.regexp_replace(bare, pattern, mark + "$1" + mark + "$2" + mark)
     parts = F.slice(F.split(marked, mark), 2, F.greatest(F.size(F.split(marked, mark)) - 1, F.lit(0)))
-    rows = docs.filter(~F.contains("text", F.lit(mark))).select(key, parts.alias("p")).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("p") / 3).cast("int")), lambda i: F.struct(F.get("p", i * 3).alias("item_id"), F.get("p", i * 3 + 1).alias("title"), F.get("p", i * 3 + 2).alias("body")))).alias("pos", "x"))
-    found = rows.select(key, "pos", F.upper("x.item_id").alias("item_id"), F.trim("x.title").alias("item_title"), F.regexp_replace("x.body", r"^\s+|\s+$", "").alias("text")).filter("item_id is not null and text <> ''")
+    rows = docs.filter("text is not null").select(key, parts.alias("p")).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("p") / 3).cast("int")), lambda i: F.struct(F.get("p", i * 3).alias("item_id"), F.get("p", i * 3 + 1).alias("title"), F.get("p", i * 3 + 2).alias("body")))).alias("pos", "x"))
+    found = rows.select(key, "pos", F.upper("x.item_id").alias("item_id"), F.trim(back(F.col("x.title"))).alias("item_title"), F.regexp_replace(back(F.col("x.body")), r"^\s+|\s+$", "").alias("text")).filter("item_id is not null and text <> ''")
     best = found.groupBy(key, "item_id").agg(F.max_by(F.struct("item_title", "text"), F.struct(F.length("text"), -F.col("pos"))).alias("b"))
     return best.select(key, "item_id", "b.item_title", "b.text")
 
@@ -118,7 +123,11 @@ def first_chunks(rows: DataFrame, by: list[str], n: int = 3) -> DataFrame:
 
 def earnings_excerpts(filings_text: DataFrame) -> DataFrame:
     """Results announcements: chunks of item 2.02 of 8-K filings, as rows of their own table."""
-    rows = filings_text.filter(F.col("form").startswith("8-K") & (F.col("item_id") == "2.02"))
+    return excerpts(filings_text.filter(F.col("form").startswith("8-K") & (F.col("item_id") == "2.02")))
+
+
+def excerpts(rows: DataFrame) -> DataFrame:
+    """Text chunks as rows of the excerpts' table."""
     return rows.select("entity_id", "accession", "form", "item_id", "chunk_idx", "text", "n_chars", "n_tokens_approx", F.lit("press_release").alias("coverage_class"), F.lit("derived:filings_text/8-K_item_2.02").alias("perspective"))
 
 
@@ -196,3 +205,15 @@ def inline_facts(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
     sorted_dims = F.map_from_entries(F.array_sort(F.map_entries("dims")))
     value = fn.scaled_number(F.col("text"), F.col("scale").try_cast("int"), F.col("sign"))
     return raw.select(key, "concept", "context_id", fn.iso_date(F.col("period_start")).alias("period_start"), fn.iso_date(F.col("period_end")).alias("period_end"), F.when(F.size("dims") == 0, F.lit("")).otherwise(F.to_json(sorted_dims)).alias("dimensions_json"), "unit", value.alias("value")).filter("value is not null and period_end is not null")
+
+
+def generate(docs: DataFrame, key: str, column: str, make: Callable[[str], list[tuple]], schema: str) -> DataFrame:
+    """(key, *schema): the rows that a user's function makes of each text, in map tasks; null texts make none."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *row) for k, t in zip(batch[key], batch[column], strict=True) if t is not None for row in make(t)]
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    return docs.select(key, column).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, {schema}")

@@ -184,7 +184,7 @@ def jn_07(spark, sf_dir):
     return pit.supersede(x.filter("not amended"), x.filter("amended"), ["insider", "period"]).select("insider", "period", "accession", "l_linenumber", "availability_date", "shares", "restated_at")
 
 
-@query("top_06")
+@query("top_06", f"select entity_id, t from {_SPINE}")
 def top_06(spark, sf_dir):
     """The spine in a seeded order."""
     return pit.shuffled(_spine(spark, sf_dir), 7, "entity_id", "t")

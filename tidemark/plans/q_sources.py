@@ -332,13 +332,14 @@ def ver_03(spark, sf_dir):
 @query("opt_04", f"select f.entity_id, f.source_ref, m.mean from {FACTS} f asof join (select cast(o_orderdate as date) as d, round(avg(o_totalprice), 4) as mean from orders group by 1) m on f.availability_date >= m.d where f.fiscal_period = 'Q1'")
 def opt_04(spark, sf_dir):
     """Macro context: the day's latest market mean beside each fact, by date alone."""
-    from pyspark.sql import Window
+    from tidemark.operators import pit
 
     f = views.facts(spark, sf_dir).filter("fiscal_period = 'Q1'").select("entity_id", "source_ref", F.col("availability_date").alias("day"))
-    m = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))  # a row for each day
-    until = m.withColumn("next", F.lead("day").over(Window.orderBy("day")))
-    days = until.select(F.explode(F.sequence("day", F.coalesce(F.date_sub("next", 1), F.date_add("day", 4000)))).alias("day"), "mean")
-    return f.join(days, "day").select("entity_id", "source_ref", "mean")
+    # the market is one pseudo-entity with a version for each day: as many rows as the calendar has days
+    m = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("availability_date")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    m = m.withColumns({"entity_id": F.lit("market"), "source_ref": F.lit(""), "restated_at": F.lit(None).cast("date")})
+    days = pit.as_of_join(f.select(F.lit("market").alias("entity_id"), "day").distinct(), m, [], "day")
+    return f.join(days.select("day", "mean"), "day").select("entity_id", "source_ref", "mean")
 
 
 @query("fn_17", "select o_orderkey, cast(date_trunc('week', cast(o_orderdate as date) + 47) as date) + 1 as released from orders")

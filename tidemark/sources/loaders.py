@@ -96,7 +96,7 @@ def filing_documents(containers: DataFrame) -> DataFrame:
 
 def of_filers(documents: DataFrame, keep: DataFrame) -> DataFrame:
     """Documents of which any filer is kept."""
-    hit = documents.select("accession", F.explode("ciks").alias("cik")).join(F.broadcast(keep.select(F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik")).distinct()), "cik", "left_semi").select("accession").distinct()
+    hit = documents.select("accession", F.explode("ciks").alias("cik")).join(keep.select(F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik")).distinct(), "cik", "left_semi").select("accession").distinct()
     return documents.join(hit, "accession", "left_semi")
 
 
@@ -170,7 +170,7 @@ def labour_series(responses: DataFrame, series: DataFrame) -> DataFrame:
     month = F.substring("d.period", 2, 2).try_cast("int")
     end = F.last_day(F.make_date(F.col("d.year").cast("int"), month, F.lit(1)))
     rows = s.filter(F.col("d.period").rlike(r"^M(0[1-9]|1[0-2])$")).select(F.col("seriesID").alias("series_id"), end.alias("effective_date"), F.regexp_replace("d.value", ",", "").try_cast("double").alias("value"))
-    return rows.filter("value is not null").join(F.broadcast(series), "series_id").withColumn("availability_date", fn.labour_release(F.col("effective_date")))
+    return rows.filter("value is not null").join(series, "series_id").withColumn("availability_date", fn.labour_release(F.col("effective_date")))
 
 
 PATENTS = "struct<patents:array<struct<patent_id:string,patent_number:string,patent_date:string,patent_title:string,patent_abstract:string,application:array<struct<filing_date:string>>,app_date:string,assignees:array<struct<assignee_organization:string>>,inventors:array<struct<inventor_name_first:string,inventor_name_last:string>>,cpc_current:array<struct<cpc_group_id:string>>,patent_num_claims:int>>>"

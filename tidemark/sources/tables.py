@@ -31,8 +31,11 @@ def append(df: DataFrame, path: str, batch_id: int, buckets: int = BUCKETS) -> N
 
 
 def merged(log: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of a log with `batch`, the newest row of each write key."""
-    w = Window.partitionBy(*write_key(keys)).orderBy(F.desc("batch"))
+    """Of a log with `batch`, the newest row of each write key: of the latest batch, there the one available, then recorded, last.
+
+    Rows of a key that agree in all that are told apart by a hash of the whole row, so the pick never depends on layout."""
+    later = [F.desc_nulls_last(c) for c in ("batch", "availability_date", "recorded_at") if c in log.columns]
+    w = Window.partitionBy(*write_key(keys)).orderBy(*later, F.desc(F.xxhash64(*(F.col(c) for c in log.columns if c != "batch"))))
     return log.withColumn("__place", F.row_number().over(w)).filter("__place = 1").drop("__place", "batch")
 
 
@@ -47,15 +50,26 @@ def read(spark: SparkSession, path: str, keys: Sequence[str], entities: Sequence
 
 
 def compact(spark: SparkSession, path: str, keys: Sequence[str], target: str, buckets: int = BUCKETS) -> int:
-    """Write the merged table as one batch under `target`; the row counts must agree."""
-    table = read(spark, path, keys, buckets=buckets)
-    append(table, target, 0, buckets)
+    """Write the merged table as one batch under `target`; it must have a row for each write key of the log."""
+    append(read(spark, path, keys, buckets=buckets), target, 0, buckets)
     n = spark.read.parquet(target).count()
-    if n != table.count():
+    if n != spark.read.option("basePath", path).parquet(path).select(*write_key(keys)).distinct().count():
         raise RuntimeError("the compacted table has another number of rows")
     return n
 
 
+def relayout(source: DataFrame, target: str, existing: DataFrame | None = None, buckets: int = BUCKETS) -> int:
+    """Lay a table out anew by entity bucket, with what the target's table holds already; equal rows count once.
+
+    The rows written must be as many as both sides' distinct rows; only then may the source be dropped."""
+    rows = (source if existing is None else existing.unionByName(source, allowMissingColumns=True)).distinct()
+    append(rows, target, 0, buckets)
+    n = source.sparkSession.read.parquet(target).count()
+    if n != rows.count():
+        raise RuntimeError("the new layout has another number of rows")
+    return n
+
+
 def pointer_log(spark: SparkSession, root: str) -> DataFrame | None:
     """(at, action, version, undone) in order of writing, or nothing yet."""
     try:
@@ -122,12 +136,15 @@ def advance(watermarks: DataFrame, loaded: DataFrame, key: str, at: str, ref: st
     return watermarks.select(key, "watermark", "last_ref").unionByName(new).groupBy(key).agg(F.max("watermark").alias("watermark"), F.max_by("last_ref", F.struct("watermark", "last_ref")).alias("last_ref"))
 
 
-def archive(new: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bodies that are not stored yet (one for each hash), and a log row for every arrival with `was_new`."""
-    hashed = new.withColumn("sha1", F.sha1("body"))
-    first = hashed.dropDuplicates(["sha1"]).join(stored.select("sha1"), "sha1", "left_anti")
-    log = hashed.drop("body").join(first.select("sha1", F.lit(True).alias("was_new")), "sha1", "left").withColumn("was_new", F.coalesce("was_new", F.lit(False)))
-    return first, log
+def archive(new: DataFrame, stored: DataFrame, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Bodies that are not stored yet (one for each hash), and a log row for every arrival with `was_new`.
+
+    Of arrivals with the same body only the first is new, by `order` and then by a hash of the row; none is where the body is stored."""
+    hashed = new.withColumn("sha1", F.sha1(F.col("body").cast("binary")))
+    known = stored.select("sha1", F.lit(True).alias("__known")).dropDuplicates(["sha1"])
+    w = Window.partitionBy("sha1").orderBy(*order, F.xxhash64(*new.columns))
+    marked = hashed.join(known, "sha1", "left").withColumn("was_new", (F.row_number().over(w) == 1) & F.col("__known").isNull()).drop("__known")
+    return marked.filter("was_new").drop("was_new"), marked.drop("body")
 
 
 def merge_documents(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import pit
 from tidemark.sources import tables
 
 
@@ -34,9 +35,17 @@ def merge_into(stream: DataFrame, table: str, checkpoint: str, prepare: Callable
     return query
 
 
-def windowed_counts(stream: DataFrame, at: str, by: str, length: str, lateness: str) -> DataFrame:
-    """Events in tumbling windows; windows close once the watermark has passed them."""
-    return stream.withWatermark(at, lateness).groupBy(F.window(at, length).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), by, "n")
+def sweep_amendments(filings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Filings (accession, availability_date, restated_at, amended) after all has landed: originals get the date of their first later amendment.
+
+    It may run after any flush, or once at the end: the outcome depends on what is stored, not on the order of arrival."""
+    return pit.supersede(filings.filter("not amended"), filings.filter("amended"), keys).unionByName(filings.filter("amended"))
+
+
+def daily_status(filings: DataFrame) -> DataFrame:
+    """(day, filings, amendments, superseded) of swept filings."""
+    count = lambda c: F.sum(c.cast("long"))
+    return filings.groupBy(F.col("availability_date").alias("day")).agg(F.count(F.lit(1)).alias("filings"), count(F.col("amended")).alias("amendments"), count(~F.col("amended") & F.col("restated_at").isNotNull()).alias("superseded"))
 
 
 def first_seen(stream: DataFrame, keys: Sequence[str], at: str, lateness: str) -> DataFrame:
