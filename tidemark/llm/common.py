@@ -25,10 +25,12 @@ def whole_text(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset and the master is this machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
     if not found:
+        if not (sc.master.startswith("local") and "cluster" not in sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         sc.setCheckpointDir(found)
     return found
