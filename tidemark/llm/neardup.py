@@ -30,7 +30,7 @@ from tidemark.llm.graph import components, join_unique
 HASHES, BANDS, BAND = 100, 40, 5
 #: Members of a block; members of a pivot that meet it in one task.
 BLOCK, CHUNK = 128, 64
-#: Pairs of different pivots whose 8-bit signatures put their similarity this much or more below the limit are not confirmed; at the limit 0.8 that passes over a pair once in two hundred million.
+#: Pairs of different pivots whose 8-bit signatures put their similarity this much or more below the limit are not confirmed; at the limit 0.8 that passes over a pair once in sixty million.
 SURE_MARGIN = 0.17
 #: Rows up to which a table of ids (16 bytes each) is broadcast; longer ones are joined by shuffling.
 BROADCAST_IDS = 300_000

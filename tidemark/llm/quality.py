@@ -20,8 +20,8 @@ from tidemark.llm.samples import held_out, pick, texts_of
 WIDTH, STRIDE, FILTERS, SEGMENT = 8, 4, 24, 64
 #: Bounds of the training sample for each label, passes over it, texts in a step, step size and weight decay.
 EACH_LABEL, PASSES, BATCH, RATE, DECAY = 800, 14, 32, 0.01, 1e-4
-#: Training also sees crops of good texts, of about these lengths in bytes: without them 57 of 100 good texts under 150 bytes
-#: were called good on held-out rows of a 0.1 GB table, with them 100.
+#: Training also sees crops of good texts, of about these lengths in bytes: without them 57 per cent of the good texts under
+#: 150 bytes were called good on held-out rows of a 0.1 GB table, with them all.
 CROPS = (32, 128, 512)
 #: Half chunks convolved at once.
 BLOCK = 1 << 10
