@@ -182,7 +182,7 @@ def _scratch(spark, name: str) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one where that is unset and the master is this machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}/{name}"
