@@ -13,7 +13,7 @@ FACTS = """(select 'us-cik-'||lpad(cast(l_suppkey as varchar),10,'0') entity_id,
     last_day(cast(date_trunc('quarter',o_orderdate) as date)+interval 2 month) effective_date,
     cast(l_shipdate as date) availability_date, cast(null as date) restated_at, 'us-gaap:'||l_returnflag concept, l_extendedprice as value,
     cast(year(o_orderdate) as integer) fiscal_year, 'Q'||quarter(o_orderdate) fiscal_period,
-    lpad(cast(l_orderkey as varchar),10,'0')||'-'||lpad(cast(l_linenumber as varchar),2,'0')||'-'||lpad(cast(l_partkey as varchar),8,'0') source_ref
+    lpad(cast(l_orderkey as varchar),10,'0')||'-'||lpad(cast(l_linenumber as varchar),2,'0')||'-'||lpad(cast(l_partkey as varchar),8,'0')||'-'||strftime(l_shipdate,'%Y%m%d') source_ref
     from lineitem join orders on l_orderkey=o_orderkey where l_shipdate >= o_orderdate)"""
 
 #: Each version is restated when the next of its fact appears.
@@ -47,10 +47,12 @@ def _cik(c: str) -> F.Column:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as filed facts: the quarter of the order is what they are about, the ship date when they are known."""
+    """Line items as filed facts: the quarter of the order is what they are about, the ship date when they are known.
+
+    A line item may be shipped twice, so the reference has the ship date too: it is unique among the versions of a fact."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).filter("l_shipdate >= o_orderdate")
-    ref = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"))
+    ref = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"), F.date_format("l_shipdate", "yyyyMMdd"))
     return rows.select(_cik("l_suppkey").alias("entity_id"), fn.quarter_end(F.col("o_orderdate")).alias("effective_date"), F.to_date("l_shipdate").alias("availability_date"), F.lit(None).cast("date").alias("restated_at"), F.concat(F.lit("us-gaap:"), "l_returnflag").alias("concept"), F.col("l_extendedprice").alias("value"), F.year("o_orderdate").alias("fiscal_year"), F.concat(F.lit("Q"), F.quarter("o_orderdate")).alias("fiscal_period"), ref.alias("source_ref"))
 
 
