@@ -73,6 +73,21 @@ def test_sharding(spark, docs, empty):
     assert sorted(r.slot for r in got) == [0, 1, 2, 3]
 
 
+def test_sharding_cuts_hot_cells_into_pieces(spark):
+    """A third of the rows share a key: slots stay gapless, the key stays in its shard, and the other shards' slots are the same."""
+    rows = spark.range(1500).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("n"), F.create_map(F.lit("a"), "id").alias("m"))
+    whole = {r.n: (r.k, r.shard, r.slot) for r in sharding.assign_shards(rows, "k", 4, 8).collect()}
+    cut = {r.n: (r.k, r.shard, r.slot) for r in sharding.assign_shards(rows, "k", 4, 8, hot_rows=50).collect()}
+    assert all(shard == jump(k, 4) for k, shard, _ in cut.values())
+    for shard in range(4):
+        slots = sorted(slot for _, s, slot in cut.values() if s == shard)
+        assert slots == list(range(len(slots)))
+    assert {n: v for n, v in cut.items() if v[1] != jump(7, 4)} == {n: v for n, v in whole.items() if v[1] != jump(7, 4)}
+    assert cut != whole  # the hot cell is numbered piece by piece
+    null_keys = rows.withColumn("k", F.lit(None).cast("long"))
+    assert sorted(r.slot for r in sharding.assign_shards(null_keys, "k", 1, 2, hot_rows=50).collect()) == list(range(1500))
+
+
 def test_bpe_equals_the_library(docs, empty):
     from tokenizers import Tokenizer
 

@@ -18,6 +18,8 @@ MULTIPLIER = 2862933555777941757
 STEPS = 64
 #: Cells that each shard is numbered in; a cell's rows are sorted by one task (and spill), so raise it with the table.
 CELLS = 512
+#: A cell of more than HOT_ROWS rows, and of more than HOT_SHARE times its shard's mean, is numbered in PIECES pieces.
+HOT_ROWS, HOT_SHARE, PIECES = 1 << 16, 4, 64
 
 _LOW32, _LOW16 = (1 << 32) - 1, (1 << 16) - 1
 
@@ -51,12 +53,15 @@ def jumps(key: Column, shards: int) -> Column:
     return F.when(first["beyond"] >= shards, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step))
 
 
-def assign_shards(df: DataFrame, key: str, shards: int, cells: int = CELLS) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, shards: int, cells: int = CELLS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add `shard`, `slot` and `grown_shard` (the shard if one more is appended) to every row.
 
     `slot` numbers the rows of a shard from 0 without gaps.  Each shard is cut into `cells` cells by low bits of
     the generator's first state; cells are counted (map-side combined), the counts of at most shards * cells
-    cells are broadcast as offsets, and rows are numbered inside their cell by key.  No task sorts a whole shard.
+    cells are broadcast as offsets, and rows are numbered inside their cell by key.  A cell with a hot key, one of
+    more than `hot_rows` rows and HOT_SHARE times its shard's mean, is cut into PIECES pieces by a hash of the
+    whole row, which are counted and offset alike.  So no task sorts a whole shard, nor all rows of a hot key; only
+    rows that are equal in every column share a piece.
 
     A null key counts as key 0.  Rows with equal keys share the shard and get different slots.  Columns named
     `shard`, `slot` or `grown_shard` are replaced; an empty table gives an empty one.
@@ -66,17 +71,24 @@ def assign_shards(df: DataFrame, key: str, shards: int, cells: int = CELLS) -> D
     own = [c for c in df.columns if c.lower() not in {"shard", "slot", "grown_shard"}]
     k = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0).cast("long"))
     cell = F.shiftrightunsigned(next_state(k), 33).bitwiseAND(F.lit(cells - 1)).cast("int")
+    types = dict(df.dtypes)
+    piece = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in own if "map<" not in types[c] and "variant" not in types[c])), F.lit(PIECES)).cast("int")
 
     def placed(base: DataFrame, *columns: Column) -> DataFrame:
-        found = base.select(*columns, cell.alias("__cell"), jumps(k, shards).alias("__jump"))
+        found = base.select(*columns, cell.alias("__cell"), piece.alias("__piece"), jumps(k, shards).alias("__jump"))
         rest = [F.col(f"`{c}`") for c in found.columns if c != "__jump"]
         return found.select(*rest, F.col("__jump.shard").cast("int").alias("shard"), F.when(F.col("__jump.beyond") == shards, shards).otherwise(F.col("__jump.shard")).cast("int").alias("grown_shard"))
 
-    sizes = placed(df).groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    pieces = placed(df).groupBy("shard", "__cell", "__piece").agg(F.count(F.lit(1)).alias("n"))
+    sizes = pieces.groupBy("shard", "__cell").agg(F.sum("n").alias("__n"), F.map_from_entries(F.collect_list(F.struct("__piece", "n"))).alias("__of"))
     before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    hot = F.col("__n") > F.greatest(F.lit(hot_rows), F.sum("__n").over(Window.partitionBy("shard")) * HOT_SHARE / F.lit(cells))
+    earlier = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda p: F.aggregate(F.map_values(F.map_filter("__of", lambda q, _: q < p)), F.lit(0).cast("long"), lambda a, n: a + n))
+    offsets = sizes.select("shard", "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"), F.when(hot, earlier).alias("__earlier"))
     rows = placed(df, *(F.col(f"`{c}`") for c in own)).join(F.broadcast(offsets), ["shard", "__cell"])
-    order = Window.partitionBy("shard", "__cell").orderBy(F.col(f"`{key}`").asc_nulls_first(), *(F.col(f"`{c}`") for c in own if c != key and dict(df.dtypes)[c] in ("bigint", "int", "string")))
+    # one piece, number 0, where a cell isn't hot
+    rows = rows.withColumns({"__from": F.col("__from") + F.coalesce(F.get("__earlier", F.col("__piece")), F.lit(0)), "__piece": F.when(F.col("__earlier").isNotNull(), F.col("__piece")).otherwise(0)}).drop("__earlier")
+    order = Window.partitionBy("shard", "__cell", "__piece").orderBy(F.col(f"`{key}`").asc_nulls_first(), *(F.col(f"`{c}`") for c in own if c != key and types[c] in ("bigint", "int", "string")))
     return rows.select(*(F.col(f"`{c}`") for c in own), "shard", (F.col("__from") + F.row_number().over(order) - 1).alias("slot"), "grown_shard")
 
 
