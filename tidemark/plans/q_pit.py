@@ -248,15 +248,16 @@ def fea_01_history(spark, sf_dir):
     return _matrix_sums(spark, sf_dir, _HISTORY)
 
 
+def _weighted(x: str, j: int) -> F.Column:
+    """The sum of a matrix's column j, each row weighted by its place."""
+    return F.aggregate(F.transform(x, lambda row, i: row[j].cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+
+
 def _matrix_sums(spark, sf_dir, periods: int) -> DataFrame:
     from tidemark.operators import features
 
     m = features.matrix(pit.as_of(views.facts(spark, sf_dir), AS_OF, FACT_KEYS), ["entity_id"], _CONCEPTS, periods)
-
-    def weighted(j: int) -> F.Column:
-        return F.aggregate(F.transform("x", lambda row, i: row[j].cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
-
-    sums = [F.round(weighted(j), 4).alias(f"s{j}") for j in range(3)]
+    sums = [F.round(_weighted("x", j), 4).alias(f"s{j}") for j in range(3)]
     return m.select("entity_id", "seq_len", *sums)
 
 
@@ -286,6 +287,22 @@ def fea_02(spark, sf_dir):
     return features.shards(_pairs_spine(spark, sf_dir), views.facts(spark, sf_dir), FACT_KEYS, _CONCEPTS, _HISTORY)
 
 
+_PAIR_SUMS = ", ".join(f"{side}.seq_len as {name}_seq_len, " + ", ".join(f"{side}.s{i} as {name}_s{i}" for i in range(3)) for side, name in (("i", "input"), ("o", "target")))
+
+
+@query("fea_02_sums", f"""with s as (select entity_id, make_date(y, 12, 31) t, make_date(y + 1, 12, 31) target_t from (select distinct entity_id from {FACTS}), (select unnest([1996, 1997]) y)),
+    d as (select distinct entity_id, unnest([t, target_t]) d from s), w as ({_winner(f"(select d.d, f.* from {FACTS} f join d using (entity_id) where availability_date <= d.d)", t="d", cols=f"d, {COLS}")}),
+    p as (select entity_id, d, fiscal_year, fiscal_period, {', '.join(f"max(value) filter (concept = '{c}') c{i}" for i, c in enumerate(_CONCEPTS))} from w where concept in ('{"', '".join(_CONCEPTS)}') group by 1, 2, 3, 4),
+    k as (select *, row_number() over (partition by entity_id, d order by fiscal_year desc, fiscal_period desc) age from p),
+    m as (select entity_id, d, count(*)::integer as seq_len, {', '.join(f"round(sum(coalesce(sign(c{i}) * ln(1 + abs(c{i})) / 30, 0)::float::double * ({_HISTORY + 1} - age)), 4) as s{i}" for i in range(3))} from k where age <= {_HISTORY} group by 1, 2)
+    select s.entity_id, t, 4 as horizon_q, target_t, {_PAIR_SUMS} from s join m i on i.entity_id = s.entity_id and i.d = t left join m o on o.entity_id = s.entity_id and o.d = target_t""")
+def fea_02_sums(spark, sf_dir):
+    """Training shards, checked by their position-weighted sums."""
+    shards = fea_02(spark, sf_dir)
+    sums = [x for side in ("input", "target") for x in (f"{side}_seq_len", *(F.round(_weighted(f"{side}_x", j), 4).alias(f"{side}_s{j}") for j in range(3)))]
+    return shards.select("entity_id", "t", "horizon_q", "target_t", *sums)
+
+
 @query("fea_04", f"select count(*) as n, count(distinct entity_id) as entities, count(distinct t) as times from (select entity_id, last_day(cast(q as date) + interval 2 month) t from (select distinct entity_id from {FACTS}), unnest(generate_series(date '1996-01-01', date '1997-12-31', interval 3 month)) u(q))")
 def fea_04(spark, sf_dir):
     """The default universe by quarter ends."""

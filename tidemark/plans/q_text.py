@@ -40,13 +40,31 @@ def win_05(spark, sf_dir):
     return txt_02(spark, sf_dir).groupBy("conv_id").agg(F.count(F.lit(1)).alias("items"), F.max("n_bytes").alias("longest"))
 
 
-@query("txt_03")
+def _chunk_sql(source: str, by: str, columns: str) -> str:
+    """The chunks of `source` (by, text), walked from each chunk to the next: where one ends decides where the next begins."""
+    size, back = text.CHUNK_CHARS, text.LOOK_BACK
+
+    def stop(at: str) -> str:
+        tail = f"substr(text, ({at}) + {size - back + 1}, {back})"
+        space = f"({at}) + {size - back} + length(regexp_extract({tail}, '^(.*) [^ ]*$', 1, 's'))"
+        return f"case when ({at}) + {size} >= length(text) then length(text) when contains({tail}, ' ') then {space} else ({at}) + {size} end"
+
+    return f"""with recursive s as (select {by}, text, 0::bigint as pos, {stop('0::bigint')} as stop from {source} where text <> ''
+        union all select {by}, text, next, {stop('next')} from (select *, greatest(stop - {text.OVERLAP_CHARS}, pos + 1) as next from s where stop < length(text))),
+    c as (select {by}, pos, case when length(text) <= {size} then text else regexp_replace(substr(text, pos + 1, stop - pos), '^\\s+|\\s+$', '', 'g') end as text from s)
+    select {by}, (row_number() over (partition by {by} order by pos) - 1)::integer as chunk_idx, (count(*) over (partition by {by}))::integer as n_chunks_in_item, {columns} from c where text <> ''"""
+
+
+_CHUNK_SIZES = "length(text)::integer as n_chars, (length(text) // 4)::integer as n_tokens_approx"
+
+
+@query("txt_03", _chunk_sql("documents", "doc_id", f"{_CHUNK_SIZES}, sha256(text) as sha256"))
 def txt_03(spark, sf_dir):
     """Documents in overlapping chunks."""
     return text.chunk_rows(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "chunk_idx", "n_chunks_in_item", "n_chars", "n_tokens_approx", fn.content_hash(F.col("text").cast("binary")).alias("sha256"))
 
 
-@query("txt_04")
+@query("txt_04", _chunk_sql("(select conv_id, (turn + 1)::varchar as item_id, trim(text) as text from conversations)", "conv_id, item_id", _CHUNK_SIZES))
 def txt_04(spark, sf_dir):
     """Items of conversations in chunks."""
     return text.chunk_rows(text.items(_conversations(spark, sf_dir), "conv_id"), ["conv_id", "item_id"]).select("conv_id", "item_id", "chunk_idx", "n_chunks_in_item", "n_chars", "n_tokens_approx")
