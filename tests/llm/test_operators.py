@@ -603,3 +603,36 @@ def test_pipeline(spark):
     assert ids == {i for i, c in want.items() if i == c}
     packed = corpus_pipeline.run(spark, data)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
+
+
+#: Repeated rows, ids and texts, and nulls in every column.
+AWKWARD = [(1, "one text of six words here"), (1, "one text of six words here"), (2, "one text of six words here"), (2, "and another text under the same id"), (None, "one text of six words here"), (None, None), (3, None), (3, None), (4, ""), (5, "\n \n")]
+#: Names that the operators' own results have, in other types.
+CLASHING = "n_bytes n_tokens n_chars payload media feature score held_out predicted size law shard slot start length offset sequence_id fingerprint edited_sha256 n_shingles component_id kept over_limit sketch band rep pivot part node component place".split()
+
+
+@pytest.mark.parametrize("query", [telephony.op2, bpe.op4, token_counts.op5, packing.op7, iblt.op8, sharding.op9, neardup.op10], ids=lambda q: q.__name__)
+def test_awkward_rows(spark, query):
+    plain_docs = spark.createDataFrame(AWKWARD, "doc_id long, text string")
+    rows = query(plain_docs.withColumns({c: F.lit("x") for c in CLASHING})).collect()
+    names = rows[0].asDict()
+    by_id = lambda out: sorted(([r[c] for c in names if c not in ("sequence_id", "offset", "slot", "shard", "grown_shard")] for r in out), key=repr)
+    assert by_id(rows) == by_id(query(plain_docs).collect())
+    rows = [r for r in rows if r.asDict().get("start", 0) == 0]  # packing may cut a text; its first piece stands for it
+    assert sorted((r.doc_id for r in rows), key=repr) == sorted((i for i, _ in AWKWARD), key=repr)
+    nulls = spark.createDataFrame([(None, None)] * 3, "doc_id long, text string")
+    assert [r.doc_id for r in query(nulls).collect()] == [None] * 3
+    if query is neardup.op10:
+        assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, None: None, 3: 3, 4: 4, 5: 5}
+    else:
+        same = [r for r in rows if r.doc_id in (1, 3, 4)]
+        of_text = [c for c in ("n_bytes", "payload_sha256", "media_sha256", "feature", "n_tokens", "ids_sha256", "decoded_sha256", "over_limit", "doc_tokens", "n_chars", "fingerprint", "size", "text_crc32") if c in names]
+        assert of_text and len({tuple(r[c] for c in of_text) for r in same}) == 2
+
+
+def test_awkward_pages(spark):
+    rows = [(1, "http://net/es/a", None), (1, "http://net/es/a", None), (None, "http://net/es/a", "<html>"), (2, None, None), (3, "no scheme", ""), (4, "http://", None)]
+    clash = {c: F.lit("x") for c in ("host", "path", "rule", "verdict", "node", "component", "__node", "__found")}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(clash)
+    out = url_filter.op1(pages).collect()
+    assert sorted(repr((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in out) == sorted(repr(x) for x in [(1, "net", "/es/a", "net/es/", "block")] * 2 + [(None, "net", "/es/a", "net/es/", "block"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "", "", None, "allow")])
