@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, slices, stored
+from tidemark.llm.common import map_batches, slices, stored, tidied
 from tidemark.llm.graph import components, join_unique
 
 #: Hash functions (two signature values each), bands, and values in a band.
@@ -165,7 +165,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     members = dealt.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "salt", "b", "text")
     pivots = dealt.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "text")
     met = pivots.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return met.select("a", "b", "text").mapInArrow(run, _OVERLAPS)
+    return met.select("a", "b", "text").mapInArrow(tidied(run), _OVERLAPS)
 
 
 def _links(overlaps: DataFrame, percent: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
     left = blocks.filter("not main").select("band", "place", F.col("part").alias("i"), F.col("items").alias("x"))
     right = blocks.select("band", "place", "main", F.col("part").alias("j"), F.col("items").alias("y"))
-    return left.join(right, ["band", "place"]).filter("main or i <= j").select("x", "y").mapInArrow(run, "a bigint, b bigint, sure boolean").distinct()
+    return left.join(right, ["band", "place"]).filter("main or i <= j").select("x", "y").mapInArrow(tidied(run), "a bigint, b bigint, sure boolean").distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, size: int, percent: int, also: DataFrame | None = None) -> DataFrame:

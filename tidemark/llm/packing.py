@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, stored
+from tidemark.llm.common import map_batches, stored, tidied
 
 LENGTH, END = 2048, 1
 #: Hashed buckets of a document vector; dimensions of the curve, and bits of each.
@@ -287,7 +287,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     size = tokens.agg(F.sum("bytes")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     along = tokens.repartitionByRange(parts, "curve", "doc_id", F.crc32("ids")).sortWithinPartitions("curve", "doc_id", F.crc32("ids"))
-    return along.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return along.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def op7(docs: DataFrame, path: str | None = None) -> DataFrame:

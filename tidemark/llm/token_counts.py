@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, whole_text
+from tidemark.llm.common import map_batches, tidied, whole_text
 
 #: Bounds of the tiers: pre-tokens in a task's summary, bytes of one in it, entries of the frequent table and of a worker's cache.
 SUMMARY, SUMMARY_BYTES, TABLE_ENTRIES, CACHE_ENTRIES = 8192, 64, 50_000, 400_000
@@ -94,7 +94,7 @@ def heavy_hitters(docs: DataFrame) -> DataFrame:
         words, counts = zip(*kept, strict=True) if kept else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
 
-    return docs.select(whole_text().alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(whole_text().alias("text")).mapInArrow(tidied(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_table(docs: DataFrame, model: str) -> tuple[bytes, bytes]:
