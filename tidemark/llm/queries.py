@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, iblt, neardup, packing, quality, sharding, telephony, token_counts, toxicity, url_filter
+from tidemark.llm import bpe, centroids, filter_audit, iblt, neardup, packing, quality, sharding, telephony, tiktoken_bpe, token_counts, toxicity, url_filter
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,9 @@ def queries() -> dict[str, Query]:
         "op8_iblt_fingerprints": _documents(iblt.op8),
         "op9_jump_sharding": _documents(sharding.op9),
         "op10_minmax_neardup": _documents(neardup.op10),
+        "op11_tiktoken_bpe": _documents(tiktoken_bpe.op11),
+        "op12_filter_audit": _labelled(filter_audit.op12),
+        "op13_pca_centroids": lambda spark, sf_dir: centroids.op13(table(spark, sf_dir, "embeddings")),
     }
 
 
@@ -40,4 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": url_filter.oracle_sql(),
         "op9_jump_sharding": sharding.oracle_sql(),
         "op10_minmax_neardup": neardup.oracle_sql(),
+        "op12_filter_audit": filter_audit.oracle_sql(),
+        "op13_pca_centroids": centroids.oracle_sql(),
     }
