@@ -223,11 +223,11 @@ def op13(vectors: DataFrame) -> DataFrame:
 @lru_cache(1)
 def oracle_sql() -> str:
     """DuckDB SQL for `op13`: ten rounds written out."""
-    nearest = """select id, vec_id, v, c.cluster, list_sum(list_transform(list_zip(v, c.centre), z -> (z[1] - z[2]) * (z[1] - z[2])))::bigint distance
+    nearest = """select id, vec_id, v, c.cluster, list_sum(list_transform(list_zip(v, c.centre), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint distance
   from kept cross join {centres} c qualify row_number() over (partition by id order by distance, c.cluster) = 1"""
     parts = [
-        f"""kept as materialized (select row_number() over () id, vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) v from embeddings
-  where len(embedding) = {DIMENSIONS} and len(list_filter(embedding, x -> x is not null and isfinite(x))) = {DIMENSIONS})""",
+        f"""kept as materialized (select row_number() over () id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) v from embeddings
+  where len(embedding) = {DIMENSIONS} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {DIMENSIONS})""",
         f"""c0 as materialized (select (row_number() over (order by h, v) - 1)::int cluster, v centre from (select sha256('3:' || vec_id) h, v from kept)
   order by h, v limit {CLUSTERS})""",
     ]
