@@ -230,6 +230,49 @@ def test_best_keys_against_all_pairs():
     assert resolve.best_keys(names, keys) == [(s, i) for s, _, i in expected]
 
 
+def misspelt(r, name):
+    """A name with a typo at the front, inside or at the end, with its words in another order, one more or one less."""
+    words, kind = name.split(), r.randrange(7)
+    at = {0: 0, 1: len(name) // 2, 2: len(name) - 1}.get(kind, r.randrange(len(name)))
+    if kind < 3:
+        return (name[:at] + r.choice("QXZE") + name[at + r.choice([0, 1]) :]).strip()
+    if kind == 3:
+        return (name[:at] + name[at + 1 : at + 2] + name[at : at + 1] + name[at + 2 :]).strip()
+    if kind == 4:
+        return " ".join(reversed(words))
+    return " ".join([*words, r.choice(["GROUP", "ZQJ"])]) if kind == 5 else " ".join(words[1:]) or name
+
+
+def test_inverted_index_against_all_pairs(spark):
+    """1,500 names against 3,000 keys: the scores and keys of all pairs, above the threshold and below it, without a product."""
+    import random
+
+    r = random.Random(11)
+    stems = ["".join(r.choices("AEIOU", k=1) + r.choices("BCDFGLMNPRST", k=2)) for _ in range(90)]
+    rare = ["".join(r.choices(stems, k=r.randint(1, 3))) for _ in range(1500)]
+    common = ["NATIONAL", "BANK", "FIRST", "AMERICAN", "PACIFIC", "SYSTEMS", "\u00c4RZTE"]
+    keys = sorted({" ".join(r.sample(rare, r.randint(1, 2)) + r.sample(common, r.choice([0, 1, 1, 2]))) for _ in range(3000)} | {"A", "AB", "BANK"})
+    names = sorted({misspelt(r, k) for k in r.sample(keys, 1300)} | {" ".join(r.sample(common, 3)) for _ in range(40)} | {"ZZZZ", "\u4e2d\u6587", "Q", "AC", "BANK BANK"})
+    found = resolve.best_matches(spark.createDataFrame([(n,) for n in names], "key string"), spark.createDataFrame([(k,) for k in keys], "k string"))
+    assert "Cartesian" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+    got = {x.key: (x.score, x.k) for x in found.collect()}
+    want = {n: (score, keys[i]) for n, (score, i) in zip(names, resolve.best_keys(names, keys), strict=True)}
+    assert {n: x for n, x in want.items() if x[0] > 0} == got
+    above = sum(x[0] >= resolve.THRESHOLD for x in got.values())
+    assert above > 700 and len(got) - above > 50, (above, len(got))
+
+
+def test_a_frequent_word_is_cut_into_parts(spark, monkeypatch):
+    """A word of all keys and names meets in rows of bounded parts, and no pair is lost."""
+    monkeypatch.setattr(resolve, "NAMES", 16)
+    monkeypatch.setattr(resolve, "KEYS", 32)
+    keys = [f"BANK OF {chr(65 + i % 26)}{chr(65 + i // 26)}" for i in range(200)]
+    names = [f"BANC OF {chr(65 + i % 26)}{chr(65 + i // 26)}" for i in range(60)]
+    met = resolve._meet(spark.createDataFrame([(n, "OF") for n in names], "key string, sig string"), spark.createDataFrame([(k, "OF") for k in keys], "k string, sig string"))
+    got = {x.key: (x.score, x.k) for x in resolve._best(met).collect()}
+    assert got == {n: (score, keys[i]) for n, (score, i) in zip(names, resolve.best_keys(names, keys), strict=True)}
+
+
 def test_tsv_and_registry(spark, tmp_path):
     (tmp_path / "num.tsv").write_text("adsh\ttag\nx\tA\ny\tB\n")
     assert loaders.read_tsv(spark, [f"file://{tmp_path}/num.tsv"], "adsh string, tag string").count() == 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
 from tidemark.operators import pit
+from tidemark.sources.scratch import stored
 
 #: Score from which a fuzzy match counts.
 THRESHOLD = 88.0
-#: Names and keys of a block; a task holds one of each.
-NAMES, KEYS = 512, 4096
+#: Names and keys that meet in a block; pairs of a block that are scored one by one.
+NAMES, KEYS, FEW = 1024, 4096, 256
+#: Sizes of character runs that are signatures.
+GRAMS = (3, 2, 1)
+#: Groups of characters of a cell, and the counts from which a group's levels start.
+GROUPS, LEVELS = 5, (0, 2, 4, 6, 9)
 
 
 def index(registry: DataFrame) -> DataFrame:
@@ -104,44 +109,199 @@ def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(np.repeat(np.arange(len(texts)), sizes) * 64 + codes, minlength=64 * len(texts)).reshape(-1, 64).astype(np.int32), sizes
 
 
-def _blocks(rows: DataFrame, column: str, size: int) -> DataFrame:
-    """The rows of each partition as arrays `column` of at most `size` structs."""
+def _touched(size: int, gram: int, threshold: float) -> int:
+    """How many runs of `gram` characters within words a text of `size` characters can lose to one that is `threshold` alike.
+
+    A likeness of t leaves L >= t (a + b) / 2 characters in common order, so a - L are deleted, each from at most `gram`
+    runs, and b - L are inserted, each into at most `gram` - 1."""
+    most, t = 0, threshold / 100
+    for other in range(int(size * t / (2 - t)), int(size * (2 - t) / t) + 2):
+        common = int(np.ceil(t * (size + other) / 2 - 1e-9))
+        if common <= min(size, other):
+            most = max(most, gram * (size - common) + (gram - 1) * (other - common))
+    return most
+
+
+def signatures(names: list[str], threshold: float) -> list[list[tuple[str, str, int, int]]]:
+    """Of each name the signatures (kind, token, length, limit) and, of its kind of gram, whether it is enough alone.
+
+    Kind `w`: words; `limit` is how many characters shared words need to be `threshold` alike to the name.  Kinds 3, 2, 1:
+    runs of characters within words (single ones with the spaces), numbered where they repeat; two names at the
+    threshold share one of the `limit` rarest of each, for each size of which the name has more runs than it can lose."""
+    out = []
+    for name in names:
+        words = sorted(set(name.split()))
+        text = " ".join(words)
+        need = int(np.ceil(threshold * len(text) / (200 - threshold) - 1e-9))
+        found = [("w", w, len(w), need) for w in words]
+        for gram in GRAMS:
+            pieces = [text] if gram == 1 else words
+            runs = Counter(p[i : i + gram] for p in pieces for i in range(len(p) - gram + 1))
+            lost = _touched(len(text), gram, threshold)
+            enough = sum(runs.values()) > lost
+            found += [(str(gram), f"{run}#{i}", int(enough), lost + 1) for run, n in runs.items() for i in range(n)]
+        out.append(found)
+    return out
+
+
+def _signed(rows: DataFrame, column: str, threshold: float) -> DataFrame:
+    """(column, kind, token, length, limit): a row for each signature of each name."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, NAMES):
+                texts = batch.column(0).slice(at, NAMES).to_pylist()
+                flat = [(t, *x) for t, found in zip(texts, signatures(texts, threshold), strict=True) for x in found]
+                columns = list(zip(*flat, strict=True)) if flat else [[]] * 5
+                kinds = [pa.string()] * 3 + [pa.int32()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[column, "kind", "token", "length", "limit"])
+
+    return rows.select(column).mapInArrow(run, f"{column} string, kind string, token string, length int, limit int")
+
+
+def _rarest(signed: DataFrame, rarity: DataFrame, column: str, chosen: bool) -> DataFrame:
+    """(column, sig): every word (sig of `all`), the rarest words without which too little is shared, and the rarest runs.
+
+    `rarity` (kind, token, n) orders both sides alike.  With `chosen`, a name gives runs of one size only, the largest
+    that is enough alone: the other side gives all sizes."""
+    found = signed.join(rarity, ["kind", "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    lists = found.groupBy(column, "kind", "limit").agg(
+        F.sort_array(F.collect_list(F.struct("n", "token", "length"))).alias("found"), F.min("length").alias("enough"))
+    rest = lambda i: F.aggregate(F.slice("found", i + 1, F.size("found")), F.lit(-1), lambda total, x: total + x.length + 1)
+    words = F.filter("found", lambda x, i: (i == 0) | (rest(i) >= F.col("limit")))
+    picked = F.when(F.col("kind") == "w", words).otherwise(F.slice("found", 1, F.col("limit")))
+    own, other = ("name", "key") if chosen else ("key", "name")
+    if chosen:
+        size = F.when((F.col("kind") != "w") & (F.col("enough") == 1), F.col("kind").cast("int"))
+        best = lists.groupBy(column).agg(F.max(size).cast("string").alias("best"))
+        lists = lists.join(best, column).filter((F.col("kind") == "w") | (F.col("kind") == F.col("best")))
+    few = lists.select(column, "kind", F.explode(picked).alias("x"))
+    prefix = few.select(column, F.concat(F.when(F.col("kind") == "w", F.lit(f"{own}:")).otherwise(F.concat("kind", F.lit(":"))), "x.token").alias("sig"))
+    every = signed.filter("kind = 'w'").select(column, F.concat(F.lit(f"{other}:"), "token").alias("sig"))
+    return prefix.union(every)
+
+
+def _meet(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(key, k, score): for asked (key, sig) the best of the held (k, sig) with an equal signature, one row a block.
+
+    Names and keys of a signature are dealt by their hashes into as many parts as their counts ask for, and each part
+    meets each in a row of its own, so that a signature of any size spreads over tasks and no pair is a row."""
+    parts = asked.groupBy("sig").agg(F.count("*").alias("a")).join(held.groupBy("sig").agg(F.count("*").alias("h")), "sig")
+    parts = parts.select("sig", F.ceil(F.col("a") / NAMES).alias("a"), F.ceil(F.col("h") / KEYS).alias("h"))
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    at = ["sig", "x", "y"]
+    names = asked.join(parts, "sig").select("sig", "key", own("key", "a").alias("x"), to("h").alias("y")).groupBy(at).agg(F.collect_set("key").alias("names"))
+    keys = held.join(parts, "sig").select("sig", "k", to("a").alias("x"), own("k", "h").alias("y")).groupBy(at).agg(F.collect_set("k").alias("keys"))
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                items = pa.StructArray.from_arrays(part.columns, names=part.schema.names)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)], names=[column])
+            found: dict[str, tuple[float, str]] = {}
+            for some, against in zip(batch.column("names"), batch.column("keys"), strict=True):
+                names, keys = some.as_py(), against.as_py()
+                if len(names) * len(keys) <= FEW:
+                    best = [max((token_set_score(n, k), k) for k in keys) for n in names]
+                else:
+                    best = [(score, keys[i]) for score, i in best_keys(names, keys)]
+                for n, x in zip(names, best, strict=True):
+                    found[n] = max(x, found.get(n, x))
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array([k for _, k in found.values()], pa.string()), pa.array([x for x, _ in found.values()], pa.float64())], names=["key", "k", "score"])
 
-    return rows.mapInArrow(run, f"{column} array<{rows.schema.simpleString()}>")
+    return names.join(keys, at).select("names", "keys").mapInArrow(run, "key string, k string, score double")
 
 
-def _scan(asked: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, k, entity_id, score): the best of each block of keys (k, entity_id) for each asked key; blocks meet in map tasks, no pair is a row."""
+def _best(met: DataFrame) -> DataFrame:
+    """(key, k, score): the best score of each name, and of the keys that have it the greatest."""
+    return met.groupBy("key").agg(F.max(F.struct("score", "k")).alias("m")).select("key", "m.k", "m.score")
+
+
+def _profile(text: str) -> list[int]:
+    """How many characters of each group the set of words has."""
+    counts = Counter(ord(c) % GROUPS for c in " ".join(set(text.split())))
+    return [counts[g] for g in range(GROUPS)]
+
+
+def _cell(text: str) -> str:
+    """The levels of a profile."""
+    return "".join(str(sum(n >= least for least in LEVELS) - 1) for n in _profile(text))
+
+
+def _cells(keys: DataFrame) -> DataFrame:
+    """(k, sig): the cell of each key; there are len(LEVELS) ** GROUPS cells at most."""
 
     def run(batches):
         for batch in batches:
-            for names, held in zip(batch.column("names"), batch.column("held"), strict=True):
-                name, k, e = names.values.field("key").to_pylist(), held.values.field("k").to_pylist(), held.values.field("entity_id").to_pylist()
-                best = best_keys(name, k)
-                yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array([k[i] for _, i in best], pa.string()), pa.array([e[i] for _, i in best], pa.string()), pa.array([s for s, _ in best], pa.float64())], names=["key", "k", "entity_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_cell, batch.column(0).to_pylist()), pa.string())], names=["k", "sig"])
+
+    return keys.select("k").mapInArrow(run, "k string, sig string")
+
 
-    side = math.isqrt(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1  # a grid of about as many tasks
-    pairs = _blocks(asked.repartition(side), "names", NAMES).crossJoin(_blocks(keys.repartition(side), "held", KEYS).hint("shuffle_replicate_nl"))
-    return pairs.mapInArrow(run, "key string, k string, entity_id string, score double")
+def _likely_cells(asked: DataFrame, cells: list[str]) -> DataFrame:
+    """(key, sig): for asked (key, score) the cells that can hold a key at least as alike as `score`.
 
+    A key of a cell has in common with the name at most the smaller count of each group, and no fewer characters than
+    its levels start at; shared words alone are compared elsewhere."""
+    levels = [(c, [int(x) for x in c]) for c in cells]
+    low = np.array([[LEVELS[i] for i in x] for _, x in levels]).reshape(-1, GROUPS)
+    high = np.array([[([*LEVELS, 1 << 30][i + 1]) - 1 for i in x] for _, x in levels]).reshape(-1, GROUPS)
 
-def resolve(mentions: DataFrame, keys: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, NAMES):
+                texts, scores = (batch.column(c).slice(at, NAMES).to_pylist() for c in ("key", "score"))
+                keys, sigs = [], []
+                for text, score in zip(texts, scores, strict=True):
+                    own = np.array(_profile(text))
+                    common = np.minimum(own, high).sum(1)
+                    bound = 200.0 * common / (own.sum() + np.maximum(low.sum(1), common))
+                    likely = np.flatnonzero((bound >= score - 1e-9) & (common > 0))
+                    keys += [text] * len(likely)
+                    sigs += [cells[i] for i in likely]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sigs, pa.string())], names=["key", "sig"])
+
+    return asked.select("key", "score").mapInArrow(run, "key string, sig string")
+
+
+def best_matches(names: DataFrame, keys: DataFrame, threshold: float = THRESHOLD, cut=stored) -> DataFrame:
+    """(key, k, score): the most alike of all keys (k) for each name (key, both distinct and not empty), as `best_keys` over all pairs.
+
+    A name that has no character in common with any key has no row.
+
+    First an inverted index: names meet the keys with which they share a rare word or a rare run of characters, so many of
+    them that no pair at the threshold is missed.  Names whose best is below it meet the keys with any equal word, and
+    then the cells of keys whose character counts allow a better likeness than the best so far.  `cut` stores what later
+    steps read more than once."""
+    signed = cut(_signed(keys, "k", threshold))
+    asked = cut(_signed(names, "key", threshold))
+    rarity = signed.groupBy("kind", "token").agg(F.count("*").alias("n"))
+    first = cut(_best(_meet(_rarest(asked, rarity, "key", True), _rarest(signed, rarity, "k", False))))
+    below = cut(names.select("key").join(first, "key", "left").filter(F.coalesce("score", F.lit(0.0)) < threshold))
+    if below.isEmpty():
+        return first
+    word = lambda rows, c: rows.filter("kind = 'w'").select(c, F.col("token").alias("sig"))
+    by_word = _meet(word(asked.join(below.select("key"), "key", "left_semi"), "key"), word(signed, "k"))
+    second = cut(_best(below.filter("score is not null").select("key", "k", "score").union(by_word)))
+    held = cut(_cells(keys))
+    cells = sorted(r.sig for r in held.select("sig").distinct().collect())
+    left = below.select("key").join(second, "key", "left").select("key", F.coalesce("score", F.lit(0.0)).alias("score"))
+    third = _meet(_likely_cells(left, cells), held)
+    return _best(first.filter(F.col("score") >= threshold).union(second).union(third)).filter("score > 0")
+
+
+def resolve(mentions: DataFrame, keys: DataFrame, cut=stored) -> DataFrame:
     """Add to mentions (name): entity_id and score.  keys: what `index` gives.
 
-    Exact normalised names come first, by an equi-join of the distinct names.  What is left is compared with every key,
-    block against block; a key is passed over only where a bound proves that another is better (`best_keys`).  The best
-    score from THRESHOLD on wins, ties by key; else a placeholder with the best score, 0 for names without words."""
+    Exact normalised names come first, by an equi-join of the distinct names.  What is left gets the most alike of all
+    keys (`best_matches`): from THRESHOLD on it wins, ties by key; else a placeholder has the best score, 0 for names
+    without words."""
     names = mentions.select("name").distinct().withColumn("key", fn.normalise_name(F.col("name")))
     exact = names.join(keys, "key").select("name", "entity_id", F.lit(100.0).alias("score"))
-    rest = names.join(exact.select("name"), "name", "left_anti").filter("key <> ''")
-    best = _scan(rest.select("key").distinct(), keys.select(F.col("key").alias("k"), "entity_id")).groupBy("key").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", "k")).alias("m")).select("key", F.when(F.col("m.score") >= THRESHOLD, F.col("m.entity_id")).alias("entity_id"), "m.score")
+    rest = cut(names.join(exact.select("name"), "name", "left_anti").filter("key <> ''"))
+    held = keys.select(F.col("key").alias("k"), "entity_id")
+    if rest.isEmpty():
+        return mentions.join(exact, "name", "left").withColumns({"entity_id": F.coalesce("entity_id", fn.unresolved(F.col("name"))), "score": F.coalesce("score", F.lit(0.0))})
+    best = best_matches(rest.select("key").distinct(), held.select("k"), THRESHOLD, cut).join(held, "k")
+    best = best.select("key", F.when(F.col("score") >= THRESHOLD, F.col("entity_id")).alias("entity_id"), "score")
     found = exact.unionByName(rest.join(best, "key").select("name", "entity_id", "score"))
     return mentions.join(found, "name", "left").withColumns({"entity_id": F.coalesce("entity_id", fn.unresolved(F.col("name"))), "score": F.coalesce("score", F.lit(0.0))})
 

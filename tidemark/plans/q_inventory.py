@@ -9,10 +9,9 @@ from tidemark.functions import scalars as fn
 from tidemark.operators import pit, quality, resolve, text
 from tidemark.plans import views
 from tidemark.plans.q_pit import _AMEND
-from tidemark.plans.q_text import _scratch
 from tidemark.plans.registry import query
 from tidemark.plans.views import BARS, FACTS, STATEMENTS, table
-from tidemark.sources import loaders, schemas, tables
+from tidemark.sources import loaders, schemas, scratch, tables
 from tidemark.streaming import jobs
 
 # --- projections, ordinals
@@ -341,6 +340,6 @@ def str_03_amendments(spark, sf_dir):
         day = F.to_date("l_shipdate")
         return batch.select(fn.entity_id_from_cik(F.col("l_suppkey")).alias("entity_id"), day.alias("effective_date"), F.col("l_orderkey").cast("string").alias("source_ref"), F.col("l_suppkey").alias("insider"), F.col("l_orderkey").alias("period"), F.col("l_partkey").alias("accession"), day.alias("availability_date"), F.col("l_quantity").alias("shares"), (F.col("l_returnflag") == "R").alias("amended"), "l_linenumber", F.lit(None).cast("date").alias("restated_at"))
 
-    path = _scratch(spark, "filings")
-    jobs.merge_into(stream, path, _scratch(spark, "offsets"), rows)
+    path = scratch.folder(spark, "filings")
+    jobs.merge_into(stream, path, scratch.folder(spark, "offsets"), rows)
     return jobs.daily_status(jobs.sweep_amendments(tables.read(spark, path, keys), ["insider", "period"]))

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
 from tidemark.operators import pit, quality, resolve
 from tidemark.plans import views
-from tidemark.plans.q_text import _scratch
 from tidemark.plans.registry import query
 from tidemark.plans.views import EDGES, FACT_KEYS, FACTS, STATEMENTS, table
-from tidemark.sources import schemas, tables
+from tidemark.sources import schemas, scratch, tables
 
 _TOTALS = f"select concept, count(*) as n, round(sum(value), 2) as total from {FACTS} group by 1"
 
@@ -24,7 +21,7 @@ def _totals(df):
 @query("src_03", _TOTALS)
 def src_03(spark, sf_dir):
     """A table written and read back."""
-    path = _scratch(spark, "facts")
+    path = scratch.folder(spark, "facts")
     views.facts(spark, sf_dir).write.parquet(path)
     return _totals(spark.read.parquet(path))
 
@@ -32,7 +29,7 @@ def src_03(spark, sf_dir):
 @query("src_23", _TOTALS)
 def src_23(spark, sf_dir):
     """A table re-laid by entity bucket, equal rows once, the row count checked."""
-    source, target = _scratch(spark, "facts"), _scratch(spark, "buckets")
+    source, target = scratch.folder(spark, "facts"), scratch.folder(spark, "buckets")
     views.facts(spark, sf_dir).write.parquet(source)
     tables.relayout(spark.read.parquet(source), target, buckets=8)
     return _totals(spark.read.parquet(target))
@@ -41,7 +38,7 @@ def src_23(spark, sf_dir):
 @query("dq_16", _TOTALS)
 def dq_16(spark, sf_dir):
     """The same batches written twice leave the table as it was."""
-    path, f = _scratch(spark, "twice"), views.facts(spark, sf_dir)
+    path, f = scratch.folder(spark, "twice"), views.facts(spark, sf_dir)
     for batch in (1, 2, 2):
         tables.append(f, path, batch, 8)
     return _totals(tables.read(spark, path, FACT_KEYS, buckets=8))
@@ -50,7 +47,7 @@ def dq_16(spark, sf_dir):
 @query("ver_01", "select 'v2' as current, count(*) as n from lineitem where l_returnflag = 'R'")
 def ver_01(spark, sf_dir):
     """A staged version promoted after a gate on its own data; reading goes by the pointer."""
-    root, l = _scratch(spark, f"root-{uuid.uuid4().hex}"), table(spark, sf_dir, "lineitem")
+    root, l = scratch.folder(spark, "root"), table(spark, sf_dir, "lineitem")
     for version, flag in (("v1", "A"), ("v2", "R")):
         l.filter(F.col("l_returnflag") == flag).write.parquet(f"{root}/{version}")
         tables.promote(spark, root, version, gate=lambda path: not spark.read.parquet(path).isEmpty())
@@ -61,7 +58,7 @@ def ver_01(spark, sf_dir):
 @query("ver_02", "select 'v1' as current, count(*) as n from lineitem where l_returnflag = 'A'")
 def ver_02(spark, sf_dir):
     """The last promotion undone."""
-    root, l = _scratch(spark, f"root-{uuid.uuid4().hex}"), table(spark, sf_dir, "lineitem")
+    root, l = scratch.folder(spark, "root"), table(spark, sf_dir, "lineitem")
     for version, flag in (("v1", "A"), ("v2", "R")):
         l.filter(F.col("l_returnflag") == flag).write.parquet(f"{root}/{version}")
         tables.promote(spark, root, version)
@@ -73,7 +70,7 @@ def ver_02(spark, sf_dir):
 @query("src_20", "select 'us-cik-' || lpad(c_custkey::varchar, 10, '0') as entity_id, c_name as name from customer")
 def src_20(spark, sf_dir):
     """A registry written and loaded."""
-    path = _scratch(spark, "registry")
+    path = scratch.folder(spark, "registry")
     table(spark, sf_dir, "customer").select(fn.entity_id_from_cik(F.col("c_custkey")).alias("entity_id"), F.col("c_name").alias("name")).write.parquet(path)
     return spark.read.parquet(path)
 

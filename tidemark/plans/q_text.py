@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from tidemark.operators import features, resolve, text
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.plans.views import EDGES, table
+from tidemark.sources import scratch
 from tidemark.streaming import jobs
 
 
@@ -135,11 +133,43 @@ def grf_02(spark, sf_dir):
     return resolve.resolve(names, resolve.index(_registry(spark, sf_dir))).select(F.col("plain").alias("name"), "entity_id", "score")
 
 
-@query("jn_05")
+#: SQL of `resolve.token_set_score` over rows (a, b): the longest common subsequence by the zero bits of an integer, a bit a character.
+_SCORES = """
+sets as (select *, list_sort(list_distinct(string_split(a, ' '))) x, list_sort(list_distinct(string_split(b, ' '))) y from pairs),
+parts as (select *, list_sort(list_intersect(x, y)) s from sets),
+texts as (select *, array_to_string(s, ' ') shared, array_to_string(list_filter(x, lambda w: not list_contains(y, w)), ' ') only_x,
+  array_to_string(list_filter(y, lambda w: not list_contains(x, w)), ' ') only_y from parts),
+both_sides as (select *, trim(shared || ' ' || only_x) p, trim(shared || ' ' || only_y) q from texts),
+masks as (select *, list_transform(string_split(q, ''), lambda c: list_sum(list_transform(range(0, length(p)),
+  lambda i: case when substr(p, i::int + 1, 1) = c then 1::hugeint << i::int else 0::hugeint end))::hugeint) m, (1::hugeint << length(p)) - 1 every_bit from both_sides),
+common as (select *, length(p) - bit_count(list_reduce(m, lambda held, c: (((held + (held & c)) | (held - (held & c))) & every_bit), every_bit)) lcs from masks),
+scores as (select a, b, case when s <> [] and (only_x = '' or only_y = '') then 100.0::double else greatest(200.0::double * lcs / (length(p) + length(q)),
+  case when s <> [] then 200.0::double * length(shared) / (length(shared) + length(p)) else 0 end,
+  case when s <> [] then 200.0::double * length(shared) / (length(shared) + length(q)) else 0 end) end score from common)"""
+_KEYS = "keys as (select b, min(pos) pos from (select upper(p_name) b, p_partkey pos from part union all select 'TK' || p_partkey, p_partkey from part) group by 1)"
+_TYPOS = """names as (select plain, kind, case kind when 'end' then plain || 's' when 'front' then 'q' || substr(plain, 2) when 'inner' then left(plain, 2) || substr(plain, 4)
+  when 'order' then split_part(plain, ' ', 2) || 'x ' || split_part(plain, ' ', 1) else 'zq ' || reverse(plain) end as name
+  from (select distinct p_name plain from part), (select unnest(['end', 'front', 'inner', 'order', 'other']) kind))"""
+
+
+@query("jn_05", f"""with {_KEYS}, {_TYPOS}, pairs as (select distinct upper(name) a, b from names, keys), {_SCORES},
+  best as (select a, max(score) score, max_by(b, (score, b)) b from scores group by 1)
+  select plain, kind, case when score >= 88 then 'us-cik-' || lpad(pos::varchar, 10, '0') else 'unresolved:' || name end as entity_id, round(score, 3) as score
+  from names join best on a = upper(name) join keys using (b)""")
 def jn_05(spark, sf_dir):
-    """Misspelt names resolved by blocks and likeness."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("plain")).distinct().withColumn("name", F.concat("plain", F.lit("s")))
-    return resolve.resolve(names, resolve.index(_registry(spark, sf_dir))).select("plain", "entity_id", F.round("score", 3).alias("score"))
+    """Names with an error at the end, the front or inside, with words in another order, or quite other ones, resolved by likeness to all keys."""
+    kinds = F.explode(F.array(*map(F.lit, ("end", "front", "inner", "order", "other"))))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("plain")).distinct().withColumn("kind", kinds)
+    first, last = F.split_part("plain", F.lit(" "), F.lit(1)), F.split_part("plain", F.lit(" "), F.lit(2))
+    typo = (
+        F.when(F.col("kind") == "end", F.concat("plain", F.lit("s")))
+        .when(F.col("kind") == "front", F.concat(F.lit("q"), F.expr("substr(plain, 2)")))
+        .when(F.col("kind") == "inner", F.concat(F.expr("left(plain, 2)"), F.expr("substr(plain, 4)")))
+        .when(F.col("kind") == "order", F.concat(last, F.lit("x "), first))
+        .otherwise(F.concat(F.lit("zq "), F.reverse("plain")))
+    )
+    found = resolve.resolve(names.withColumn("name", typo), resolve.index(_registry(spark, sf_dir)))
+    return found.select("plain", "kind", "entity_id", F.round("score", 3).alias("score"))
 
 
 @query("agg_12", "select avg(case when user_id * 97 <= (select max(c_custkey) from customer) then 1 else 0 end) as rate from events")
@@ -151,7 +181,9 @@ def agg_12(spark, sf_dir):
     return e.agg(F.avg(F.when(F.col("entity_id").startswith("unresolved:"), 0).otherwise(1)).alias("rate"))
 
 
-@query("grf_03")
+@query("grf_03", """with keys as (select upper(p_name) b, min(p_partkey) pos from part group by 1)
+    select 'us-cik-' || lpad(p_size::varchar, 10, '0') as entity_id, p_partkey::varchar as accession, 'us-cik-' || lpad(pos::varchar, 10, '0') as target_entity_id,
+    'customer' as relationship_type, sha256(p_type) as evidence_hash, 0.9::double as confidence, p_partkey || '#1A' as source_ref from part join keys on b = upper(p_name)""")
 def grf_03(spark, sf_dir):
     """Relations extracted from responses, resolved and hashed."""
     p = table(spark, sf_dir, "part")
@@ -196,16 +228,6 @@ def opt_06(spark, sf_dir):
     return near.select("q", "vec_id", F.round("cosine", 9).alias("cosine"), "place")
 
 
-def _scratch(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one where that is unset and the master is this machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}/{name}"
-
-
 def _event_stream(spark, sf_dir):
     return jobs.follow(spark, f"{sf_dir}/events*.parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
 
@@ -213,12 +235,12 @@ def _event_stream(spark, sf_dir):
 @query("str_02", "select event_type, count(distinct event_id) as n from events group by 1")
 def str_02(spark, sf_dir):
     """News stream merged into a table."""
-    path = _scratch(spark, "news")
+    path = scratch.folder(spark, "news")
 
     def rows(batch):
         return batch.select(F.concat(F.lit("user-"), "user_id").alias("entity_id"), F.to_date("ts").alias("effective_date"), F.to_date("ts").alias("availability_date"), F.col("event_id").cast("string").alias("source_ref"), "event_type")
 
-    jobs.merge_into(_event_stream(spark, sf_dir), path, _scratch(spark, "offsets"), rows)
+    jobs.merge_into(_event_stream(spark, sf_dir), path, scratch.folder(spark, "offsets"), rows)
     from tidemark.sources import tables
 
     return tables.read(spark, path, ["event_type"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -227,22 +249,22 @@ def str_02(spark, sf_dir):
 @query("str_05", "select event_type, count(*) as n from (select distinct event_type, user_id from events) group by 1")
 def str_05(spark, sf_dir):
     """Each user and type of a stream once."""
-    out = _scratch(spark, "seen")
-    jobs.collect(jobs.first_seen(_event_stream(spark, sf_dir).select("event_type", "user_id", "ts"), ["event_type", "user_id"], "ts", "3650 days"), out, _scratch(spark, "offsets"))
+    out = scratch.folder(spark, "seen")
+    jobs.collect(jobs.first_seen(_event_stream(spark, sf_dir).select("event_type", "user_id", "ts"), ["event_type", "user_id"], "ts", "3650 days"), out, scratch.folder(spark, "offsets"))
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("str_03", "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def str_03(spark, sf_dir):
     """Daily loads by type from the stream, equal to the batch result."""
-    out = _scratch(spark, "daily")
+    out = scratch.folder(spark, "daily")
     rows = []
 
     def put(batch, number):
         batch.groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/batch={number}")
         rows.append(number)
 
-    _event_stream(spark, sf_dir).writeStream.foreachBatch(put).option("checkpointLocation", _scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    _event_stream(spark, sf_dir).writeStream.foreachBatch(put).option("checkpointLocation", scratch.folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy("start", "event_type").agg(F.sum("n").alias("n"))
 
 
