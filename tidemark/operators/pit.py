@@ -33,24 +33,55 @@ def as_of(df: DataFrame, t, keys: Sequence[str], effective_between: tuple | None
     return newest(df, keys)
 
 
-def as_of_join(spine: DataFrame, df: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
+def as_of_join(spine: DataFrame, df: DataFrame, keys: Sequence[str], t: str = "t", cut_months: int | None = None) -> DataFrame:
     """The state of each (entity_id, t) of a spine: rows of `df` with the spine's columns.
 
-    A version is joined only with the dates in its validity interval, so just the winners come out, and nothing is picked
-    afterwards.  Intervals fail a fact of which a version is withdrawn while an earlier one stands, which then shows
-    again: the versions of such facts meet all dates on which they are visible, and the winner is picked.  Adaptive
-    execution broadcasts a small side by its size, and splits hot entities."""
+    A merge: each fact's versions and its entity's dates are united and sorted once, and a date takes the last version
+    before it, so what is sorted grows as versions and results, not as versions times dates.  If that version is visible
+    it wins.  If it is withdrawn by then, nothing else is visible, unless an earlier version stands longer: only such
+    dates look through the fact's versions again.
+
+    Rows are dealt by fact, so a large entity spreads over tasks.  With `cut_months` a fact is cut as well, into ranges of
+    so many months, into each of which the last version before it is carried."""
     facts = list(dict.fromkeys(["entity_id", *keys]))
-    spine = spine.select("entity_id", *[c for c in spine.columns if c != "entity_id"])
-    w = Window.partitionBy(*facts).orderBy("availability_date", "source_ref")
+    versions = df.filter("availability_date is not null")
+    own = spine.select("entity_id", F.col(t).alias("__t"), F.struct(*[c for c in spine.columns if c != "entity_id"]).alias("__spine"))
+    dates = versions.select(*facts).distinct().join(own, "entity_id")
     until = F.coalesce("restated_at", F.lit("9999-12-31").cast("date"))
-    outlived = F.max(until).over(w.rowsBetween(Window.unboundedPreceding, -1)) > until
-    marked = df.filter("availability_date is not null").withColumns({"__to": F.least(F.lead("availability_date").over(w), F.col("restated_at")), "__back": outlived})
-    marked = marked.withColumn("__back", F.coalesce(F.max("__back").over(Window.partitionBy(*facts)), F.lit(False)))
-    within = (F.col("availability_date") <= F.col(t)) & (F.col("__to").isNull() | (F.col("__to") > F.col(t)))
-    plain = marked.filter("not __back and (__to is null or __to > availability_date)").join(spine, "entity_id").filter(within)
-    again = newest(marked.filter("__back").join(spine, "entity_id").filter(visible(F.col(t))), [t, *facts])
-    return plain.drop("__to", "__back").unionByName(again.drop("__to", "__back"))
+    version = F.struct("availability_date", "source_ref", F.struct(*df.columns).alias("row")).alias("__version")
+    seen = versions.select(*facts, F.col("availability_date").alias("__at"), F.lit(0).alias("__kind"), F.col("source_ref").alias("__ref"), version, until.alias("__until"))
+    asked = dates.select(*facts, F.col("__t").alias("__at"), F.lit(1).alias("__kind"), "__spine")
+    by = list(facts)
+    if cut_months:
+        place = lambda d: F.floor((F.year(d) * 12 + F.month(d)) / F.lit(cut_months)).alias("__range")
+        seen, asked, by = seen.withColumn("__range", place("__at")), asked.withColumn("__range", place("__at")), [*facts, "__range"]
+        seen = seen.unionByName(_carried(seen, asked, facts))
+    both = seen.unionByName(asked, allowMissingColumns=True)
+    so_far = Window.partitionBy(*by).orderBy("__at", "__kind", "__ref").rowsBetween(Window.unboundedPreceding, 0)
+    last, longest = F.last("__version", ignorenulls=True).over(so_far), F.max("__until").over(so_far)
+    found = both.select(*facts, "__at", "__kind", "__spine", last.alias("__last"), longest.alias("__longest")).filter("__kind = 1 and __longest > __at")
+    stands = F.coalesce(F.col("__last.row.restated_at") > F.col("__at"), F.lit(True))
+    others = [c for c in df.columns if c != "entity_id"]
+    added = [F.col(f"__spine.`{c}`").alias(c) for c in spine.columns if c != "entity_id"]
+    plain = found.filter(stands).select("entity_id", *(F.col(f"__last.row.`{c}`").alias(c) for c in others), *added)
+    again = found.filter(~stands).select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(facts)), "__at", "__spine", F.monotonically_increasing_id().alias("__id"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(facts)]
+    older = newest(versions.join(again, same).filter(visible(F.col("__at"))), ["__id"])
+    return plain.unionByName(older.select("entity_id", *others, *added))
+
+
+def _carried(seen: DataFrame, asked: DataFrame, facts: Sequence[str]) -> DataFrame:
+    """For each fact and range with dates the last version of earlier ranges, and until when any of them stands: one row each.
+
+    Only one row for each fact and range is sorted, after a partial aggregation of the versions where they lie."""
+    ends = seen.groupBy(*facts, "__range").agg(F.max("__version").alias("__version"), F.max("__until").alias("__until"))
+    wanted = asked.groupBy(*facts, "__range").agg(F.lit(True).alias("__wanted"))
+    before = Window.partitionBy(*facts).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    every = ends.unionByName(wanted, allowMissingColumns=True).groupBy(*facts, "__range").agg(*(F.max(c).alias(c) for c in ("__version", "__until", "__wanted")))
+    carried = every.withColumns({"__before": F.last("__version", ignorenulls=True).over(before), "__stands": F.max("__until").over(before)})
+    carried = carried.filter("__wanted and __before is not null")
+    at, ref = F.col("__before.availability_date").alias("__at"), F.col("__before.source_ref").alias("__ref")
+    return carried.select(*facts, at, F.lit(0).alias("__kind"), ref, F.col("__before").alias("__version"), F.col("__stands").alias("__until"), "__range")
 
 
 def intervals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,12 +144,14 @@ def snapshot(tables: dict[str, DataFrame], entities: Sequence[str], t, keys: dic
 
 
 def training_pairs(spine: DataFrame, df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Inputs at t and targets at target_t of spine rows (entity_id, t, horizon_q, target_t) that have any input."""
-    inputs = as_of_join(spine.select("entity_id", "t").distinct(), df, keys)
-    known = df.select("entity_id", "availability_date", "restated_at").distinct()
-    kept = spine.join(known, (spine["entity_id"] == known["entity_id"]) & visible(F.col("t")), "left_semi")
-    targets = as_of_join(kept.select("entity_id", "target_t").distinct(), df, keys, "target_t")
-    return kept.join(inputs, ["entity_id", "t"]), kept.join(targets, ["entity_id", "target_t"], "left")
+    """Inputs at t and targets at target_t of spine rows (entity_id, t, horizon_q, target_t) that have any input.
+
+    One as-of join serves both sides: a spine's dates and target dates are often the same."""
+    dates = spine.select("entity_id", F.explode(F.array("t", "target_t")).alias("__d")).distinct()
+    states = as_of_join(dates, df, keys, "__d")
+    kept = spine.join(states.select("entity_id", F.col("__d").alias("t")).distinct(), ["entity_id", "t"], "left_semi")
+    inputs, targets = states.withColumnRenamed("__d", "t"), states.withColumnRenamed("__d", "target_t")
+    return spine.join(inputs, ["entity_id", "t"]), kept.join(targets, ["entity_id", "target_t"], "left")
 
 
 def build_spine(entities: DataFrame, times: DataFrame, horizons: Sequence[int]) -> DataFrame:
