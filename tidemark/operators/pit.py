@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import stored
+
 
 def visible(t: Column) -> Column:
     """Known by `t` and not yet superseded then."""
@@ -36,52 +38,61 @@ def as_of(df: DataFrame, t, keys: Sequence[str], effective_between: tuple | None
 def as_of_join(spine: DataFrame, df: DataFrame, keys: Sequence[str], t: str = "t", cut_months: int | None = None) -> DataFrame:
     """The state of each (entity_id, t) of a spine: rows of `df` with the spine's columns.
 
-    A merge: each fact's versions and its entity's dates are united and sorted once, and a date takes the last version
-    before it, so what is sorted grows as versions and results, not as versions times dates.  If that version is visible
-    it wins.  If it is withdrawn by then, nothing else is visible, unless an earlier version stands longer: only such
-    dates look through the fact's versions again.
+    One sort of each fact's versions gives the interval in which each is the last; intervals of a fact don't overlap.  The
+    time between an entity's first and last date is dealt into as many ranges as it has dates, and a version meets only the
+    dates of the ranges that its interval reaches.  So the rows compared grow as versions plus results, not as versions
+    times dates, and a large entity is spread over tasks by its ranges, each with the versions that stand when it begins.
 
-    Rows are dealt by fact, so a large entity spreads over tasks.  With `cut_months` a fact is cut as well, into ranges of
-    so many months, into each of which the last version before it is carried."""
+    If a version is withdrawn before the next one comes while an earlier one stands, the dates in that gap look through the
+    fact's versions again.  With `cut_months` a fact with very many versions is sorted in pieces of so many months."""
     facts = list(dict.fromkeys(["entity_id", *keys]))
     versions = df.filter("availability_date is not null")
-    own = spine.select("entity_id", F.col(t).alias("__t"), F.struct(*[c for c in spine.columns if c != "entity_id"]).alias("__spine"))
-    dates = versions.select(*facts).distinct().join(own, "entity_id")
     until = F.coalesce("restated_at", F.lit("9999-12-31").cast("date"))
-    version = F.struct("availability_date", "source_ref", F.struct(*df.columns).alias("row")).alias("__version")
-    seen = versions.select(*facts, F.col("availability_date").alias("__at"), F.lit(0).alias("__kind"), F.col("source_ref").alias("__ref"), version, until.alias("__until"))
-    asked = dates.select(*facts, F.col("__t").alias("__at"), F.lit(1).alias("__kind"), "__spine")
-    by = list(facts)
-    if cut_months:
-        place = lambda d: F.floor((F.year(d) * 12 + F.month(d)) / F.lit(cut_months)).alias("__range")
-        seen, asked, by = seen.withColumn("__range", place("__at")), asked.withColumn("__range", place("__at")), [*facts, "__range"]
-        seen = seen.unionByName(_carried(seen, asked, facts))
-    both = seen.unionByName(asked, allowMissingColumns=True)
-    so_far = Window.partitionBy(*by).orderBy("__at", "__kind", "__ref").rowsBetween(Window.unboundedPreceding, 0)
-    last, longest = F.last("__version", ignorenulls=True).over(so_far), F.max("__until").over(so_far)
-    found = both.select(*facts, "__at", "__kind", "__spine", last.alias("__last"), longest.alias("__longest")).filter("__kind = 1 and __longest > __at")
-    stands = F.coalesce(F.col("__last.row.restated_at") > F.col("__at"), F.lit(True))
-    others = [c for c in df.columns if c != "entity_id"]
-    added = [F.col(f"__spine.`{c}`").alias(c) for c in spine.columns if c != "entity_id"]
-    plain = found.filter(stands).select("entity_id", *(F.col(f"__last.row.`{c}`").alias(c) for c in others), *added)
-    again = found.filter(~stands).select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(facts)), "__at", "__spine", F.monotonically_increasing_id().alias("__id"))
+    following, longest = _neighbours(versions, facts, until, cut_months)
+    marked = following.withColumn("__next", F.coalesce("__next", F.lit("9999-12-31").cast("date")))
+    own = spine.select("entity_id", *[c for c in spine.columns if c != "entity_id"])
+    added = [c for c in own.columns if c != "entity_id"]
+    of_entity = own.groupBy("entity_id").agg(F.min(t).alias("__first"), F.max(t).alias("__end"), F.count("*").alias("__n"))
+    days = F.floor(F.datediff("__end", "__first") / F.col("__n")) + 1
+    place = lambda d: F.floor(F.datediff(d, "__first") / days)
+    dates = own.join(of_entity, "entity_id").select(*own.columns, place(F.col(t)).alias("__range"))
+
+    def met(spans: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Versions (columns, __from, __to) with each date in their interval."""
+        reached = spans.filter("__from < __to").join(of_entity, "entity_id").filter("__from <= __end and __to > __first")
+        ranges = F.sequence(place(F.greatest("__from", "__first")), place(F.least(F.date_sub("__to", 1), "__end")))
+        dealt = reached.select(*columns, "__from", "__to", F.explode(ranges).alias("__range"))
+        return dealt.join(dates, ["entity_id", "__range"]).filter((F.col("__from") <= F.col(t)) & (F.col(t) < F.col("__to"))).select(*columns, *added)
+
+    columns = ["entity_id", *(c for c in df.columns if c != "entity_id")]
+    last = met(marked.withColumns({"__from": F.col("availability_date"), "__to": F.least("__next", until)}), columns)
+    gap = marked.filter("restated_at is not null").withColumns({"__from": F.greatest("availability_date", until), "__to": F.col("__next")})
+    asked = met(gap.filter(longest > F.col("__from")), facts).withColumn("__id", F.monotonically_increasing_id())
+    again = asked.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(facts)), *added, "__id")
+    older = versions.join(again, [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(facts)]).filter(visible(F.col(t)))
+    return last.unionByName(newest(older, ["__id"]).select(*columns, *added))
+
+
+def _neighbours(versions: DataFrame, facts: Sequence[str], until: Column, cut_months: int | None) -> tuple[DataFrame, Column]:
+    """Versions with `__next`, when the next one of their fact comes, and until when the longest of the earlier ones stands.
+
+    In pieces, what lies beyond a piece comes from one row for each piece: its first version and its longest standing."""
+    order = ["availability_date", "source_ref"]
+    piece = F.floor((F.year("availability_date") * 12 + F.month("availability_date")) / F.lit(cut_months or 1))
+    by = [*facts, "__piece"] if cut_months else list(facts)
+    w = Window.partitionBy(*by).orderBy(*order)
+    within = (versions.withColumn("__piece", piece) if cut_months else versions).withColumns({
+        "__next": F.lead("availability_date").over(w), "__longest": F.max(until).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    if not cut_months:
+        return within, F.col("__longest")
+    pieces = versions.groupBy(*facts, piece.alias("__piece")).agg(F.min("availability_date").alias("__starts"), F.max(until).alias("__stands"))
+    across = Window.partitionBy(*facts).orderBy("__piece")
+    beyond = pieces.select(
+        *(F.col(c).alias(f"__{i}") for i, c in enumerate(facts)), F.col("__piece").alias("__at"),
+        F.lead("__starts").over(across).alias("__later"), F.max("__stands").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
     same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(facts)]
-    older = newest(versions.join(again, same).filter(visible(F.col("__at"))), ["__id"])
-    return plain.unionByName(older.select("entity_id", *others, *added))
-
-
-def _carried(seen: DataFrame, asked: DataFrame, facts: Sequence[str]) -> DataFrame:
-    """For each fact and range with dates the last version of earlier ranges, and until when any of them stands: one row each.
-
-    Only one row for each fact and range is sorted, after a partial aggregation of the versions where they lie."""
-    ends = seen.groupBy(*facts, "__range").agg(F.max("__version").alias("__version"), F.max("__until").alias("__until"))
-    wanted = asked.groupBy(*facts, "__range").agg(F.lit(True).alias("__wanted"))
-    before = Window.partitionBy(*facts).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    every = ends.unionByName(wanted, allowMissingColumns=True).groupBy(*facts, "__range").agg(*(F.max(c).alias(c) for c in ("__version", "__until", "__wanted")))
-    carried = every.withColumns({"__before": F.last("__version", ignorenulls=True).over(before), "__stands": F.max("__until").over(before)})
-    carried = carried.filter("__wanted and __before is not null")
-    at, ref = F.col("__before.availability_date").alias("__at"), F.col("__before.source_ref").alias("__ref")
-    return carried.select(*facts, at, F.lit(0).alias("__kind"), ref, F.col("__before").alias("__version"), F.col("__stands").alias("__until"), "__range")
+    joined = within.join(beyond, [*same, F.col("__piece") == F.col("__at")])
+    return joined.withColumn("__next", F.coalesce("__next", "__later")), F.greatest("__longest", "__earlier")
 
 
 def intervals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -143,12 +154,12 @@ def snapshot(tables: dict[str, DataFrame], entities: Sequence[str], t, keys: dic
     return {m: as_of(df.filter(F.col("entity_id").isin(list(entities))), t, keys[m]) for m, df in tables.items()}
 
 
-def training_pairs(spine: DataFrame, df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def training_pairs(spine: DataFrame, df: DataFrame, keys: Sequence[str], cut=stored) -> tuple[DataFrame, DataFrame]:
     """Inputs at t and targets at target_t of spine rows (entity_id, t, horizon_q, target_t) that have any input.
 
-    One as-of join serves both sides: a spine's dates and target dates are often the same."""
+    One as-of join serves both sides, since dates and target dates are often the same; `cut` stores its result for them."""
     dates = spine.select("entity_id", F.explode(F.array("t", "target_t")).alias("__d")).distinct()
-    states = as_of_join(dates, df, keys, "__d")
+    states = cut(as_of_join(dates, df, keys, "__d"))
     kept = spine.join(states.select("entity_id", F.col("__d").alias("t")).distinct(), ["entity_id", "t"], "left_semi")
     inputs, targets = states.withColumnRenamed("__d", "t"), states.withColumnRenamed("__d", "target_t")
     return spine.join(inputs, ["entity_id", "t"]), kept.join(targets, ["entity_id", "target_t"], "left")
