@@ -162,6 +162,43 @@ def drift(now: DataFrame, before: DataFrame, keys: Sequence[str], value: str, li
     return both.withColumn("delta", relative_delta(F.col("now").cast("double"), F.col("prior").cast("double"))).withColumn("material", F.abs(F.col("delta")) > limit)
 
 
+@dataclass(frozen=True)
+class RatioRule:
+    """A least ratio for the filings of an industry (by prefix of its code) that carry all of some policy tags.
+
+    Of the rules of one constraint that apply to a filing, the one with the highest priority decides."""
+
+    name: str
+    constraint: str
+    industry: str
+    tags: tuple[str, ...]
+    ratio: str
+    least: float
+    priority: int
+
+
+def check_ratios(filings: DataFrame, rules: Sequence[RatioRule]) -> DataFrame:
+    """A row for each filing (industry, policy_tags, financials: a map) and constraint that applies: `rule`, `ratio`, `violated`.
+
+    All rules are decided in one pass over the rows, without a shuffle.  A filing without tags, or without the ratio that
+    a rule names, isn't subject to that rule; a rule of lower priority then may be."""
+    constraints = {}
+    for rule in sorted(rules, key=lambda r: (-r.priority, r.name)):
+        constraints.setdefault(rule.constraint, []).append(rule)
+    decided = []
+    for constraint, ranked in constraints.items():
+        cases = []
+        for rule in ranked:
+            value = F.col("financials")[rule.ratio]
+            tagged = [F.array_contains(F.coalesce("policy_tags", F.array().cast("array<string>")), tag) for tag in rule.tags]
+            applies = reduce(lambda a, b: a & b, tagged, F.col("industry").startswith(rule.industry) & value.isNotNull())
+            outcome = F.struct(F.lit(constraint).alias("constraint"), F.lit(rule.name).alias("rule"), value.alias("ratio"), (value < rule.least).alias("violated"))
+            cases.append(F.when(applies, outcome))
+        decided.append(F.coalesce(*cases))
+    kept = [c for c in filings.columns if c not in ("policy_tags", "financials")]
+    return filings.select(*kept, F.inline(F.filter(F.array(*decided), lambda x: x.isNotNull())))
+
+
 def conformance(df: DataFrame) -> DataFrame:
     """One row of counts: envelope columns absent, and rows that break an envelope rule, in a single pass."""
     absent = [f.name for f in ENVELOPE.fields if f.name not in df.columns]

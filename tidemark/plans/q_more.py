@@ -103,15 +103,9 @@ def fn_07(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(unit.alias("unit"), fn.local_name(F.concat(F.lit("ns:"), "l_linestatus")).alias("local")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ext_03", f"select user_id, day, close from {views.BARS} where user_id % 2 = 0")
+@query("ext_03", f"select user_id, day, close from {views.BARS}")
 def ext_03(spark, sf_dir):
     """A modality of the user's own: its key drives the winner pick."""
-    return _own_modality(views.bars(spark, sf_dir).filter("user_id % 2 = 0"))
-
-
-@query("ext_03_all", f"select user_id, day, close from {views.BARS}")
-def ext_03_all(spark, sf_dir):
-    """The same over all users."""
     return _own_modality(views.bars(spark, sf_dir))
 
 

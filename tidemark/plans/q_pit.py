@@ -209,8 +209,8 @@ def fn_16(spark, sf_dir):
     return spans.select("o_custkey", F.explode(fn.period_ends(F.col("a"), F.col("b"), 3)).alias("quarter_end"))
 
 
-#: Periods of win_06 and fea_01, whose SQL has them, and of the surveyed history, which the others keep.
-_MATRIX, _HISTORY = 8, 32
+#: Periods of a matrix, as surveyed.
+_HISTORY = 32
 _CONCEPTS = ["us-gaap:A", "us-gaap:N", "us-gaap:R"]
 _LATEST = _winner(FACTS, f"availability_date <= date '{AS_OF}'")
 
@@ -220,31 +220,17 @@ def _periods(spark, sf_dir, n: int) -> DataFrame:
     return pit.as_of(views.facts(spark, sf_dir), AS_OF, FACT_KEYS).select("entity_id", "fiscal_year", "fiscal_period", "concept", "value", F.dense_rank().over(w).cast("long").alias("age")).filter(F.col("age") <= n)
 
 
-@query("win_06", f"select * from (select entity_id, fiscal_year, fiscal_period, concept, value, dense_rank() over (partition by entity_id order by fiscal_year desc, fiscal_period desc) as age from ({_LATEST})) where age <= {_MATRIX}")
+@query("win_06", f"select * from (select entity_id, fiscal_year, fiscal_period, concept, value, dense_rank() over (partition by entity_id order by fiscal_year desc, fiscal_period desc) as age from ({_LATEST})) where age <= {_HISTORY}")
 def win_06(spark, sf_dir):
-    """The latest eight periods of each entity."""
-    return _periods(spark, sf_dir, _MATRIX)
-
-
-@query("win_06_history", f"select * from (select entity_id, fiscal_year, fiscal_period, concept, value, dense_rank() over (partition by entity_id order by fiscal_year desc, fiscal_period desc) as age from ({_LATEST})) where age <= {_HISTORY}")
-def win_06_history(spark, sf_dir):
     """The latest 32 periods of each entity."""
     return _periods(spark, sf_dir, _HISTORY)
 
 
 @query("fea_01", f"""with p as (select entity_id, fiscal_year, fiscal_period, {', '.join(f"max(value) filter (concept = '{c}') c{i}" for i, c in enumerate(_CONCEPTS))} from ({_LATEST}) group by 1, 2, 3),
     k as (select *, row_number() over (partition by entity_id order by fiscal_year desc, fiscal_period desc) age from p)
-    select entity_id, count(*)::integer as seq_len, {', '.join(f"round(sum(coalesce(sign(c{i}) * ln(1 + abs(c{i})) / 30, 0) * (9 - age)), 4) as s{i}" for i in range(3))} from k where age <= {_MATRIX} group by 1""")
+    select entity_id, count(*)::integer as seq_len, {', '.join(f"round(sum(coalesce(sign(c{i}) * ln(1 + abs(c{i})) / 30, 0)::float::double * ({_HISTORY + 1} - age)), 4) as s{i}" for i in range(3))} from k where age <= {_HISTORY} group by 1""")
 def fea_01(spark, sf_dir):
-    """Feature matrices, checked by their position-weighted sums."""
-    return _matrix_sums(spark, sf_dir, _MATRIX)
-
-
-@query("fea_01_history", f"""with p as (select entity_id, fiscal_year, fiscal_period, {', '.join(f"max(value) filter (concept = '{c}') c{i}" for i, c in enumerate(_CONCEPTS))} from ({_LATEST}) group by 1, 2, 3),
-    k as (select *, row_number() over (partition by entity_id order by fiscal_year desc, fiscal_period desc) age from p)
-    select entity_id, count(*)::integer as seq_len, {', '.join(f"round(sum(coalesce(sign(c{i}) * ln(1 + abs(c{i})) / 30, 0) * (33 - age)), 4) as s{i}" for i in range(3))} from k where age <= {_HISTORY} group by 1""")
-def fea_01_history(spark, sf_dir):
-    """Feature matrices of 32 periods, checked the same way."""
+    """Feature matrices of 32 periods, checked by their position-weighted sums; cells are 32-bit numbers in both."""
     return _matrix_sums(spark, sf_dir, _HISTORY)
 
 
@@ -265,14 +251,8 @@ def _place(horizon: str) -> F.Column:
     return (F.array_position(F.array(*map(F.lit, [1, 2, 4, 8])), F.col(horizon)) - 1).cast("int").alias("place")
 
 
-@query("fea_03", "select unnest([1, 2, 4, 8]) as horizon_q, unnest(range(4))::integer as place from (select 1 from region limit 1)")
+@query("fea_03", f"select entity_id, t, [1, 2, 4, 8][i] as horizon_q, (i - 1)::integer as place from {_SPINE}, (select unnest(range(1, 5)) i)")
 def fea_03(spark, sf_dir):
-    """Horizons as indices."""
-    return table(spark, sf_dir, "region").limit(1).select(F.explode(F.array(*map(F.lit, [1, 2, 4, 8]))).alias("horizon_q")).select("horizon_q", _place("horizon_q"))
-
-
-@query("fea_03_spine", f"select entity_id, t, [1, 2, 4, 8][i] as horizon_q, (i - 1)::integer as place from {_SPINE}, (select unnest(range(1, 5)) i)")
-def fea_03_spine(spark, sf_dir):
     """Horizons as indices over all entities, dates and horizons."""
     times = spark.range(1996, 2001).select(F.make_date(F.col("id").cast("int"), F.lit(12), F.lit(31)).alias("t"))
     spine = pit.build_spine(views.facts(spark, sf_dir).select("entity_id").distinct(), times, [1, 2, 4, 8])

@@ -201,15 +201,6 @@ def fn_21(spark, sf_dir):
     return _drift(spark, sf_dir).select("l_returnflag", "delta")
 
 
-@query("dq_12", f"select 0 as absent_columns, count(*) as n, 0::bigint as null_recorded_at, 0::bigint as belief_range, 0::bigint as certainty_range, 0::bigint as empty_perspective, 0::bigint as negative_uncertainty from {FACTS}")
-def dq_12(spark, sf_dir):
-    """Envelope conformance of back-filled facts."""
-    from tidemark.sources.schemas import conform
-
-    raw = views.facts(spark, sf_dir).withColumns({"modality": F.lit("financials"), "source": F.lit("filings")})
-    return quality.conformance(conform(raw, "financials"))
-
-
 @query("src_05", f"select entity_id, source_ref, 1.0 as belief, 'sec_edgar:xbrl_instance' as perspective, 0 as valid_from_uncertainty_days from {FACTS}")
 def src_05(spark, sf_dir):
     """Facts with the envelope's defaults filled in."""

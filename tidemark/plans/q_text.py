@@ -246,14 +246,6 @@ def str_02(spark, sf_dir):
     return tables.read(spark, path, ["event_type"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("str_05", "select event_type, count(*) as n from (select distinct event_type, user_id from events) group by 1")
-def str_05(spark, sf_dir):
-    """Each user and type of a stream once."""
-    out = scratch.folder(spark, "seen")
-    jobs.collect(jobs.first_seen(_event_stream(spark, sf_dir).select("event_type", "user_id", "ts"), ["event_type", "user_id"], "ts", "3650 days"), out, scratch.folder(spark, "offsets"))
-    return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("str_03", "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def str_03(spark, sf_dir):
     """Daily loads by type from the stream, equal to the batch result."""
@@ -266,10 +258,3 @@ def str_03(spark, sf_dir):
 
     _event_stream(spark, sf_dir).writeStream.foreachBatch(put).option("checkpointLocation", scratch.folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy("start", "event_type").agg(F.sum("n").alias("n"))
-
-
-@query("str_06", f"select count(*) as quarters from {_ENDS} where t >= (select min(availability_date) from {EDGES} where availability_date >= date '1996-05-05')")
-def str_06(spark, sf_dir):
-    """Quarter ends that a late batch can change."""
-    ends = table(spark, sf_dir, "region").limit(1).select(F.explode(fn.period_ends(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date"), 3)).alias("t"))
-    return jobs.touched_quarters(views.edges(spark, sf_dir).filter("availability_date >= date '1996-05-05'"), ends).agg(F.count(F.lit(1)).alias("quarters"))

@@ -61,13 +61,19 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count(F.lit(1)).alias("volume"))
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarterly balance sheets of suppliers, in long form: (entity, year, period, concept, value)."""
+def statements_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly balance sheets of suppliers, a column for each concept."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     price, k = F.col("l_extendedprice"), F.col("l_suppkey")
     rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", F.year("o_orderdate").alias("fiscal_year"), F.concat(F.lit("Q"), F.quarter("o_orderdate")).alias("fiscal_period"))
     wide = rows.agg(F.sum(price).alias("assets"), F.sum(price * (1 - F.col("l_discount"))).alias("liabilities"), F.sum(price * F.col("l_discount")).alias("e"), F.sum(F.when(F.col("l_linestatus") == "O", price)).alias("assets_current"), F.sum(F.when(F.col("l_linestatus") == "F", price * (1 + F.col("l_tax")))).alias("liabilities_current"))
     wide = wide.withColumn("equity", F.col("e") * F.when(k % 10 == 0, 1.5).otherwise(1.0)).withColumn("liabilities_and_equity", F.col("assets") * F.when(k % 25 == 0, 1.02).otherwise(1.0))
+    return wide
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly balance sheets of suppliers, in long form: (entity, year, period, concept, value)."""
+    wide = statements_wide(spark, sf_dir)
     names = {"assets": "Assets", "liabilities": "Liabilities", "equity": "StockholdersEquity", "liabilities_and_equity": "LiabilitiesAndStockholdersEquity", "assets_current": "AssetsCurrent", "liabilities_current": "LiabilitiesCurrent"}
     pairs = F.explode(F.array(*(F.struct(F.lit(f"us-gaap:{c}").alias("concept"), F.col(n).alias("value")) for n, c in names.items()))).alias("p")
     return wide.select("l_suppkey", "fiscal_year", "fiscal_period", pairs).select("l_suppkey", "fiscal_year", "fiscal_period", "p.concept", "p.value").filter("value is not null")

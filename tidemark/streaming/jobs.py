@@ -46,21 +46,3 @@ def daily_status(filings: DataFrame) -> DataFrame:
     """(day, filings, amendments, superseded) of swept filings."""
     count = lambda c: F.sum(c.cast("long"))
     return filings.groupBy(F.col("availability_date").alias("day")).agg(F.count(F.lit(1)).alias("filings"), count(F.col("amended")).alias("amendments"), count(~F.col("amended") & F.col("restated_at").isNotNull()).alias("superseded"))
-
-
-def first_seen(stream: DataFrame, keys: Sequence[str], at: str, lateness: str) -> DataFrame:
-    """Each key once, the first to come within the watermark; `merge_into` keeps the last instead."""
-    return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark(list(keys))
-
-
-def collect(stream: DataFrame, out: str, checkpoint: str, mode: str = "append"):
-    """Write a stream's results as Parquet until all that has landed is processed."""
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
-
-
-def touched_quarters(batch: DataFrame, quarters: DataFrame) -> DataFrame:
-    """Quarter ends (t) that late rows can change: those from the earliest availability of the batch on."""
-    earliest = batch.agg(F.min("availability_date").alias("__from"))
-    return quarters.crossJoin(F.broadcast(earliest)).filter("t >= __from").select("t")  # one row on the right
