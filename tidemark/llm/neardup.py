@@ -169,7 +169,8 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 
 def _links(overlaps: DataFrame, percent: int) -> DataFrame:
-    return overlaps.filter(f"both > 0 and 100 * both >= {percent} * (x_n + y_n - both)").select("a", "b")
+    common, x, y = (F.col(c).cast("bigint") for c in ("both", "x_n", "y_n"))  # a hundred times a large set needs more than 32 bits
+    return overlaps.filter((common > 0) & (100 * common >= percent * (x + y - common))).select("a", "b")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -190,6 +191,7 @@ class _Block:
 
     def __init__(self, items: pa.StructArray):
         self.rep, self.n, self.component, self.pivot, self.whole = (items.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "component", "pivot", "whole"))
+        self.n = self.n.astype(np.int64)
         rows = len(self.rep)
         self.short = np.frombuffer(b"".join(items.field("short").to_pylist()), np.uint8).reshape(rows, -1)
         self.keys = np.array(items.field("keys").flatten()).reshape(rows, -1) if rows else np.zeros((0, 0), np.int64)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 
 def fold(doc_id: str, folds: int) -> Column:
     """The fold of a document: crc32 of the id as text, modulo the number of folds."""
@@ -27,6 +29,12 @@ def sampled(docs: DataFrame, picked: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(picked), "doc_id")
 
 
-def texts_of(docs: DataFrame, picked: DataFrame) -> list:
-    """`sampled` on the driver, in order of doc_id: as many whole texts as the sample has rows."""
-    return sorted(sampled(docs, picked.dropDuplicates(["doc_id"])).collect(), key=lambda r: r.doc_id)
+def texts_of(docs: DataFrame, picked: DataFrame, seed: int, most_bytes: int) -> list:
+    """`sampled` on the driver, in order of doc_id: the texts whose ids hash lowest, until they have `most_bytes` bytes together.
+
+    Both bounds, of rows (those of `picked`) and of bytes, hold whatever the texts are: the sums are over the sample's rows alone."""
+    rows = stored(sampled(docs, picked.dropDuplicates(["doc_id"])), "sample")
+    upto = Window.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("doc_id", F.octet_length("text").cast("long").alias("n")).withColumn("total", F.sum("n").over(upto))
+    kept = rows.join(F.broadcast(sizes.filter(F.col("total") <= most_bytes).select("doc_id")), "doc_id")
+    return sorted(kept.collect(), key=lambda r: r.doc_id)

@@ -2,9 +2,9 @@
 
 Rules name a host (and its subdomains) and a path prefix, and allow or block; the longest fitting rule decides.
 URLs that lead to each other by a redirect or a canonical link are aliases: they form the connected components of a
-graph whose edges are logged redirects, canonical links, meta refreshes, and the redirects by which servers answer other
-spellings of a URL (from each URL to a form of its own).  A URL without a rule is blocked if an alias of it is blocked
-by rule; a URL that a rule allows stays allowed whatever its aliases are.
+graph whose edges are logged redirects, canonical links and meta refreshes; on demand also those between spellings of a URL
+that servers often redirect to one form, which no page states.  A URL without a rule is blocked if an alias of it is
+blocked by rule; a URL that a rule allows stays allowed whatever its aliases are.
 """
 
 from __future__ import annotations
@@ -93,10 +93,11 @@ def form_edges(urls: DataFrame) -> DataFrame:
     return urls.distinct().filter(host_of(F.col("url")) != "").select(F.col("url").alias("src"), F.concat(F.lit("\x01"), spelling(F.col("url"))).alias("dst"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, spellings: bool = False) -> DataFrame:
     """Add `host`, `path`, `rule`, `verdict` and `alias` (what the URL's aliases share) to pages (page_id, url, html).
 
-    `redirects` (src, dst) are further pairs of URLs, as a crawler logs them.  Null URLs and those without `://` have
+    `redirects` (src, dst) are further pairs of URLs, as a crawler logs them; with `spellings`, URLs that differ as `spelling`
+    says count as redirected to one form.  Null URLs and those without `://` have
     no host and fit no rule, and a null URL has no alias.  URLs that are only linked to are judged like pages when
     decisions spread.  Repeated pages are judged alike; columns of the names added are replaced; empty tables give
     empty results.
@@ -111,7 +112,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFr
         links = links.unionByName(redirects.select(F.col(redirects.columns[0]).alias("src"), F.col(redirects.columns[1]).alias("dst")).dropna())
     links = stored(links, "links")
     ends = stored(links.select(F.col("src").alias("url")).union(links.select("dst")).distinct(), "ends")
-    edges = links.unionByName(form_edges(pages.select("url").union(ends)))
+    edges = links.unionByName(form_edges(pages.select("url").union(ends))) if spellings else links
     groups = stored(components(edges), "groups")
     blocked = judged.filter(f"`{found}`.verdict = 'block'").select(node)
     outside = ends.filter(fitting_rule(host_of(url), path_of(url), rules)["verdict"] == "block").select(url.alias(node))
@@ -138,21 +139,26 @@ def oracle_sql() -> str:
         order = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
         return "case " + " ".join(f"when ({h} = '{n}' or {h} like '%.{n}') and starts_with({p}, '{x}') then '{(n + x, v)[what]}'" for n, x, v in order) + " end"
 
-    def node(u: str) -> str:
-        query = f"list_sort(list_filter(string_split(regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1, 's'), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_\\w*|ref|gclid|fbclid)(=|$)')))"
-        bare = f"regexp_replace({host(u)}, '^(www|m)\\.', '') || regexp_replace(regexp_replace({path(u)}, '/index\\.html?$', '/'), '(\\.html?|/+)$', '')"
-        return f"case when {host(u)} = '' then {u} else {bare} || case when len({query}) = 0 then '' else '?' || array_to_string({query}, '&') end end"
+    def without_dots(p: str) -> str:
+        parts = f"string_split(regexp_replace(regexp_replace({p}, '(/\\.\\.?)$', '\\1/'), '^/', ''), '/')"
+        step = "lambda a, x: case when x = '.' then a when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end"
+        return f"case when regexp_matches({p}, '/\\.\\.?(/|$)') then list_reduce({parts}, {step}, '') else {p} end"
 
     tag = lambda name, mark: f"list_filter(regexp_extract_all(html, '(<{name}\\b[^>]*>)', 1, 'is'), lambda t: regexp_matches(t, '{mark}', 'i'))"
     quote = "[\"'']?"
     canonical = f"list_transform({tag('link', f'\\brel\\s*=\\s*{quote}canonical\\b')}, lambda t: regexp_extract(t, '\\bhref\\s*=\\s*{quote}([^\"''\\s>]+)', 1, 'is'))"
     moved = f"list_transform({tag('meta', f'\\bhttp-equiv\\s*=\\s*{quote}refresh\\b')}, lambda t: regexp_extract(t, '\\bcontent\\s*=\\s*{quote}\\s*\\d+\\s*;\\s*url\\s*=\\s*''?([^\"''\\s>]+)', 1, 'is'))"
     scheme = "regexp_extract(url, '^(.*?)://', 1, 's')"
-    return f"""with recursive page as (select page_id, url, html, {host('url')} h, {path('url')} p, {node('url')} n from pages),
+    return f"""with recursive page as (select page_id, url, html, {host('url')} h, {path('url')} p, url n from pages),
         judged as (select *, {found('h', 'p', 0)} rule, {found('h', 'p', 1)} verdict from page),
         target as (select url, n, unnest(list_concat(coalesce({canonical}, []), coalesce({moved}, []))) t from page where url is not null),
-        whole as (select n, case when regexp_matches(t, '^[a-z][a-z0-9+.-]*://', 'i') then t when starts_with(t, '//') then {scheme} || ':' || t when starts_with(t, '/') then {scheme} || '://' || {host('url')} || t end t from target),
-        edge as (select n a, {node('t')} b, {found(host('t'), path('t'), 1)} v from whole where t is not null),
+        plain as (select url, n, regexp_replace(t, '&amp;', '&', 'gi') t, {scheme} || '://' || {host('url')} root, {path('url')} own from target),
+        cut as (select *, regexp_extract(t, '^([^?#]*)', 1, 's') path, regexp_extract(t, '^[^?#]*(.*)$', 1, 's') rest,
+            '/' || regexp_replace(own, '^/|[^/]*$', '', 'g') folder, {host('url')} <> '' and t <> '' and not regexp_matches(t, '^[a-z][a-z0-9+.-]*:', 'i') inside from plain),
+        whole as (select n, case when regexp_matches(t, '^[a-z][a-z0-9+.-]*://', 'i') then t when starts_with(t, '//') then {scheme} || ':' || t
+            when starts_with(t, '/') then root || {without_dots('path')} || rest when inside and starts_with(t, '?') then root || own || t
+            when inside and starts_with(t, '#') then regexp_replace(url, '#.*$', '', 's') || t when inside then root || {without_dots('(folder || path)')} || rest end t from cut),
+        edge as (select n a, t b, {found(host('t'), path('t'), 1)} v from whole where t is not null),
         both_ways as (select a, b from edge union select b, a from edge),
         bad as (select n from judged where verdict = 'block' union select b from edge where v = 'block'),
         reach as (select n from bad union select b from reach join both_ways on n = a)
