@@ -15,6 +15,8 @@ from tidemark.llm.common import discard, stored
 
 #: A key of more than HOT_ROWS rows, and of more than one row in HOT_KEYS of its table, is hot: there are HOT_KEYS of them at most.
 HOT_ROWS, HOT_KEYS = 256, 4096
+#: Rows of a table that one task can join, whatever its keys: up to here hot keys need no plan of their own.
+FEW_ROWS = 200_000
 
 
 def _hot(counts: DataFrame, key: str, rows: int) -> DataFrame:
@@ -26,8 +28,12 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, counts: DataFrame |
     """Left join of `big`, in which a key may hold any share of the rows, with `small`, in which it is unique.
 
     What `small` has of hot keys is broadcast, so their rows stay where they are; the rest is shuffled.  `counts` (key, c)
-    are the rows of each key in `big` or more, `rows` those of `big`."""
-    hot = _hot(big.groupBy(key).agg(F.count(F.lit(1)).alias("c")) if counts is None else counts, key, big.count() if rows is None else rows)
+    are the rows of each key in `big` or more, `rows` those of `big`.  A table of FEW_ROWS rows is joined as it is: a search
+    for components is many rounds, and the plans of all of them are held by the driver."""
+    rows = big.count() if rows is None else rows
+    if rows <= FEW_ROWS:
+        return big.join(small, key, "left")
+    hot = _hot(big.groupBy(key).agg(F.count(F.lit(1)).alias("c")) if counts is None else counts, key, rows)
     at_hot = big.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key, "left")
     return at_hot.unionByName(big.join(hot, key, "left_anti").join(small, key, "left"))
 
