@@ -273,3 +273,15 @@ def test_crops_keep_their_labels_and_the_sample_is_bounded(spark):
     rows = samples.texts_of(docs, picked, 3, 20_000)
     assert 1 <= len(rows) <= 20 and sum(len(x.text) for x in rows) <= 20_000
     assert len(samples.texts_of(docs, picked, 3, 1 << 20)) == 51
+
+
+def test_components_with_hot_nodes_apart(spark, monkeypatch):
+    """The plan that keeps hot keys apart gives what the plain join gives."""
+    from tidemark.llm import graph
+
+    r = random.Random(4)
+    edges = [(0, i) for i in range(1, 400)] + [(r.randrange(400, 900), r.randrange(400, 900)) for _ in range(300)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    plain = {x.node: x.component for x in graph.components(df).collect()}
+    monkeypatch.setattr(graph, "FEW_ROWS", 0)
+    assert {x.node: x.component for x in graph.components(df).collect()} == plain and plain[399] == 0
