@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import order
 from tidemark.sources.scratch import stored
 
 
@@ -172,5 +173,5 @@ def build_spine(entities: DataFrame, times: DataFrame, horizons: Sequence[int])
 
 
 def shuffled(df: DataFrame, seed: int, *columns: str) -> DataFrame:
-    """A random order that depends on the seed and the rows alone, not on partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *columns), *columns)
+    """A random order that depends on the seed and the rows alone, not on partitions; `order.places` has it without the sort."""
+    return order.places(df, seed, *columns).orderBy("place").drop("place")

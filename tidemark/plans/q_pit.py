@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators import pit
+from tidemark.operators import order, pit
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.plans.views import CHAINED, FACT_KEYS, FACTS, table
@@ -184,10 +184,10 @@ def jn_07(spark, sf_dir):
     return pit.supersede(x.filter("not amended"), x.filter("amended"), ["insider", "period"]).select("insider", "period", "accession", "l_linenumber", "availability_date", "shares", "restated_at")
 
 
-@query("top_06", f"select entity_id, t from {_SPINE}")
+@query("top_06", order.places_sql(_SPINE, 7, ["entity_id", "t"]))
 def top_06(spark, sf_dir):
-    """The spine in a seeded order."""
-    return pit.shuffled(_spine(spark, sf_dir), 7, "entity_id", "t")
+    """The spine with each row's place in a seeded order."""
+    return order.places(_spine(spark, sf_dir), 7, "entity_id", "t")
 
 
 @query("flt_13", _winner(CHAINED, "restated_at is null"))
