@@ -151,21 +151,6 @@ def test_chunks_by_the_rule():
         assert text.chunks(whole) == [c for c in want if c]
 
 
-def test_nearest_earlier_against_all_pairs(spark):
-    import numpy as np
-
-    from tidemark.operators import features
-
-    x = np.random.default_rng(4).normal(size=(300, 5)).round(1)
-    x[7] = 0
-    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)] + [(None, [1.0] * 5), (900, None)], "vec_id long, embedding array<float>").repartition(4)
-    got = {(r.q, r.place): r.vec_id for r in features.nearest_earlier(df.filter("vec_id % 50 = 0"), df, "vec_id", 3).collect()}
-    unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) > 0, np.linalg.norm(x, axis=1, keepdims=True), 1)
-    for q in range(50, 300, 50):
-        order = sorted((i for i in range(q) if i != 7), key=lambda i: (-round(float(unit[q] @ unit[i]), 12), i))[:3]
-        assert [got[q, p] for p in (1, 2, 3)] == order
-
-
 def test_chunks_cover_the_text():
     words = " ".join(f"w{i}" for i in range(4000))
     parts = text.chunks(words)
@@ -179,6 +164,12 @@ def test_plain_text():
     assert text.plain_text(None) == ""
 
 
+@pytest.mark.parametrize("tag", ["ix:header", "ix:hidden", "ix:resources", "ix:references", "ix:relationship", "script", "style", "noscript"])
+def test_hidden_containers_are_dropped(tag):
+    assert text.plain_text(f"<p>a</p><{tag}>b</{tag}><p>c <ix:nonFraction>4</ix:nonFraction></p>") == "a\n\nc 4"
+    assert text.plain_text(f"a <{tag}/>b") == "a b" if tag.startswith("ix:") else True
+
+
 def test_fuzzy_resolution(spark):
     reg = spark.createDataFrame([("e1", "Apple Computer Inc", "AAPL", 1), ("e2", "Microsoft Corp", "MSFT", 2)], "entity_id string, name string, ticker string, pos int")
     m = spark.createDataFrame([("APPLE COMPUTER",), ("Microsofte Corporation",), ("Nobody Knows",), ("",)], "name string")

@@ -66,46 +66,3 @@ def collapse_statistics(vectors: DataFrame, floor: float = 1.0, eps: float = 1e-
     hinge = F.greatest(F.lit(0.0), F.lit(floor) - F.sqrt(var + eps))
     diagonal = F.col("i") == F.col("j")
     return sums.agg(F.avg(F.when(diagonal, hinge)).alias("variance_hinge"), (F.sum(F.when(~diagonal, cov * cov)) / F.sum(F.when(diagonal, 1))).alias("covariance"))
-
-
-#: Queries and vectors of a block that meet in one call.
-QUERIES, VECTORS = 256, 4096
-
-
-def nearest_earlier(queries: DataFrame, vectors: DataFrame, key: str, k: int) -> DataFrame:
-    """(q, key, cosine, place): for each query its `k` nearest vectors with a smaller key, ties by key.
-
-    Both sides are cut into blocks; each pair of blocks meets once, in a map task, and gives `k` rows a query at most.  Null
-    vectors and those of length zero are no neighbours."""
-
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        def cut(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, size):
-                    part = batch.slice(at, size)
-                    items = pa.StructArray.from_arrays(part.columns, names=part.schema.names)
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)], names=[name])
-
-        rows = df.select(F.col(key).alias("id"), "embedding").filter("id is not null and embedding is not null")
-        return rows.mapInArrow(cut, f"{name} array<{rows.schema.simpleString()}>")
-
-    def read(items: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        x = items.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(items), -1)
-        size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return items.field("id").to_numpy(zero_copy_only=False), np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-
-    def run(batches):
-        for batch in batches:
-            for q, v in zip(batch.column("q"), batch.column("v"), strict=True):
-                (q_id, qs), (v_id, vs) = read(q.values), read(v.values)
-                rows = []
-                for i, c in zip(q_id, qs @ vs.T, strict=True):
-                    at = np.flatnonzero((v_id < i) & (vs != 0).any(axis=1))
-                    at = at[np.lexsort((v_id[at], -c[at]))[:k]]
-                    rows += [(int(i), int(v_id[j]), float(c[j])) for j in at]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["q", key, "cosine"])
-
-    met = blocks(queries, QUERIES, "q").crossJoin(blocks(vectors, VECTORS, "v").hint("shuffle_replicate_nl")).mapInArrow(run, f"q bigint, {key} bigint, cosine double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), key))
-    return met.withColumn("place", place).filter(F.col("place") <= k)

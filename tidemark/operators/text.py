@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as fn
 
 #: Tags at which a line ends, and tags whose content is no text.
-BLOCK_TAGS = ["p", "div", "br", "tr", "li", "ul", "ol", "table", "thead", "tbody", "tfoot", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "section", "article", "header", "footer", "blockquote", "pre", "dl", "dt", "dd", "title", "nav"]
-HIDDEN_TAGS = ["script", "style", "noscript", "ix:header", "ix:hidden"]
+BLOCK_TAGS = [
+    "p", "div", "br", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol",
+    "table", "header", "footer", "nav", "title", "blockquote",
+]
+HIDDEN_TAGS = ["script", "style", "noscript", "ix:header", "ix:hidden", "ix:resources", "ix:references", "ix:relationship"]
+#: Own additions: parts of tables, rules, definitions and preformatted text, which browsers put on lines of their own too.
+MORE_BLOCK_TAGS = ["thead", "tbody", "tfoot", "hr", "pre", "dl", "dt", "dd"]
+LINE_TAGS = frozenset(BLOCK_TAGS + MORE_BLOCK_TAGS)
 CHUNK_CHARS, OVERLAP_CHARS, LOOK_BACK = 4000, 800, 200
 
 #: Headings of a filing's items.
@@ -32,17 +38,17 @@ class _Text(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN_TAGS:
             self.hidden += 1
-        elif tag in BLOCK_TAGS:
+        elif tag in LINE_TAGS:
             self.parts.append("\n")
 
     def handle_startendtag(self, tag, attrs):
-        if tag in BLOCK_TAGS:
+        if tag in LINE_TAGS:
             self.parts.append("\n")
 
     def handle_endtag(self, tag):
         if tag in HIDDEN_TAGS:
             self.hidden = max(0, self.hidden - 1)
-        elif tag in BLOCK_TAGS:
+        elif tag in LINE_TAGS:
             self.parts.append("\n")
 
     def handle_data(self, data):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators import features, resolve, text
+from tidemark.operators import nearest, resolve, text
 from tidemark.plans import views
 from tidemark.plans.registry import query
 from tidemark.plans.views import EDGES, table
@@ -222,9 +222,9 @@ def opt_03(spark, sf_dir):
 def opt_06(spark, sf_dir):
     """Nearest earlier analogues of every hundredth vector, by cosine, against all.
 
-    Queries and vectors meet block against block in map tasks; each meeting keeps five a query."""
+    Pivots' angles rule out cells of vectors that cannot hold one of the five."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    near = features.nearest_earlier(v.filter("vec_id % 100 = 0"), v, "vec_id", 5)  # the stated query set
+    near = nearest.nearest_earlier(v.filter("vec_id % 100 = 0"), v, "vec_id", 5)  # the stated query set
     return near.select("q", "vec_id", F.round("cosine", 9).alias("cosine"), "place")
 
 
