@@ -186,11 +186,11 @@ def nearest_earlier(queries: DataFrame, vectors: DataFrame, key: str, k: int, cu
     pivots /= np.sqrt((pivots * pivots).sum(axis=1, keepdims=True))
     held, asking = _usable(vectors, key, size).filter(_nonzero()), _usable(queries, key, size)
     cells = _summary(held, pivots)
-    near = cut(_ask(asking, cells, k, rest=False))
+    near = _ask(asking, cells, k, rest=False)  # short maps over the queries, cheaper made again than stored
     seeds = cut(_best(_meet(near, held, cells, k), k))
     reach = seeds.filter(F.col("place") == k).select(F.col("q").alias("id"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cosine")))).alias("reach"))
     bounded = asking.join(reach, "id", "left").fillna(4.0, ["reach"])  # no angle is that wide
-    far = cut(_ask(bounded, cells, k, rest=True))
+    far = _ask(bounded, cells, k, rest=True)
     best = _best(seeds.drop("place").unionByName(_meet(far, held, cells, k)), k)
     met = near.unionByName(far).groupBy("q").agg(F.sum("n").alias("compared"))
     return best.join(met, "q").select("q", F.col("id").alias(key), "cosine", "place", "compared")
