@@ -6,12 +6,12 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality
+from tidemark.operators import graph_log, quality
 from tidemark.plans import views
 from tidemark.plans.q_pit import _winner
 from tidemark.plans.q_text import _event_stream
 from tidemark.plans.registry import query
-from tidemark.plans.views import FACT_KEYS, FACTS, STATEMENTS, table
+from tidemark.plans.views import EDGES, FACT_KEYS, FACTS, STATEMENTS, table
 from tidemark.sources import manifest, scratch, schemas, tables
 from tidemark.streaming import derived, newest
 
@@ -102,3 +102,23 @@ def opt_01_ratios(spark, sf_dir):
     filings = s.select(industry.alias("industry"), tags.alias("policy_tags"), financials.alias("financials"))
     checked = quality.check_ratios(filings, _RATIOS)
     return checked.groupBy("constraint", "rule").agg(F.count("*").alias("checks"), F.sum(F.col("violated").cast("long")).alias("violations"))
+
+
+_QUARTERS = [datetime.date(1996, 3, 31), datetime.date(1996, 6, 30), datetime.date(1996, 9, 30), datetime.date(1996, 12, 31)]
+#: Every fifth relation ends 200 days after it is known.
+_ENDING = f"(select *, case when source_ref::bigint % 5 = 0 then availability_date + 200 end as restated_at from {EDGES})"
+
+
+@query("grf_04_log", f"""select strftime(t, '%Y%m%d')::int as quarter, entity_id, target_entity_id, relationship_type, availability_date, source_ref from (
+    select q.t, e.*, row_number() over (partition by q.t, entity_id, target_entity_id, relationship_type order by availability_date desc, source_ref desc) as place
+    from {_ENDING} e join (select unnest([date '1996-06-30', date '1996-12-31']) as t) q on availability_date <= q.t and (restated_at is null or restated_at > q.t)) where place = 1""")
+def grf_04_log(spark, sf_dir):
+    """Graphs of two quarters, read from a log to which four quarters each appended their changes; some relations end."""
+    ends = F.when(F.col("source_ref").cast("bigint") % 5 == 0, F.date_add("availability_date", 200))
+    relations, path = views.edges(spark, sf_dir).withColumn("restated_at", ends), scratch.folder(spark, "graph")
+    relations = scratch.stored(relations)
+    for since, t in zip([None, *_QUARTERS], _QUARTERS, strict=False):
+        graph_log.append_quarter(relations, path, since, t)
+    columns = ["entity_id", "target_entity_id", "relationship_type", "availability_date", "source_ref"]
+    graphs = [graph_log.snapshot(spark, path, t).select(F.lit(int(f"{t:%Y%m%d}")).alias("quarter"), *columns) for t in _QUARTERS[1::2]]
+    return graphs[0].unionByName(graphs[1])
