@@ -129,34 +129,57 @@ def test_items_of_texts_with_marks_and_nulls(spark):
     assert sorted((r.item_id, r.item_title, r.text) for r in text.items(df, "k").collect()) == [("1", "A\x00b", "body \x00\x01\x03 here"), ("2", "C", "rest")]
 
 
-def test_chunks_by_the_rule():
+def chunked(spark, texts):
+    """The chunks of each text, in order, as the operator gives them."""
+    rows = text.chunk_rows(spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(2), ["k"]).collect()
+    out = [[] for _ in texts]
+    for r in sorted(rows, key=lambda r: (r.k, r.chunk_idx)):
+        assert r.chunk_idx == len(out[r.k]) and r.n_chars == len(r.text)
+        out[r.k].append(r.text)
+    assert all(r.n_chunks_in_item == len(out[r.k]) for r in rows)
+    return out
+
+
+def by_the_rule(whole):
+    """The rule, character by character."""
+    want, at, n = [], 0, len(whole or "")
+    while at < n:
+        end = at + 4000
+        if n <= 4000:
+            return [whole]
+        if end < n:
+            spaces = [i for i in range(at + 3800, end) if whole[i] == " "]
+            end = spaces[-1] if spaces else end
+        want.append(whole[at : min(end, n)].strip())
+        if end >= n:
+            break
+        at = max(end - 800, at + 1)
+    return [c for c in want if c]
+
+
+def test_chunks_by_the_rule(spark):
     import random
 
     r = random.Random(8)
-    for n in (0, 1, 3999, 4000, 4001, 9000, 20_000):
-        whole = "".join(r.choices("abcdefgh ", k=n)) if n != 9000 else "x" * n
-        want, at = [], 0
-        while at < n:
-            end = at + 4000
-            if n <= 4000:
-                want.append(whole)
-                break
-            if end < n:
-                spaces = [i for i in range(at + 3800, end) if whole[i] == " "]
-                end = spaces[-1] if spaces else end
-            want.append(whole[at : min(end, n)].strip())
-            if end >= n:
-                break
-            at = max(end - 800, at + 1)
-        assert text.chunks(whole) == [c for c in want if c]
-
-
-def test_chunks_cover_the_text():
+    texts = ["".join(r.choices("abcdefgh ", k=n)) for n in (0, 1, 3999, 4000, 4001, 7999, 8000, 8001, 20_000, 300_000)]
+    texts += ["x" * 9000, " " * 9000, "\n\u2003" * 30, "\n\u2003\x1c" * 4000, None, "a" * 3800 + " " + "b" * 3000, "a" * 3999 + " " + "b" * 3000]
+    texts += ["".join(r.choices("aé漢😀 \n\t\u00a0\u3000\x85", weights=[9, 9, 9, 9, 1, 1, 1, 1, 1, 1], k=n)) for n in (3999, 4001, 12_345, 50_000)]
+    texts += ["".join(r.choices(["word", "  ", "\r\n", "😀" * 50, "z" * 900], weights=[9, 5, 2, 2, 1], k=k)) for k in (50, 400, 2000)]
+    assert chunked(spark, texts) == list(map(by_the_rule, texts))
+
+
+def test_chunks_cover_the_text(spark):
     words = " ".join(f"w{i}" for i in range(4000))
-    parts = text.chunks(words)
+    parts, none, null = chunked(spark, [words, "", None])
     assert all(len(p) <= text.CHUNK_CHARS for p in parts)
     assert set(" ".join(parts).split()) >= {"w0", "w3999", "w2000"}
-    assert text.chunks("") == [] and text.chunks(None) == []
+    assert none == [] and null == []
+
+
+def test_chunks_stay_in_the_jvm_and_are_walked_once(spark):
+    rows = text.chunk_rows(spark.createDataFrame([(1, "a")], "k int, text string"), ["k"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and plan.count("aggregate(sequence(") == 1, plan
 
 
 def test_plain_text():

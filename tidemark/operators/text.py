@@ -23,6 +23,8 @@ HIDDEN_TAGS = ["script", "style", "noscript", "ix:header", "ix:hidden", "ix:reso
 MORE_BLOCK_TAGS = ["thead", "tbody", "tfoot", "hr", "pre", "dl", "dt", "dd"]
 LINE_TAGS = frozenset(BLOCK_TAGS + MORE_BLOCK_TAGS)
 CHUNK_CHARS, OVERLAP_CHARS, LOOK_BACK = 4000, 800, 200
+#: Characters that chunks do not begin or end with: all that count as white space.
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 #: Headings of a filing's items.
 ITEM = r"(?im)^[^\S\n]*item\s+(\d{1,2}[A-Z]?)\.?\s+([^\n]{0,160})"
@@ -66,22 +68,6 @@ def plain_text(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", text)).strip()
 
 
-def chunks(text: str | None) -> list[str]:
-    """Overlapping pieces of at most CHUNK_CHARS, cut at the last space of their final LOOK_BACK characters if there is one."""
-    out, at, n = [], 0, len(text or "")
-    if n <= CHUNK_CHARS:
-        return [text] if text else []
-    while True:
-        end = min(at + CHUNK_CHARS, n)
-        if end < n:
-            space = text.rfind(" ", at + CHUNK_CHARS - LOOK_BACK, end)
-            end = space if space > at else end
-        out.append(text[at:end].strip())
-        if end >= n:
-            return [c for c in out if c]
-        at = max(end - OVERLAP_CHARS, at + 1)
-
-
 def html_to_text(html: Column) -> Column:
     """`plain_text` of a column, batch by batch."""
 
@@ -92,12 +78,38 @@ def html_to_text(html: Column) -> Column:
 
 
 def chunk_text(text: Column) -> Column:
-    """`chunks` of a column, batch by batch: where a chunk ends depends on where the one before it did."""
+    """Overlapping pieces of at most CHUNK_CHARS, cut at the last space of their final LOOK_BACK characters if there is one.
 
-    def convert(batch: pd.Series) -> pd.Series:
-        return batch.map(chunks)
+    A fold walks from chunk to chunk, since where one ends decides where the next begins.  It reads the text through pieces of
+    CHUNK_CHARS characters, so the work grows with the length.  Texts of one chunk stay as they are; chunks of longer ones lose
+    white space at both ends, and what is empty then goes.  A null or empty text has no chunks."""
+
+    def part(whole: Column, at: Column, length: Column | int) -> Column:
+        """At most CHUNK_CHARS characters of the text from a place on: they lie in two neighbouring pieces."""
+        i = F.floor(at / CHUNK_CHARS).cast("int")
+        two = F.concat(F.get(whole["pieces"], i), F.coalesce(F.get(whole["pieces"], i + 1), F.lit("")))
+        return F.substring(two, at - i * CHUNK_CHARS + 1, F.lit(length) if isinstance(length, int) else length)
+
+    def span(whole: Column, at: Column) -> Column:
+        tail = part(whole, at + (CHUNK_CHARS - LOOK_BACK), LOOK_BACK)
+        end = F.when(at + CHUNK_CHARS >= whole["n"], whole["n"]).otherwise(at + CHUNK_CHARS - F.instr(F.reverse(tail), F.lit(" ")))
+        return F.struct(at.cast("int").alias("start"), end.cast("int").alias("stop"))
+
+    def following(whole: Column, spans: Column) -> Column:
+        last = F.element_at(spans, -1)
+        return F.when(last["stop"] >= whole["n"], spans).otherwise(F.concat(spans, F.array(span(whole, last["stop"] - OVERLAP_CHARS))))
+
+    def cut(whole: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.ceil(whole["n"] / (CHUNK_CHARS - LOOK_BACK - OVERLAP_CHARS)).cast("int"))
+        spans = F.aggregate(steps, F.array(span(whole, F.lit(0))), lambda acc, _: following(whole, acc))
+        parts = F.transform(spans, lambda s: F.btrim(part(whole, s["start"], s["stop"] - s["start"]), F.lit(WHITE_SPACE)))
+        return F.filter(parts, lambda c: c != "")
 
-    return F.pandas_udf(convert, "array<string>")(text)
+    n = F.length(text)  # counts characters, so it is taken once a text, beside the pieces, and not at every step
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), F.lit(0))
+    long = F.get(F.transform(F.array(F.struct(pieces.alias("pieces"), n.alias("n"))), cut), F.lit(0))
+    none = F.array().cast("array<string>")
+    return F.when(n > CHUNK_CHARS, long).when(n > 0, F.array(text)).otherwise(none)
 
 
 def items(docs: DataFrame, key: str, pattern: str = ITEM) -> DataFrame:
@@ -117,7 +129,9 @@ def items(docs: DataFrame, key: str, pattern: str = ITEM) -> DataFrame:
 
 def chunk_rows(docs: DataFrame, by: list[str]) -> DataFrame:
     """(*by, text) to one row for each chunk: index, number of chunks, characters, approximate tokens."""
-    rows = docs.select(*by, chunk_text(F.col("text")).alias("c")).select(*by, F.size("c").alias("n_chunks_in_item"), F.posexplode("c").alias("chunk_idx", "text"))
+    pieces = docs.filter(F.col("text") != "").select(*by, chunk_text(F.col("text")).alias("c"))
+    # the outer form, since the plain one lets the planner filter by the chunks before it makes them, and so make them thrice
+    rows = pieces.select(*by, F.size("c").alias("n_chunks_in_item"), F.posexplode_outer("c").alias("chunk_idx", "text")).filter("text is not null")
     return rows.withColumns({"n_chars": F.length("text"), "n_tokens_approx": fn.approx_tokens(F.col("text"))})
 
 
