@@ -132,6 +132,11 @@ def signed_exp(value: Column) -> Column:
     return F.signum(value) * F.expm1(F.abs(value) * 30)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a over b as floating-point numbers divide: infinite or NaN over zero (of either sign), where `/` raises."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
 def relative_delta(now: Column, prior: Column) -> Column:
     """Change over the prior's size, or over 1 if that is larger."""
     return (now - prior) / F.greatest(F.abs(prior), F.lit(1.0))

@@ -305,7 +305,7 @@ def opt_05_periods(spark, sf_dir):
     """Weekly and quarterly bars, each with the change from the one before."""
     rolled = [quality.roll_up(views.bars(spark, sf_dir), "user_id", u).withColumn("period", F.lit(u)) for u in ("week", "quarter")]
     before = F.lag("close").over(Window.partitionBy("period", "user_id").orderBy("start"))
-    return rolled[0].union(rolled[1]).withColumn("change", F.round(F.col("close") / before - 1, 9)).select("period", "user_id", "start", "open", "high", "low", "close", "volume", "change")
+    return rolled[0].union(rolled[1]).withColumn("change", F.round(fn.ratio(F.col("close"), before) - 1, 9)).select("period", "user_id", "start", "open", "high", "low", "close", "volume", "change")
 
 
 @query("opt_05_volatility", f"select user_id, count(r) as returns, round(stddev_samp(r), 9) as volatility from (select user_id, close / lag(close) over (partition by user_id order by day) - 1 r from {BARS}) group by 1")
