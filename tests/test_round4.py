@@ -25,7 +25,7 @@ def zero_events(spark, data, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["opt_05_periods"])
+@pytest.mark.parametrize("name", ["opt_05_periods", "opt_05_volatility"])
 def test_returns_over_a_close_of_zero(spark, zero_events, name):
     got = catalog.queries()[name](spark, f"file://{zero_events}")
     with duckdb.connect() as c:

@@ -311,7 +311,7 @@ def opt_05_periods(spark, sf_dir):
 @query("opt_05_volatility", f"select user_id, count(r) as returns, round(stddev_samp(r), 9) as volatility from (select user_id, close / lag(close) over (partition by user_id order by day) - 1 r from {BARS}) group by 1")
 def opt_05_volatility(spark, sf_dir):
     """Volatility of each series' daily returns."""
-    r = F.col("close") / F.lag("close").over(Window.partitionBy("user_id").orderBy("day")) - 1
+    r = fn.ratio(F.col("close"), F.lag("close").over(Window.partitionBy("user_id").orderBy("day"))) - 1
     return views.bars(spark, sf_dir).select("user_id", r.alias("r")).groupBy("user_id").agg(F.count("r").alias("returns"), F.round(F.stddev_samp("r"), 9).alias("volatility"))
 
 
