@@ -1,52 +1,28 @@
-"""Newest-wins deduplication of a stream, in state that timers clear."""
+"""Newest-wins deduplication of a stream, in state that the watermark clears."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.sources import tables
 
 
 def newest_wins(stream: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], lateness: str) -> DataFrame:
-    """The rows that become the newest of their key, by `at` and then `order` (numbers or texts, nulls first).
+    """The newest rows of keys, by `at` and then `order` (null and NaN lowest), whenever they change.
 
-    A row that is newer than what its key has had wins whenever it comes; an older one is dropped, and so is any row behind
-    the watermark.  A key's state holds its newest order alone, and a timer drops it once the watermark has passed its last
-    row by `lateness`: no row that could lose to it can still come.  Written in update mode, the last row of each key is
-    the winner (`keep_newest`)."""
-    watched = stream.withWatermark(at, lateness)
+    Time is cut into windows as long as `lateness`, and a key's state in a window is its newest row alone.  A window's state
+    goes once the watermark has passed its end: rows of closed windows are dropped, and those of open ones still count.
+    Written in update mode, the newest row of each key in the log is the winner (`keep_newest`, `read_newest`)."""
     columns = list(stream.columns)
-    state = T.StructType([T.StructField("at", T.LongType()), *(T.StructField(f"o{i}", T.StringType() if stream.schema[c].dataType == T.StringType() else T.DoubleType()) for i, c in enumerate(order))])
-    slack = int(pd.Timedelta(lateness) / pd.Timedelta(milliseconds=1))
-
-    def rank(values: Sequence) -> tuple:
-        return tuple((False, "") if v is None or v != v else (True, v) for v in values)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        best, winner = (tuple(held.get) if held.exists else None), None
-        for frame in frames:
-            rows = frame.dropna(subset=[at])
-            for i, values in enumerate(zip(rows[at].astype("datetime64[us]").astype("int64"), *(rows[c] for c in order), strict=True)):
-                values = tuple(v if isinstance(v, str) or v is None else (int(v) if j == 0 else float(v)) for j, v in enumerate(values))
-                if best is None or rank(values) > rank(best):
-                    best, winner = values, rows.iloc[i : i + 1]
-        if best is not None:
-            held.update(best)
-            held.setTimeoutTimestamp(max(best[0] // 1000 + slack, held.getCurrentWatermarkMs() + 1))
-        if winner is not None:
-            yield winner[columns]
-
-    grouped = watched.groupBy(*keys)
-    return grouped.applyInPandasWithState(step, stream.schema, state, "update", GroupStateTimeout.EventTimeTimeout)
+    floats = {c for c, t in stream.dtypes if t in ("float", "double")}
+    rank = F.struct(at, *(F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in order))
+    values = F.struct(*(c for c in columns if c not in keys))
+    watched = stream.filter(F.col(at).isNotNull()).withWatermark(at, lateness)
+    newest = watched.groupBy(F.window(at, lateness), *keys).agg(F.max_by(values, rank).alias("__r"))
+    return newest.select(*(F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in columns))
 
 
 def keep_newest(winners: DataFrame, path: str, checkpoint: str, keys: Sequence[str]):
@@ -65,5 +41,7 @@ def read_newest(spark, path: str, keys: Sequence[str], at: str, order: Sequence[
     """The winner of each key of such a log."""
     log = spark.read.option("basePath", path).parquet(path)
     values = [c for c in log.columns if c not in ("batch", "bucket", "entity_id", *keys)]
-    newest = F.max_by(F.struct(*values), F.struct(at, *order, "batch"))
+    floats = {c for c, t in log.dtypes if t in ("float", "double")}
+    rank = [F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in order]
+    newest = F.max_by(F.struct(*values), F.struct(at, *rank, "batch"))
     return log.groupBy(*keys).agg(newest.alias("__r")).select(*keys, "__r.*")
