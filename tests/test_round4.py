@@ -56,3 +56,10 @@ def test_newest_wins_is_a_native_aggregate(spark, tmp_path):
     assert "Pandas" not in winners._jdf.queryExecution().analyzed().toString()
     newest.keep_newest(winners, out, offsets, ["k"])
     assert {r.k: r.v for r in newest.read_newest(spark, out, ["k"], "ts", ["n"]).collect()} == {"a": "one", "b": "null"}
+
+
+def test_segments_are_split_once(spark):
+    """The pairs are bound, not made again by each expression that names them, and the last of equal keys still wins."""
+    frame = spark.createDataFrame([("B=x;A=1;B=y;B=z; A =2;C;D=",), ("a=1",), ("",), (None,), ("x;y",)], "s string").select(fn.segments_json(F.col("s")).alias("j"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r.j for r in frame.collect()] == ['{"A":"2","B":"z","D":""}', '{"a":"1"}', "", "", ""]

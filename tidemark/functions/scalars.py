@@ -33,9 +33,16 @@ def unresolved(name: Column, length: int = 50) -> Column:
 def segments_json(segments: Column) -> Column:
     """`A=x;B=y;` as JSON with sorted keys, the last of equal keys; empty for none."""
     pairs = F.filter(F.split(F.coalesce(segments, F.lit("")), ";"), lambda p: F.contains(p, F.lit("=")))
-    parts = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("value")))
-    last = F.filter(parts, lambda p, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda q: q["key"] == p["key"]))
-    return F.when(F.size(last) == 0, F.lit("")).otherwise(F.to_json(F.map_from_entries(F.array_sort(last))))
+    # sorted by key and place, so that the last of equal keys is the one before another key
+    part = lambda p, i: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), i.alias("at"), F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("value"))
+    ordered = F.sort_array(F.transform(pairs, part))
+
+    def text(found: Column) -> Column:
+        last = F.filter(found, lambda p, i: ~F.coalesce(F.get(found, i + 1)["key"] == p["key"], F.lit(False)))
+        return F.when(F.size(found) == 0, F.lit("")).otherwise(F.to_json(F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))))
+
+    # the pairs are bound once: an expression that names them several times would make them as often
+    return F.get(F.transform(F.array(ordered), text), F.lit(0))
 
 
 def concept_name(tag: Column, version: Column) -> Column:
