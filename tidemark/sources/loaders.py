@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,28 +104,107 @@ def of_filers(documents: DataFrame, keep: DataFrame) -> DataFrame:
     return documents.join(hit, "accession", "left_semi")
 
 
-_TXN = "array<struct<securityTitle:struct<value:string>,transactionDate:struct<value:string>,transactionCoding:struct<transactionCode:string>,transactionAmounts:struct<transactionShares:struct<value:double>,transactionPricePerShare:struct<value:double>,transactionAcquiredDisposedCode:struct<value:string>>,postTransactionAmounts:struct<sharesOwnedFollowingTransaction:struct<value:double>>,ownershipNature:struct<directOrIndirectOwnership:struct<value:string>>,conversionOrExercisePrice:struct<value:double>,expirationDate:struct<value:string>>>"
-OWNERSHIP = f"documentType string, periodOfReport string, issuer struct<issuerCik:string>, reportingOwner array<struct<reportingOwnerId:struct<rptOwnerCik:string,rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,isTenPercentOwner:string,officerTitle:string>>>, nonDerivativeTable struct<nonDerivativeTransaction:{_TXN}>, derivativeTable struct<derivativeTransaction:{_TXN}>"
+#: What is read of an ownership document: fields of the document, of its first owner, and of each transaction.
+_DOCUMENT = {"form": ("documentType",), "period_of_report": ("periodOfReport",), "issuer": ("issuer", "issuerCik")}
+_OWNER = {"owner": ("reportingOwnerId", "rptOwnerCik"), "insider_name": ("reportingOwnerId", "rptOwnerName")} | {n: ("reportingOwnerRelationship", t) for n, t in (("director", "isDirector"), ("officer", "isOfficer"), ("ten", "isTenPercentOwner"), ("officer_title", "officerTitle"))}
+_AMOUNTS = "transactionAmounts"
+_TXN = {
+    "security_title": ("securityTitle",), "day": ("transactionDate",), "transaction_code": ("transactionCoding", "transactionCode"), "shares": (_AMOUNTS, "transactionShares"), "price": (_AMOUNTS, "transactionPricePerShare"), "acquired_disposed": (_AMOUNTS, "transactionAcquiredDisposedCode"),
+    "post": ("postTransactionAmounts", "sharesOwnedFollowingTransaction"), "direct_or_indirect": ("ownershipNature", "directOrIndirectOwnership"), "exercise": ("conversionOrExercisePrice",), "expires": ("expirationDate",),
+}
+_TABLES = (("nonDerivativeTable", "nonDerivativeTransaction", False), ("derivativeTable", "derivativeTransaction", True))
+
+
+def _children(element) -> dict:
+    """Child elements by name, the last of equals, whatever their namespace."""
+    return {c.tag.rpartition("}")[2]: c for c in element} if element is not None else {}
+
+
+def _fields(element, paths: dict[str, tuple], wrapped: bool) -> list:
+    """Trimmed texts at paths below an element; transactions wrap all values but their code in `value`."""
+    known: dict = {"": _children(element)}
+    out = []
+    for path in paths.values():
+        if len(path) == 2 and path[0] not in known:
+            known[path[0]] = _children(known[""].get(path[0]))
+        found = known[path[0] if len(path) == 2 else ""].get(path[-1])
+        if wrapped and path[-1] != "transactionCode" and found is not None:
+            found = _children(found).get("value")
+        out.append(None if found is None else (found.text or "").strip())
+    return out
+
+
+#: Documents that one parser reads as children of a common root: a parser of its own costs more than a small document.
+_TOGETHER = 128
+
+
+def _ownership_document(content: str | None) -> str:
+    """The ownership document in whatever wraps it, or nothing."""
+    text = content or ""
+    start, stop = text.find("<ownershipDocument"), text.find("</ownershipDocument>")
+    if 0 <= start < stop:
+        return text[start : stop + len("</ownershipDocument>")]
+    found = re.search(r"(?is)<ownershipDocument.*?</ownershipDocument>", text)
+    return found.group() if found else ""
+
+
+def _parsed(documents: list[str]) -> list:
+    """The root of each document, None for an empty or malformed one."""
+    try:
+        roots = list(ElementTree.fromstring(f"<all>{''.join(documents)}</all>"))
+        if len(roots) == sum(map(bool, documents)):
+            following = iter(roots)
+            return [next(following) if d else None for d in documents]
+    except (ElementTree.ParseError, ValueError):
+        pass
+    if len(documents) > 1:  # one is malformed, or holds more than itself
+        half = len(documents) // 2
+        return _parsed(documents[:half]) + _parsed(documents[half:])
+    return [None]
+
+
+def _ownership_rows(root) -> list[list]:
+    """The transactions of one document in order, none if it is malformed: ordinal, whether derivative, and the fields."""
+    if root is None:
+        return []
+    owner = next((c for c in root if c.tag.rpartition("}")[2] == "reportingOwner"), None)
+    shared = _fields(root, _DOCUMENT, False) + _fields(owner, _OWNER, False)
+    parts = _children(root)
+    found = [(derivative, t) for table, name, derivative in _TABLES if table in parts for t in parts[table] if t.tag.rpartition("}")[2] == name]
+    return [[i, derivative, *shared, *_fields(t, _TXN, True)] for i, (derivative, t) in enumerate(found)]
 
 
 def ownership_trades(filings: DataFrame) -> DataFrame:
     """(accession, filed, content with an ownership XML document) to one row for each transaction.
 
     The XML is taken out of whatever wraps it; malformed XML gives no rows.  The first reporting owner counts.  Rows
-    without title, date or shares are dropped; `transaction_index` numbers what a filing reports, derivatives last."""
-    xml = F.regexp_extract("content", r"(?is)(<ownershipDocument.*?</ownershipDocument>)", 1)
-    doc = filings.select("accession", "filed", F.from_xml(xml, OWNERSHIP, {"mode": "PERMISSIVE"}).alias("d")).filter("d is not null")
-    flag = lambda c: F.coalesce(F.lower(F.trim(c)).isin("1", "true"), F.lit(False))
-    each = lambda a, derivative: F.transform(F.coalesce(a, F.from_json(F.lit("[]"), _TXN)), lambda t: F.struct(t.alias("t"), F.lit(derivative).alias("derivative")))
-    both = F.concat(each(F.col("d.nonDerivativeTable.nonDerivativeTransaction"), False), each(F.col("d.derivativeTable.derivativeTransaction"), True))
-    owner = F.element_at("d.reportingOwner", 1)
-    rows = doc.select("accession", "filed", "d", owner.alias("o"), F.posexplode(both).alias("transaction_index", "x"))
-    t = "x.t."
-    out = rows.select(
-        fn.entity_id_from_cik(F.col("d.issuer.issuerCik")).alias("entity_id"), fn.iso_date(F.col(t + "transactionDate.value")).alias("effective_date"), F.col("filed").alias("availability_date"), "accession", F.col("d.documentType").alias("form"), fn.iso_date(F.col("d.periodOfReport")).alias("period_of_report"),
-        F.lpad(F.ltrim(F.col("o.reportingOwnerId.rptOwnerCik"), F.lit("0")), 10, "0").alias("insider_cik"), F.col("o.reportingOwnerId.rptOwnerName").alias("insider_name"), flag(F.col("o.reportingOwnerRelationship.isDirector")).alias("is_director"), flag(F.col("o.reportingOwnerRelationship.isOfficer")).alias("is_officer"), flag(F.col("o.reportingOwnerRelationship.isTenPercentOwner")).alias("is_ten_percent_owner"), F.coalesce(F.col("o.reportingOwnerRelationship.officerTitle"), F.lit("")).alias("officer_title"),
-        F.col(t + "securityTitle.value").alias("security_title"), F.col("x.derivative").alias("is_derivative"), F.col(t + "transactionCoding.transactionCode").alias("transaction_code"), F.col(t + "transactionAmounts.transactionShares.value").alias("shares"), F.col(t + "transactionAmounts.transactionPricePerShare.value").alias("price_per_share"), F.col(t + "transactionAmounts.transactionAcquiredDisposedCode.value").alias("acquired_disposed"),
-        F.col(t + "postTransactionAmounts.sharesOwnedFollowingTransaction.value").alias("post_transaction_shares"), F.col(t + "ownershipNature.directOrIndirectOwnership.value").alias("direct_or_indirect"), F.col(t + "conversionOrExercisePrice.value").alias("exercise_price"), fn.iso_date(F.col(t + "expirationDate.value")).alias("expiration_date"), "transaction_index",
+    without title, date or shares are dropped; `transaction_index` numbers what a filing reports, derivatives last.
+    Documents are parsed in map tasks, once each; dates, numbers and flags are then worked out by expressions."""
+    names = [*_DOCUMENT, *_OWNER, *_TXN]
+    kinds = [pa.int32(), pa.bool_()] + [pa.string()] * len(names)
+
+    def run(batches):
+        for batch in batches:
+            places, rows = [], []
+            documents = [_ownership_document(x) for x in batch.column("content").to_pylist()]
+            for at in range(0, len(documents), _TOGETHER):
+                for i, root in enumerate(_parsed(documents[at : at + _TOGETHER]), at):
+                    found = _ownership_rows(root)
+                    places += [i] * len(found)
+                    rows += found
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+            own = batch.select(["accession", "filed"]).take(pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["accession", "filed", "transaction_index", "is_derivative", *names])
+
+    docs = filings.select("accession", "filed", "content")
+    schema = ", ".join([f"{c} {dict(docs.dtypes)[c]}" for c in ("accession", "filed")] + ["transaction_index int, is_derivative boolean"] + [f"{n} string" for n in names])
+    flag = lambda c: F.coalesce(F.lower(F.trim(c)).isin("1", "true"), F.lit(False)).alias(f"is_{c}")
+    number = lambda c: F.col(c).try_cast("double")
+    out = docs.mapInArrow(run, schema).select(
+        fn.entity_id_from_cik(F.col("issuer")).alias("entity_id"), fn.iso_date(F.col("day")).alias("effective_date"), F.col("filed").alias("availability_date"), "accession", "form", fn.iso_date(F.col("period_of_report")).alias("period_of_report"),
+        F.lpad(F.ltrim(F.col("owner"), F.lit("0")), 10, "0").alias("insider_cik"), "insider_name", flag("director"), flag("officer"), flag("ten").alias("is_ten_percent_owner"), F.coalesce("officer_title", F.lit("")).alias("officer_title"),
+        "security_title", "is_derivative", "transaction_code", number("shares").alias("shares"), number("price").alias("price_per_share"), "acquired_disposed",
+        number("post").alias("post_transaction_shares"), "direct_or_indirect", number("exercise").alias("exercise_price"), fn.iso_date(F.col("expires")).alias("expiration_date"), "transaction_index",
     )
     return out.filter("coalesce(security_title, '') <> '' and effective_date is not null and shares is not null")
 
