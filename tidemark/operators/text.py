@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -151,11 +152,16 @@ def excerpts(rows: DataFrame) -> DataFrame:
     return rows.select("entity_id", "accession", "form", "item_id", "chunk_idx", "text", "n_chars", "n_tokens_approx", F.lit("press_release").alias("coverage_class"), F.lit("derived:filings_text/8-K_item_2.02").alias("perspective"))
 
 
-class _Facts(HTMLParser):
-    """Contexts, units and numeric facts of one inline-tagged document."""
+#: What the XML parser reads otherwise than the HTML parser: raw content, declarations, other entities, odd line ends.
+_NOT_XML = re.compile(r"<(?:script|style|textarea|title|xmp|iframe|noembed|noframes|plaintext)|<[!?]|&(?!(?:amp|lt|gt|quot);)|\r|=\s*[\"'][^\"'<>]*[\n\t]", re.I)
+_FACT_TAGS = frozenset(["context", "unit", "explicitmember", "startdate", "enddate", "instant", "measure", "nonfraction"])
+
+
+class _FactState:
+    """Contexts, units and numeric facts of one inline-tagged document, from its tags and texts in order."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.contexts: dict[str, dict] = {}
         self.units: dict[str, list[str]] = {}
         self.facts: list[dict] = []
@@ -204,6 +210,38 @@ class _Facts(HTMLParser):
             self.facts.append({"concept": a.get("name", ""), "context": a.get("contextref", ""), "unit": a.get("unitref", ""), "scale": a.get("scale", "0"), "sign": a.get("sign", ""), "text": text.strip()})
 
 
+class _Facts(_FactState, HTMLParser):
+    """The same, read by the HTML parser."""
+
+
+def _read_facts(source: str) -> _FactState:
+    """A document's facts: well-formed ones by the XML parser, which is faster and finds the same, others by the HTML parser."""
+    if not _NOT_XML.search(source):
+        state, parser = _FactState(), expat.ParserCreate()
+
+        def start(tag, attributes):
+            tag = tag.lower()
+            if tag.rpartition(":")[2] in _FACT_TAGS:
+                state.handle_starttag(tag, [(k.lower(), v) for k, v in attributes.items()])
+
+        def end(tag):
+            tag = tag.lower()
+            if tag.rpartition(":")[2] in _FACT_TAGS:
+                state.handle_endtag(tag)
+
+        parser.buffer_text = True  # texts are whole between tags, as the HTML parser gives them
+        parser.buffer_size = max(parser.buffer_size, len(source.encode("utf-8", "replace")) + 1)
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, state.handle_data
+        try:
+            parser.Parse(source, True)
+            return state
+        except (expat.ExpatError, ValueError):
+            pass
+    p = _Facts()
+    p.feed(source)
+    return p
+
+
 def inline_facts(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, html) to one row for each numeric fact with its period, dimensions (JSON), unit and value.
 
@@ -214,8 +252,7 @@ def inline_facts(docs: DataFrame, key: str, html: str = "html") -> DataFrame:
         for batch in batches:
             rows = []
             for k, source in zip(batch[key], batch[html], strict=True):
-                p = _Facts()
-                p.feed(source or "")
+                p = _read_facts(source or "")
                 for f in p.facts:
                     c = p.contexts.get(f["context"], {"dims": {}})
                     rows.append((k, f["concept"], f["context"], c.get("startdate"), c.get("enddate") or c.get("instant"), c["dims"], "_per_".join(p.units.get(f["unit"], [])), f["scale"], f["sign"], f["text"]))
