@@ -22,7 +22,7 @@ _NAMED = ["us-cik-0000000003", "us-cik-0000000005", "us-cik-9999999999"]
     where entity_id in ('{"', '".join(_NAMED)}')""")
 def src_01(spark, sf_dir):
     """Scan of named entities, one of them unknown: a table of three batches whose manifest names the files to read."""
-    path, facts = scratch.folder(spark, "facts"), views.facts(spark, sf_dir)
+    path, facts = scratch.folder(spark, "facts"), scratch.stored(views.facts(spark, sf_dir))  # three appends read them
     part = F.pmod(F.col("fiscal_year"), F.lit(3))
     for number in range(3):
         tables.append(facts.filter(part == number), path, number)
