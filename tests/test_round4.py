@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
-from tidemark.operators import text
+from tidemark.operators import pit, text
 from tidemark.plans import catalog
-from tidemark.sources import loaders
+from tidemark.sources import loaders, tables
 from tidemark.streaming import newest
 
 
@@ -100,3 +100,18 @@ def test_tagged_documents_read_alike_by_both_parsers():
         calls.append(isinstance(found, text._Facts))
         assert whole(found) == whole(other)
     assert calls == [False, True, True, True, True, True, True, True]
+
+
+@pytest.mark.parametrize(("name", "module", "function", "operator"), [("dq_16", tables, "append", "Join"), ("src_01", tables, "append", "Join"), ("str_06", pit, "as_of_join", "Window")])
+def test_facts_that_are_read_again_are_stored(spark, data, monkeypatch, name, module, function, operator):
+    """Appends do not join line items to orders again, and a refresh does not merge its log for each reader."""
+    plans, original = [], getattr(module, function)
+
+    def watched(*args):
+        frame = args[1] if function == "as_of_join" else args[0]
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return original(*args)
+
+    monkeypatch.setattr(module, function, watched)
+    catalog.queries()[name](spark, data)
+    assert len(plans) >= 2 and not [p for p in plans if operator in p]
