@@ -34,11 +34,9 @@ def matrix(state: DataFrame, by: Sequence[str], concepts: Sequence[str], periods
 
 def shards(spine: DataFrame, facts: DataFrame, keys: Sequence[str], concepts: Sequence[str], periods: int) -> DataFrame:
     """Input and target matrices of the pairs of a spine; pairs without input go, those without target stay with nulls."""
-    inputs, targets = pit.training_pairs(spine, facts, keys)
-    by = ["entity_id", "t", "horizon_q", "target_t"]
-    named = lambda m, side: m.select(*by, *(F.col(c).alias(f"{side}_{c}") for c in ("x", "mask", "seq_len")))
-    x = named(matrix(inputs, by, concepts, periods), "input")
-    return x.join(named(matrix(targets.filter("source_ref is not null"), by, concepts, periods), "target"), by, "left")
+    pairs = pit.training_pairs(spine, facts, keys, lambda states, by: matrix(states, by, concepts, periods))
+    sides = [f"{side}_{c}" for side in ("input", "target") for c in ("x", "mask", "seq_len")]
+    return pairs.select("entity_id", "t", "horizon_q", "target_t", *sides)
 
 
 def collapse_statistics(vectors: DataFrame, floor: float = 1.0, eps: float = 1e-4) -> DataFrame:
