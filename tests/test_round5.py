@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import pit
-from tidemark.plans import catalog
+from tidemark.plans import catalog, views
 
 SCHEMA = "entity_id string, concept string, availability_date date, restated_at date, source_ref string, value double"
 day = st.integers(0, 40).map(lambda n: date.fromordinal(738000 + n))
@@ -58,3 +58,30 @@ def test_pairs_summarise_each_date_once(spark):
         assert sorted((r.entity_id, r.t, r.horizon_q, r.target_t, r.input_n, r.target_n) for r in pairs.collect()) == [
             ("a", date(2020, 12, 31), 4, date(2021, 12, 31), 1, 2), ("a", date(2021, 12, 31), 4, date(2022, 12, 31), 2, 2)]
     assert [len(x) for x in seen] == [3, 3]
+
+
+@pytest.mark.parametrize(("name", "shuffles"), [("prj_01", 4), ("grf_04", 6)])
+def test_relations_are_told_apart_within_their_orders(spark, data, name, shuffles):
+    """The sort by order that finds repeated relations serves the join with orders: no table of whole relations in a task, no shuffle of them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.queries()[name](spark, data)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert rows_moved(df) == (1, shuffles)
+        assert name != "prj_01" or "Aggregate" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_odd_relations_are_each_kept_once(spark, tmp_path):
+    """Repeated lines and orders, nulls, an order without lines and lines without order or part."""
+    lines = spark.createDataFrame([(1, 1, 5), (1, 1, 5), (1, 2, 5), (1, 3, 5), (1, 1, None), (1, 1, None), (2, 1, 6), (None, 1, 5), (9, 1, 5), (1, 99, 5)], "l_orderkey long, l_partkey long, l_suppkey long")
+    orders = spark.createDataFrame([(1, 7, "2020-02-03 00:00:00"), (1, 7, "2020-02-03 00:00:00"), (1, 8, "2020-02-03 00:00:00"), (2, None, None), (3, 1, "2020-01-01 00:00:00"), (None, 1, None)], "o_orderkey long, o_custkey long, d string")
+    parts = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "p_partkey long, p_type string")
+    for name, df in (("lineitem", lines), ("orders", orders.select("o_orderkey", "o_custkey", F.col("d").cast("timestamp").alias("o_orderdate"))), ("part", parts)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    s, c = "us-cik-000000000{}".format, date(2020, 2, 3)
+    want = [(e, s(k), kind, c, date(2020, 1, 1), "1") for k in (7, 8) for e, kind in ((s(5), "x"), (s(5), None), (None, "x"))] + [(s(6), None, "x", None, None, "2")]
+    columns = ["entity_id", "target_entity_id", "relationship_type", "availability_date", "effective_date", "source_ref"]
+    got = views.edges(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))

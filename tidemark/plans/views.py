@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
@@ -85,8 +85,19 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(filed, "o_orderkey").select(F.col("o_orderkey").alias("accession"), F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("report_date"), "filed")
 
 
+def _once(rows: DataFrame, by: str) -> DataFrame:
+    """The different rows, found beside each other in a sort of each `by`: it serves a join by that column too, and no table of rows is held in memory."""
+    others = [c for c in rows.columns if c != by]
+    repeat = F.struct(*others).eqNullSafe(F.lag(F.struct(*others)).over(Window.partitionBy(by).orderBy(*others)))
+    return rows.withColumn("__repeat", repeat).filter("not __repeat").drop("__repeat")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier to customer relations by quarter, the part's type being the relation."""
+    """Supplier to customer relations by quarter, the part's type being the relation.
+
+    An order's number is part of a relation, so the different ones are found within each order, before customers and dates are joined."""
     l, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey"))
-    return rows.select(_cik("l_suppkey").alias("entity_id"), _cik("o_custkey").alias("target_entity_id"), F.col("p_type").alias("relationship_type"), F.to_date("o_orderdate").alias("availability_date"), F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("effective_date"), F.col("o_orderkey").cast("string").alias("source_ref")).distinct()
+    lines = l.join(p, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", _cik("l_suppkey").alias("entity_id"), F.col("p_type").alias("relationship_type"))
+    ordered = o.select("o_orderkey", _cik("o_custkey").alias("target_entity_id"), F.to_date("o_orderdate").alias("availability_date"))
+    rows = _once(lines, "l_orderkey").join(_once(ordered, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select("entity_id", "target_entity_id", "relationship_type", "availability_date", F.to_date(F.date_trunc("quarter", "availability_date")).alias("effective_date"), F.col("o_orderkey").cast("string").alias("source_ref"))
