@@ -318,8 +318,7 @@ def quarterly_graph(relations: DataFrame, quarter_ends: DataFrame, mode: str = "
 
     `evidence` keeps one row for each effective date and evidence; `latest` the newest of each source, target and kind."""
     key = ["entity_id", "target_entity_id", "relationship_type"] + (["effective_date", "evidence_hash"] if mode == "evidence" else [])
-    spine = relations.select("entity_id").distinct().crossJoin(F.broadcast(quarter_ends.select("t")))
-    known = pit.as_of_join(spine, relations, key)
+    known = pit.as_of_dates(relations, quarter_ends.select("t"), key)
     return known.withColumn("quarter", fn.quarter_label(F.col("t")))
 
 
