@@ -2,12 +2,13 @@
 
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import pit
+from tidemark.operators import pit, text
 from tidemark.plans import catalog, views
 
 SCHEMA = "entity_id string, concept string, availability_date date, restated_at date, source_ref string, value double"
@@ -85,3 +86,13 @@ def test_odd_relations_are_each_kept_once(spark, tmp_path):
     columns = ["entity_id", "target_entity_id", "relationship_type", "availability_date", "effective_date", "source_ref"]
     got = views.edges(spark, str(tmp_path)).select(*columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_pages_become_text_in_slices_of_bounded_size(spark):
+    pages = [None, "", "<p>a</p><p>b</p>", "<script>x</script>", "x" * 3000] * 50
+    parts = list(text.slices(pa.array(pages, pa.string()), 10_000))
+    assert sum(map(len, parts)) == len(pages) and all(p.nbytes <= 10_000 for p in parts)
+    assert [len(p) for p in text.slices(pa.array(["y" * 50] * 2, pa.string()), 10)] == [1, 1]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string").repartition(3)
+    got = {r.id: r.text for r in df.select("id", text.html_to_text(F.col("html")).alias("text")).collect()}
+    assert got == {i: text.plain_text(p) for i, p in enumerate(pages)}

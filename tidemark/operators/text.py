@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from html.parser import HTMLParser
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ HIDDEN_TAGS = ["script", "style", "noscript", "ix:header", "ix:hidden", "ix:reso
 MORE_BLOCK_TAGS = ["thead", "tbody", "tfoot", "hr", "pre", "dl", "dt", "dd"]
 LINE_TAGS = frozenset(BLOCK_TAGS + MORE_BLOCK_TAGS)
 CHUNK_CHARS, OVERLAP_CHARS, LOOK_BACK = 4000, 800, 200
+#: Bytes of markup whose text a worker holds as Python strings at once.
+SLICE_BYTES = 1 << 20
 #: Characters that chunks do not begin or end with: all that count as white space.
 WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
@@ -69,13 +73,33 @@ def plain_text(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", text)).strip()
 
 
+def slices(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Cut texts so that each slice holds about `limit` bytes at most, and one text at least."""
+    if len(texts) > 1 and texts.nbytes > limit:
+        half = len(texts) // 2
+        yield from slices(texts.slice(0, half), limit)
+        yield from slices(texts.slice(half), limit)
+    else:
+        yield texts
+
+
 def html_to_text(html: Column) -> Column:
-    """`plain_text` of a column, batch by batch."""
+    """`plain_text` of a column.
 
-    def convert(batch: pd.Series) -> pd.Series:
-        return batch.map(plain_text)
+    Arrow batches are taken in slices of at most SLICE_BYTES and pages one by one, so that a worker holds Python strings of
+    one slice's results, however many pages a batch or a task has.  Memory that is free again goes back after each batch."""
 
-    return F.pandas_udf(convert, "string")(html)
+    def convert(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        for batch in batches:
+            for part in slices(batch, SLICE_BYTES):
+                yield pa.array((plain_text(page.as_py()) for page in part), pa.string(), size=len(part))
+            del batch, part
+            pa.default_memory_pool().release_unused()
+            if trim:
+                trim(0)
+
+    return F.arrow_udf(convert, "string")(html)
 
 
 def chunk_text(text: Column) -> Column:
